@@ -9,3 +9,41 @@ with n as (
 select n.doc_id, g.keep_id, g.group_size, n.doc_id is not distinct from g.keep_id as kept, sha256(n.norm) as text_sha256
 from n join g on n.norm = g.norm
 """
+
+
+def _matches(place: int, kind: str, pattern: str, group: str, least: int) -> str:
+    """Spans of one rule: the text splits into the parts between its matches, whose lengths give the places."""
+    return f"""
+  select doc_id, r, {place} as place, '{kind}' as kind, list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(whole[1:i-1], lambda p: length(p))), 0) as s, length(whole[i]) as len
+  from (select doc_id, r, unnest(generate_series(1, length(whole))) as i, parts, whole, body from (
+    select doc_id, r, regexp_split_to_array(t, '{pattern}') as parts, regexp_extract_all(t, '{pattern}') as whole, regexp_extract_all(t, '{pattern}', {group}) as body
+    from docs where regexp_matches(t, '{pattern}')))
+  where length(body[i]) >= {least}"""
+
+
+def _folded(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+_NAMES = "|".join([*map(_folded, ("password", "passwd", "secret", "token")), f"{_folded('api')}_?{_folded('key')}"])
+_KINDS = [
+    ("assign", rf"(?:{_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 25),
+    ("jwt", "eyJ[A-Za-z0-9_.-]+", 0, 43),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----+", 0, 1),
+]
+
+SECRETS = f"""
+with docs as (select doc_id, row_number() over () as r, coalesce(text, '') as t from documents),
+found as ({" union all ".join(_matches(i, *k) for i, k in enumerate(_KINDS))}),
+spans as (select *, kind || ':' || s || ':' || (s + len) as span from found),
+told as (
+  select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(span, ',' order by s, place) filter (place < 3) as base, string_agg(span, ',' order by s, place) as spans
+  from spans group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join told using (r)
+"""

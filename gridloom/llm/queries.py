@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, oracles
+from gridloom.llm import exact_dedup, oracles, secrets
 from gridloom.llm.common import documents
 
 
@@ -14,9 +14,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": oracles.EXACT}
+    return {"op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS}
