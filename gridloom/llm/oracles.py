@@ -47,3 +47,13 @@ told as (
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from docs left join told using (r)
 """
+
+WARC = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), d as (
+  select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by payload_digest
+)
+select page_id, payload_bytes, payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to
+from p left join d using (payload_digest)
+"""

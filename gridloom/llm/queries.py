@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, oracles, secrets
-from gridloom.llm.common import documents
+from gridloom.llm import exact_dedup, oracles, secrets, warc
+from gridloom.llm.common import documents, table
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS}
+    return {"op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC}
