@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, oracles, packing, secrets, warc
+from gridloom.llm import exact_dedup, language, oracles, packing, secrets, warc
 from gridloom.llm.common import documents, table
 
 
@@ -18,6 +18,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -27,7 +31,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op8_packing, op9_warc)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op8_packing, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
