@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language, oracles, packing, secrets, warc
+from gridloom.llm import exact_dedup, language, oracles, packing, quality, secrets, warc
 from gridloom.llm.common import documents, table
 
 
@@ -30,8 +30,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op8_packing, op9_warc)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op8_packing, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
