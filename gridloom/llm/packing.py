@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored, text_of
+from gridloom.llm.wordids import WordIds
 
 LENGTH, CLOSING = 4096, 2
 #: Words whose ids a task remembers; beyond it the memory starts anew.
@@ -76,17 +77,12 @@ def _ascii_merger(path: str):
     return tiktoken.Encoding("ascii", pat_str=r"\n|[^\n\x00]+\x00", mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
 
 
-class WordEncoder:
+class WordEncoder(WordIds):
     """Ids of whole texts by looking up words. Words of plain ASCII are merged many at once, others by the library itself."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.remembered, self.merger = _tokenizer(path), remembered, _ascii_merger(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        super().__init__(remembered)
+        self.tokenizer, self.merger = _tokenizer(path), _ascii_merger(path)
 
     def _learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if _PLAIN(w)] if self.merger else []
@@ -95,29 +91,18 @@ class WordEncoder:
             lines = _SPLIT.sub(r"\g<0>" + _END, b"\n".join(plain).decode().lower())
             ids = np.array(merger.encode_ordinary(lines), np.uint32)
             at = np.flatnonzero(ids == gap)
-            self._keep(plain, ids[ids != gap], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+            self.keep(plain, ids[ids != gap], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
         rest = [w for w in words if not (self.merger and _PLAIN(w))]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
-            self._keep(some, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
-
-    def _keep(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        k, n, used = len(self.place), len(words), self.used + len(ids)
-        while k + n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while used > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : used] = ids
-        self.starts[k : k + n], self.sizes[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.place.update(zip(words, range(k, k + n), strict=True))
-        self.used = used
+            self.keep(some, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def learn(self, texts: list[bytes]) -> None:
         """Learns the new words of several texts at once."""
         new = {w for t in texts for w in t.split()}.difference(self.place)
         if len(self.place) + len(new) > self.remembered:
-            self._forget()
+            self.forget()
             return
         self._learn(sorted(new))
 
@@ -125,14 +110,10 @@ class WordEncoder:
         words = text.split()
         new = set(words).difference(self.place)
         if len(self.place) + len(new) > self.remembered and self.place:
-            self._forget()
+            self.forget()
             new = set(words)
         self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + sizes, sizes)]
+        return self.gather(words)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language, oracles, packing, quality, secrets, warc
+from gridloom.llm import exact_dedup, language, oracles, packing, pieces, quality, secrets, warc
 from gridloom.llm.common import documents, table
 
 
@@ -22,6 +22,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(documents(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op8_packing, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
