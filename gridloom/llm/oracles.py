@@ -57,3 +57,20 @@ with p as (
 select page_id, payload_bytes, payload_digest, case when page_id > first_id then 'revisit' else 'response' end as record_type, case when page_id > first_id then first_id end as refers_to
 from p left join d using (payload_digest)
 """
+
+NEAR = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), shingles as (
+  select distinct doc_id, case when length(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i+4], ' ') end as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, length(w) - 4))) as i from words where length(w) > 0)
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), links as (
+  select x.doc_id as a, y.doc_id as b from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id join sizes m on m.doc_id = x.doc_id join sizes n on n.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id having 100 * count(*) >= 85 * (any_value(m.n) + any_value(n.n) - count(*))
+), reach as (
+  select a as node, b as other from links union select r.node, l.b from reach r join links l on l.a = r.other
+), least as (select node, min(other) as least from reach group by node)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) as component_id, d.doc_id <= coalesce(least, d.doc_id) as kept
+from documents d left join sizes using (doc_id) left join least on node = d.doc_id
+"""

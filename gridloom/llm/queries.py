@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language, oracles, packing, pieces, quality, secrets, warc
+from gridloom.llm import exact_dedup, language, near_dedup, oracles, packing, pieces, quality, secrets, warc
 from gridloom.llm.common import documents, table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -39,8 +43,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC}
+    return {"op1_minhash_dedup": oracles.NEAR, "op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC}
