@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language, near_dedup, oracles, packing, pieces, quality, repeats, secrets, warc
+from gridloom.llm import exact_dedup, language, near_dedup, oracles, packing, pieces, quality, repeats, secrets, spotsigs, warc
 from gridloom.llm.common import documents, table
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_spotsigs, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
