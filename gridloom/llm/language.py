@@ -158,6 +158,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not model.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """Learns from the documents that are not held out and predicts for all."""
     model = fit(docs.where(~held_out(4, 2)))
