@@ -58,9 +58,9 @@ class Vocabulary:
         self.longest = max(map(len, self.scores))
         ends: dict[str, set[int]] = {}
         for p in self.scores:
-            ends.setdefault(p[-1], set()).add(len(p))
-        #: Lengths of pieces by last character, the longest first.
-        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
+            ends.setdefault(p[-3:], set()).add(len(p))
+        #: Lengths of pieces by their last three characters, the longest first; shorter pieces stand for themselves.
+        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items() if len(c) == 3}
         self.bytes_of = [b""] * sp.get_piece_size()
         for p, (_, i) in self.scores.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -77,11 +77,16 @@ class Vocabulary:
             for end in range(depth + 1, len(word) + 1):
                 c = word[end - 1]
                 top, step = float("-inf"), None
-                for n in lengths.get(c, ()):
-                    if n <= end and (found := scores.get(word[end - n : end])) and best[end - n] + found[0] > top:
-                        top, step = best[end - n] + found[0], (end - n, found[1])
-                if c not in scores and best[end - 1] + self.unknown > top:
-                    top, step = best[end - 1] + self.unknown, (end - 1, -1)
+                if end > 2:
+                    for n in lengths.get(word[end - 3 : end], ()):
+                        if n <= end and (found := scores.get(word[end - n : end])) and best[end - n] + found[0] > top:
+                            top, step = best[end - n] + found[0], (end - n, found[1])
+                if end > 1 and (found := scores.get(word[end - 2 : end])) and best[end - 2] + found[0] > top:
+                    top, step = best[end - 2] + found[0], (end - 2, found[1])
+                found = scores.get(c)
+                score = best[end - 1] + (found[0] if found else self.unknown)
+                if score > top:
+                    top, step = score, (end - 1, found[1] if found else -1)
                 best.append(top)
                 back.append(step)
             last, out, end = word, [], len(word)
