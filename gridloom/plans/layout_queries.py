@@ -1 +1,114 @@
-"""Queries of one part of the library."""
+"""Queries of bars and zones."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import layout
+from gridloom.plans import fixtures as fx
+from gridloom.plans.catalog import query
+
+#: Zones made of boxes: class by load, the stock's steps and diameters.
+ZONES = f"select plan_id, poly_id as zone_id, cast(1 + load / 10 as int) as cls, x0, y0, x1, y1, cast(case when load >= 30 then 100 when load >= 10 then 150 else 250 end as bigint) as step, cast(32 * (18 + load / 10) as bigint) as hold, 18 + load / 10 as diameter from ({fx.BOXES12}) as b"
+
+
+def _zones(spark, sf_dir):
+    return fx.view(spark, sf_dir, ZONES).withColumn("diameter", F.col("diameter").cast("double"))
+
+
+_Z = f"with z as ({ZONES})"
+_B = f"{_Z}, bars as (select plan_id, zone_id, cls, bar, x0 + bar * step as x, y0, y1 from (select *, unnest(generate_series(0, cast(floor((x1 - x0) / step) as bigint))) as bar from z))"
+
+
+@query(f"{_Z} select plan_id, zone_id, cast(floor(x0 / 300) as bigint) as x0, cast(floor(y0 / 300) as bigint) as y0, cast(ceil(x1 / 300) as bigint) as x1, cast(ceil(y1 / 300) as bigint) as y1 from z")
+def l04_scaled(spark, sf_dir):
+    return layout.scaled(_zones(spark, sf_dir), 300)
+
+
+@query(f"{_Z} select plan_id, zone_id, cast(ceil(greatest(1, 1000, x1 - x0) / step) * step as bigint) as width from z")
+def l06_zone_fit(spark, sf_dir):
+    return _zones(spark, sf_dir).select("plan_id", "zone_id", layout.fitted_width(F.col("x1") - F.col("x0"), F.lit(1000), F.col("step")).cast("long").alias("width"))
+
+
+@query(f"{_Z} select plan_id, zone_id, cast(least(greatest(floor((x0 + x1 - 1700) / 2), x1 - 1700), x0) as bigint) as start from z")
+def l05_interval(spark, sf_dir):
+    return _zones(spark, sf_dir).select("plan_id", "zone_id", layout.centred_interval(F.col("x0"), F.col("x1"), F.lit(1700)).cast("long").alias("start"))
+
+
+@query(
+    f"{_Z} select a.plan_id, a.zone_id as a, b.zone_id as b, case when a.x1 = b.x0 and least(a.y1, b.y1) > greatest(a.y0, b.y0) then 'x' else 'y' end as side from z a join z b on a.plan_id = b.plan_id and a.cls = b.cls and a.zone_id <> b.zone_id "
+    "where (a.x1 = b.x0 and least(a.y1, b.y1) > greatest(a.y0, b.y0)) or (a.y1 = b.y0 and least(a.x1, b.x1) > greatest(a.x0, b.x0))"
+)
+def l08_contacts(spark, sf_dir):
+    return layout.contacts(_zones(spark, sf_dir))
+
+
+@query("with s as (select p_partkey as id, p_size * 10 as a, (1 + p_partkey % 40) * 10 as b from part) select id, gcd(a, b) as g, coalesce((select min(d) from generate_series(20, 500) t(d) where d <= gcd(a, b) and gcd(a, b) % d = 0), gcd(a, b)) as quantum from s")
+def l13_quantum(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "p_size * 10 as a", "(1 + p_partkey % 40) * 10 as b")
+    return s.select("id", layout.gcd(F.col("a"), F.col("b")).alias("g"), layout.quantum(F.col("a"), F.col("b"), 20).alias("quantum"))
+
+
+@query(f"{_B} select plan_id, zone_id, cls, bar, x, y0, y1 from bars")
+def l15_positions(spark, sf_dir):
+    return layout.positions(_zones(spark, sf_dir))
+
+
+@query(
+    "with s as (select p_partkey as id, (1 + p_size % 6) * 50 as a, (1 + p_partkey % 6) * 50 as b from part) select id, case when a = b then case when a = 300 then a / 2 else 0 end when greatest(a, b) % least(a, b) = 0 then "
+    "case when greatest(a, b) = 2 * least(a, b) then case when least(a, b) / 3 >= 50 then greatest(a, b) / 3 else least(a, b) / 2 end else 0 end when gcd(a, b) >= 100 then gcd(a, b) / 2 else 0 end as phase, "
+    "least((id % a + a) % a, a - (id % a)) as distance from s"
+)
+def l18_phase(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "(1 + p_size % 6) * 50 as a", "(1 + p_partkey % 6) * 50 as b")
+    return s.select("id", layout.preferred_phase(F.col("a"), F.col("b"), F.lit(300), 50).alias("phase"), layout.cyclic_distance(F.col("id"), F.lit(0), F.col("a")).alias("distance"))
+
+
+@query(
+    f"{_B} select a.plan_id, a.zone_id || '-' || a.bar as a, b.zone_id || '-' || b.bar as b, b.x - a.x as distance from bars a join bars b on a.plan_id = b.plan_id and b.x > a.x and b.x - a.x < 60 and a.zone_id <> b.zone_id and least(a.y1, b.y1) > greatest(a.y0, b.y0)"
+)
+def l20_close_pairs(spark, sf_dir):
+    return layout.close_pairs(layout.positions(_zones(spark, sf_dir)), 60)
+
+
+@query(
+    f"{_Z}, b as ({fx.BOXES12}), w as (select * from z where zone_id % 2 = 0) select b.plan_id, b.poly_id, count(w.zone_id) as holders from b left join w on w.plan_id = b.plan_id and w.x0 <= b.x0 and w.x1 >= b.x1 and w.y0 <= b.y0 and w.y1 >= b.y1 group by all having count(w.zone_id) < 1"
+)
+def l30_coverage(spark, sf_dir):
+    return layout.uncovered(fx.view(spark, sf_dir, fx.BOXES12), _zones(spark, sf_dir).where("zone_id % 2 = 0"), 1)
+
+
+@query(
+    f"{_B}, m as (select *, max(y1) over (partition by plan_id, cls, x order by y0, y1, zone_id, bar rows between unbounded preceding and 1 preceding) as reach from bars), "
+    "p as (select *, sum(case when reach is null or y0 > reach then 1 else 0 end) over (partition by plan_id, cls, x order by y0, y1, zone_id, bar rows unbounded preceding) as piece from m) "
+    "select plan_id, cls, x, min(y0) as y0, max(y1) as y1, count(distinct zone_id) as zones from p group by plan_id, cls, x, piece"
+)
+def l31_bar_merge(spark, sf_dir):
+    return layout.shared_bars(layout.positions(_zones(spark, sf_dir)))
+
+
+@query(
+    f"{_B}, e as (select plan_id, x, y0 as y, 1 as d from bars union all select plan_id, x, y1, -1 from bars), o as (select plan_id, x, sum(d) over (partition by plan_id, x order by y, d desc rows unbounded preceding) as open from e) select plan_id, x, cast(max(open) as bigint) as depth from o group by plan_id, x"
+)
+def l32_depth(spark, sf_dir):
+    return layout.depth(layout.positions(_zones(spark, sf_dir)))
+
+
+@query(
+    f"{_B}, f as (select plan_id, min(y0) as low, max(y1) as high from z group by plan_id), a as (select b.*, greatest(f.low, b.y0 - z.hold) as a0, least(f.high, b.y1 + z.hold) as a1 from bars b join z on z.plan_id = b.plan_id and z.zone_id = b.zone_id join f on f.plan_id = b.plan_id) "
+    "select plan_id, zone_id, bar, a0 as low, y0 as high from a where y0 > a0 union all select plan_id, zone_id, bar, y1, a1 from a where a1 > y1"
+)
+def s08_anchorage(spark, sf_dir):
+    z = _zones(spark, sf_dir)
+    field = z.groupBy("plan_id").agg(F.min("y0").alias("low"), F.max("y1").alias("high"))
+    bars = layout.positions(z).join(z.select("plan_id", "zone_id", "hold"), ["plan_id", "zone_id"]).join(field, "plan_id")
+    return layout.anchorage_pieces(bars.withColumns({"a0": F.greatest("low", F.col("y0") - F.col("hold")), "a1": F.least("high", F.col("y1") + F.col("hold"))}))
+
+
+@query(
+    f"{_B}, f as (select plan_id, min(y0) as low, max(y1) as high from z group by plan_id), a as (select b.plan_id, b.y1 - b.y0 as plain, least(f.high, b.y1 + z.hold) - greatest(f.low, b.y0 - z.hold) as anchored, 7850 * pi() * power(z.diameter / 1000.0, 2) / 4 / 1000 as m "
+    "from bars b join z on z.plan_id = b.plan_id and z.zone_id = b.zone_id join f on f.plan_id = b.plan_id) select plan_id, count(*) as bars, cast(sum(plain) as bigint) as length, cast(sum(anchored) as bigint) as anchored_length, round(sum(plain * m), 3) as mass, round(sum(anchored * m), 3) as anchored_mass from a group by plan_id"
+)
+def b01_mass(spark, sf_dir):
+    z = _zones(spark, sf_dir)
+    return layout.steel(z, z.groupBy("plan_id").agg(F.min("y0").alias("low"), F.max("y1").alias("high")), fx.STEEL)

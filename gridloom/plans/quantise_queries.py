@@ -1 +1,76 @@
-"""Queries of one part of the library."""
+"""Queries of axis quantisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import quantise
+from gridloom.plans import cover_sql as cs
+from gridloom.plans import fixtures as fx
+from gridloom.plans.catalog import query
+from gridloom.plans.cover import Cover
+
+_EVENTS = f"""with {cs.compact(fx.BOXES12)},
+side as (select *, coalesce(lag(load) over (partition by plan_id, iy order by ix), 0) as p from grid),
+ev as (select s.plan_id, x.lo as coord, cast(sum(case when s.load < s.p then y.hi - y.lo else 0 end) as bigint) as w_minus, cast(sum(case when s.load > s.p then y.hi - y.lo else 0 end) as bigint) as w_plus
+  from side s join ex x on x.plan_id = s.plan_id and x.i = s.ix join ey y on y.plan_id = s.plan_id and y.i = s.iy where s.load <> s.p group by s.plan_id, x.lo),
+events as (select plan_id, 'x' as axis, row_number() over (partition by plan_id order by coord) - 1 as idx, coord, w_minus, w_plus, 400 as tol_minus, 400 as tol_plus from ev)"""
+
+
+def _events(spark, sf_dir):
+    c = Cover.of(spark, sf_dir)
+    return quantise.axis_events(c.loads, c.x, c.y, "x", 400)
+
+
+@query(f"{_EVENTS} select plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus from events")
+def q03_axis_events(spark, sf_dir):
+    return _events(spark, sf_dir)
+
+
+@query(f"{_EVENTS} select plan_id, idx, case when idx % 2 = 0 then 0 else 1200 end as tol_minus, case when idx % 3 = 0 then 0 else 1200 end as tol_plus from events")
+def q16_locked_scaled(spark, sf_dir):
+    return quantise.locked(quantise.scaled_tolerances(_events(spark, sf_dir), 3), F.col("idx") % 2 == 0, F.col("idx") % 3 == 0).select("plan_id", "idx", "tol_minus", "tol_plus")
+
+
+@query(
+    f"with recursive {_EVENTS[5:]}, span as (select plan_id, coord - 400 as lo, coord + 400 as hi from events), "
+    "stab as (select plan_id, min(hi) as at, 1 as n from span group by plan_id union all select s.plan_id, t.hi, n + 1 from stab s join lateral (select min(hi) as hi from span where span.plan_id = s.plan_id and span.lo > s.at) t on t.hi is not null) "
+    "select plan_id, 'x' as axis, max(n) as lines from stab group by plan_id"
+)
+def q06_min_lines(spark, sf_dir):
+    return quantise.minimum_lines(_events(spark, sf_dir))
+
+
+_COSTS = """, seg as (
+  select a.plan_id, a.idx as i, b.idx as j, k.coord as place, sum(case when k.coord < e.coord then e.w_minus * (e.coord - k.coord) else e.w_plus * (k.coord - e.coord) end) as cost, bool_and(abs(e.coord - k.coord) <= 400) as ok
+  from events a join events b on a.plan_id = b.plan_id and a.idx <= b.idx join events k on k.plan_id = a.plan_id and k.idx between a.idx and b.idx join events e on e.plan_id = a.plan_id and e.idx between a.idx and b.idx group by all),
+cost as (select plan_id, i, j, cast(min(case when ok then cost end) as bigint) as cost from seg group by plan_id, i, j)"""
+
+
+@query(f"{_EVENTS}{_COSTS} select plan_id, 'x' as axis, i, j, cost from cost")
+def q07_segment_costs(spark, sf_dir):
+    return quantise.segment_costs(_events(spark, sf_dir))
+
+
+@query(
+    f"with recursive {_EVENTS[5:]}{_COSTS}, last as (select plan_id, max(idx) as n from events group by plan_id), walk as (select plan_id, 1 as k, j, cost from cost where i = 0 and cost is not null "
+    "union all select plan_id, k, j, min(cost) from (select w.plan_id, w.k + 1 as k, c.j, w.cost + c.cost as cost from walk w join cost c on c.plan_id = w.plan_id and c.i = w.j + 1 where c.cost is not null and w.k < 12) group by plan_id, k, j) "
+    "select w.plan_id, 'x' as axis, k, min(cost) as cost from walk w join last l on l.plan_id = w.plan_id and l.n = w.j group by w.plan_id, k"
+)
+def q09_exact_frontier(spark, sf_dir):
+    return quantise.exact_partitions(quantise.segment_costs(_events(spark, sf_dir)), 12)
+
+
+@query(
+    f"with b as ({fx.BOXES60}), v as (select distinct plan_id, x0 as v from b), l as (select distinct plan_id, cast(floor(x1 / 700) * 700 as bigint) as coord from b) "
+    "select v.plan_id, v.v, arg_min(l.coord, abs(l.coord - v.v) * 1000000 + l.coord) as coord from v join l on l.plan_id = v.plan_id group by v.plan_id, v.v having min(abs(l.coord - v.v)) <= 300"
+)
+def q14_nearest(spark, sf_dir):
+    b = fx.view(spark, sf_dir, fx.BOXES60)
+    lines = b.select("plan_id", (F.floor(F.col("x1") / 700) * 700).cast("long").alias("coord")).distinct()
+    return quantise.nearest_lines(b.select("plan_id", F.col("x0").alias("v")), lines, 300)
+
+
+@query(f"{_EVENTS} select plan_id, idx, coord, max(coord - idx * 700) over (partition by plan_id order by idx rows unbounded preceding) + idx * 700 as moved from events")
+def q18_spacing(spark, sf_dir):
+    return quantise.spaced(_events(spark, sf_dir), 700)
