@@ -4,12 +4,12 @@
    of the set. Documents of one set are a class, represented by its smallest id; only representatives go on, so exact
    copies cost nothing more. With the default of 24 bands of 5 a pair at the threshold shares no key once in a million.
 2. Keys that two representatives or more share are buckets. For members of buckets the sets are made again and written;
-   the shingles that no other member has are counted.
+   the shingles that no other member has are counted, and members with too many of them can have no link and go.
 3. In each bucket the member with the smallest share of such shingles is the centre, and each other member is compared
    with it. What is linked is grouped.
-4. Pairs of a bucket that are still in different groups are compared unless set sizes and unshared shingles rule a link
-   out: of x and y at most min(|x| - alone(x), |y| - alone(y)) shingles are common. So no pair that shares a key stays
-   undecided, while a group of copies never gives all its pairs.
+4. Members of a centre that are still in different groups are compared by what they differ in from the centre: only pairs
+   that share a rare difference, and enough of them, can be linked, and these are verified on full sets. So no pair that
+   shares a key stays undecided, while a group of copies never gives all its pairs.
 
 Defined results. No words, empty or null text: no shingles, linked with nothing. Fewer words than a shingle: the whole
 sequence is the one shingle. Null id: n_shingles is given, component_id is null, kept is false. Rows that repeat an id
@@ -69,10 +69,9 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _possible(percent: int) -> Column:
-    """Whether sizes and unshared shingles of x and y leave a link possible."""
-    most = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"))
-    return 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+def _linked(n: Column, m: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of n and m elements that differ in `apart` elements are similar enough."""
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -80,7 +79,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("bs")), "b")
     both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("as")), "a")
     common = F.size(F.array_intersect("as", "bs")).cast("long")
-    return both.where(100 * common >= percent * (F.size("as") + F.size("bs") - common)).select("a", "b")
+    return both.where(_linked(F.size("as"), F.size("bs"), F.size("as") + F.size("bs") - 2 * common, percent)).select("a", "b")
+
+
+def _centred(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each member with each centre of a bucket of it: a (the centre), b, n, delta (what one has and the other has not), linked."""
+    centre = members.groupBy("key").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "doc_id")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = members.join(stored(centre.select("key", F.col("c.doc_id").alias("a")), "near-centres"), "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    first = stored(met, "near-met").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("bs")), "b")
+    both = first.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("as")), "a")
+    delta = F.concat(F.array_except("as", "bs"), F.array_except("bs", "as"))
+    rows = both.select("a", "b", F.size("bs").cast("long").alias("n"), F.size("as").alias("m"), delta.alias("delta"))
+    return rows.withColumn("linked", _linked(F.col("n"), F.col("m"), F.size("delta"), percent)).drop("m")
+
+
+def _open_pairs(centred: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members of one centre, in different parts, that may be similar enough.
+
+    What x and y differ in is the symmetric difference of their deltas. With k = (100 - percent) / (100 + percent) a link
+    means that it has k(|x| + |y|) elements at most. If x is not linked with the centre, its delta has more than
+    k(|x| + |centre|); then more than (1 - k) / 2 of y's delta must be common to both deltas. So of the rarest elements of
+    y's delta, all but that share of it, one is in x's; and if y is not linked either, the same holds for x's. Elements
+    that no other member of the centre has in its delta cannot be common, which rules out most pairs by number alone."""
+    k = (100 - percent) / (100 + percent)
+    spread = centred.select("a", "b", F.explode("delta").alias("e"))
+    counts = stored(spread.groupBy("a", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "near-counts")
+    ranked = spread.join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
+    rows = centred.select("a", "b", "n", "part", "linked", F.size("delta").alias("d")).join(ranked, ["a", "b"]).withColumn("t", F.size("common"))
+    rows = rows.where(F.col("d") - F.col("t") <= k * (1 + 100 / percent) * F.col("n"))
+    lead = F.greatest(F.lit(0), F.col("t") - F.floor((1 - k) / 2 * F.col("d")).cast("int"))
+    rows = stored(rows.select("a", F.struct("b", "n", "part", "d", "t").alias("x"), "linked", "common", F.slice("common", F.lit(1), lead).alias("rare")), "near-ranked")
+    side = lambda test, which, name: rows.where(test).select("a", F.col("x").alias(name), F.explode(which).alias("c")).select("a", name, "c.e")
+    most = F.least("x.t", "y.t")
+    fits = (F.col("x.part") != F.col("y.part")) & _linked(F.col("x.n"), F.col("y.n"), F.col("x.d") + F.col("y.d") - 2 * most, percent)
+    apart = side("not linked", "rare", "x").join(side("not linked", "rare", "y"), ["a", "e"]).where((F.col("x.b") < F.col("y.b")) & fits)
+    mixed_pairs = side("not linked", "common", "x").join(side("linked", "rare", "y"), ["a", "e"]).where(fits)
+    return apart.unionByName(mixed_pairs).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 85) -> DataFrame:
@@ -92,21 +126,15 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 8
     sets = stored(shingled(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "near-sets")
     once = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     alone = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
-    facts = stored(sets.select("doc_id", F.size("shingles").cast("long").alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", F.coalesce("alone", F.lit(0)).alias("alone")).where(f"100 * (n - alone) >= {percent} * n"), "near-facts")
-    members = stored(members.join(facts, "doc_id").select("key", F.struct("doc_id", "n", "alone").alias("x")), "near-linkable")
-
-    centre = members.groupBy("key").agg(F.min(F.struct((F.col("x.alone") / F.col("x.n")).alias("share"), F.col("x.doc_id").alias("doc_id"), F.col("x").alias("y"))).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    starred = members.join(stored(centre.select("key", "c.y"), "near-centres"), "key").where("x.doc_id <> y.doc_id").where(_possible(percent))
-    near = stored(_verified(stored(starred.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct(), "near-stars"), sets, percent), "near-links")
-
-    groups = components(near)
-    placed = stored(members.join(groups.withColumnRenamed("node", "doc_id"), F.col("x.doc_id") == F.col("doc_id"), "left").select("key", "x", F.coalesce("root", F.col("x.doc_id")).alias("part")), "near-placed")
-    mixed_keys = stored(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "near-mixed")
-    rest = placed.join(mixed_keys, "key").select("key", "x", "part")
-    other = rest.select("key", F.col("x").alias("y"), F.col("part").alias("other"))
-    open_pairs = rest.join(other, (rest["key"] == other["key"]) & (F.col("part") < F.col("other")) & _possible(percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    late = stored(_verified(stored(open_pairs, "near-open"), sets, percent), "near-late")
-    return near.unionByName(late)
+    facts = sets.select("doc_id", F.size("shingles").cast("long").alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    members = stored(members.join(stored(facts.where(f"100 * (n - alone) >= {percent} * n"), "near-facts"), "doc_id"), "near-linkable")
+    centred = stored(_centred(members, sets, percent), "near-centred")
+    near = centred.where("linked").select("a", "b")
+    groups = stored(components(near).select(F.col("node").alias("b"), F.col("root").alias("part")), "near-groups")
+    placed = stored(centred.join(groups, "b", "left").withColumn("part", F.coalesce("part", "b")), "near-placed")
+    unsure = stored(placed.where("not linked").select("a").distinct(), "near-unsure")
+    late = _verified(stored(_open_pairs(placed.join(unsure, "a"), percent), "near-open"), sets, percent)
+    return near.unionByName(stored(late, "near-late"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
