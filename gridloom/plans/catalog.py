@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import candidates, classes, model, raster
+from gridloom.operators import candidates, classes, model, mosaic, raster, solve
 from gridloom.plans import cover_sql as cs
 from gridloom.plans import fixtures as fx
 from gridloom.plans.cover import Cover
@@ -269,3 +269,44 @@ def p12_extend(spark, sf_dir):
 def p13_materialize(spark, sf_dir):
     c = _c(spark, sf_dir, fx.BOXES6)
     return model.materialised(c.priced, _chosen(c))
+
+
+@query(
+    f"with {cs.model(fx.BOXES6)}{_PAIR} select t.plan_id, 2 as n, case when g.cost is null then 'infeasible' else 'optimal' end as status, g.cost from total t left join (select plan_id, min(cost) as cost from good group by plan_id) g on g.plan_id = t.plan_id"
+)
+def x01_solve_n2(spark, sf_dir):
+    c = _c(spark, sf_dir, fx.BOXES6)
+    return solve.solved(c.bounds, c.rows, c.covers, c.priced, [2]).select("plan_id", "n", "status", F.round("cost", 1).alias("cost"))
+
+
+@query()
+def x01_solve_n3(spark, sf_dir):
+    c = _c(spark, sf_dir, fx.BOXES6)
+    return solve.solved(c.bounds, c.rows, c.covers, c.priced, [3]).select("plan_id", "n", "status", F.round("cost", 1).alias("cost"), F.concat_ws(",", "zones").alias("zones"))
+
+
+def _some(c: Cover) -> DataFrame:
+    return c.candidates.where("cand_id % 5 = 0").select("plan_id", "x0", "y0", "x1", "y1")
+
+
+_SIDES = """, sides_of as (select plan_id, x0, y0, x1, y1 from cand where cand_id % 5 = 0),
+side as (select plan_id, 'x' as side, unnest(generate_series(y0, y1)) as iy, x0 - 1 as ix from sides_of union all select plan_id, 'x', unnest(generate_series(y0, y1)), x1 from sides_of
+  union all select plan_id, 'y', y0 - 1, unnest(generate_series(x0, x1)) from sides_of union all select plan_id, 'y', y1, unnest(generate_series(x0, x1)) from sides_of)"""
+
+
+@query(f"with {cs.rectangles(fx.BOXES6)}{_SIDES} select plan_id, side, iy, ix, count(*) as support from side group by all")
+def m01_boundary_support(spark, sf_dir):
+    return mosaic.boundary_support(_some(_c(spark, sf_dir, fx.BOXES6)))
+
+
+@query(
+    f"with recursive {cs.rectangles(fx.BOXES6).lstrip()}{_SIDES}, cl as (select plan_id, iy, ix, cls from cell where cls > 0), "
+    "one as (select a.plan_id, a.iy, a.ix, b.iy as jy, b.ix as jx from cl a join cl b on a.plan_id = b.plan_id and a.cls = b.cls and ((b.ix = a.ix + 1 and b.iy = a.iy) or (b.ix = a.ix and b.iy = a.iy + 1)) "
+    "where not exists (select 1 from side s where s.plan_id = a.plan_id and s.iy = a.iy and s.ix = a.ix and s.side = case when b.iy = a.iy then 'x' else 'y' end)), "
+    "step as (select * from one union all select plan_id, jy, jx, iy, ix from one), "
+    "reach as (select plan_id, iy, ix, iy as ry, ix as rx from cl union select r.plan_id, r.iy, r.ix, s.jy, s.jx from reach r join step s on s.plan_id = r.plan_id and s.iy = r.ry and s.ix = r.rx) "
+    "select plan_id, iy, ix, min(ry * 1048576 + rx) as label from reach group by plan_id, iy, ix"
+)
+def m01_mosaic(spark, sf_dir):
+    c = _c(spark, sf_dir, fx.BOXES6)
+    return mosaic.mosaic(c.cells, _some(c))
