@@ -1 +1,69 @@
-"""Queries of one part of the library."""
+"""Queries of payloads and requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.plans import fixtures as fx
+from gridloom.plans.catalog import query
+from gridloom.plans.layout_queries import ZONES
+from gridloom.sources import payloads
+
+
+def _payloads(spark, sf_dir):
+    """Each box as a payload: bare lists, objects in mm, objects in m."""
+    b = fx.view(spark, sf_dir, fx.BOXES12)
+    ring = lambda f: F.format_string("[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]", *((F.col(c) / f).cast("string") for c in ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
+    one = lambda f: F.concat(F.lit('[{"points":'), ring(f), F.lit(',"load":'), F.col("load").cast("string"), F.lit("}]"))
+    kind = F.col("poly_id") % 3
+    text = F.when(kind == 0, one(1)).when(kind == 1, F.concat(F.lit('{"kind":"polygons","polygons":'), one(1), F.lit("}"))).otherwise(F.concat(F.lit('{"units":"m","polygons":'), one(1000), F.lit("}")))
+    return b.select(F.col("poly_id").alias("plan_id"), text.alias("payload"))
+
+
+@query(f"with b as ({fx.BOXES12}) select poly_id as plan_id, cast(0 as integer) as pos, cast(x0 as double) as x0, cast(y0 as double) as y0, cast(x1 as double) as x1, cast(y1 as double) as y1, cast(load as double) as load from b")
+def s01_normalise(spark, sf_dir):
+    p = payloads.normalised_polygons(_payloads(spark, sf_dir))
+    side = lambda f, c: F.round(f(F.transform("points", lambda q: q[c])), 6)
+    return p.select("plan_id", "pos", side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"), "load")
+
+
+@query(f"with b as ({fx.BOXES12}) select poly_id as plan_id, cast((x1 - x0) * (y1 - y0) as double) as area, cast(null as varchar) as problem from b")
+def s02_checked(spark, sf_dir):
+    return payloads.checked(payloads.normalised_polygons(_payloads(spark, sf_dir))).select("plan_id", F.round("area", 3).alias("area"), "problem")
+
+
+@query("select event_id, case when event_id % 7 = 0 or event_id % 5 = 0 then null else value end as value from events")
+def s11_json_safe(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    odd = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return e.select("event_id", payloads.json_safe(odd).alias("value"))
+
+
+@query("with b as (select p_partkey as name, repeat(p_name || '-' || p_type || ';', 3) as data from part) select name, i as part, substring(data, cast(i * 20 + 1 as bigint), 20) as data, octet_length(encode(data)) as bytes, sha256(data) as sha256 from (select *, unnest(generate_series(0, greatest(0, cast(ceil(length(data) / 20.0) as bigint) - 1))) as i from b)")
+def s16_chunks(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return payloads.chunks(p.select(F.col("p_partkey").alias("name"), F.expr("repeat(p_name || '-' || p_type || ';', 3)").alias("data")), 20)
+
+
+@query("select p_partkey as name, repeat(p_name || '-' || p_type || ';', 3) as data, true as ok from part")
+def s17_reassembled(spark, sf_dir):
+    return payloads.reassembled(s16_chunks(spark, sf_dir))
+
+
+@query("with r as (select l_orderkey as task_id, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as k from lineitem), f as (select task_id, cast(q as bigint) as n, min(k) as k from r group by task_id, cast(q as bigint)) select task_id, row_number() over (partition by task_id order by k) - 1 as pos, n from f")
+def t24_distinct_numbers(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    ns = l.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("n")))).alias("a"))
+    return payloads.distinct_numbers(ns.select("task_id", F.transform("a", lambda x: x["n"]).alias("ns")))
+
+
+@query("select o_orderkey as job_id, case when o_orderkey % 4 in (0, 1) then 'cbc' when o_orderkey % 4 = 2 then 'highs' end as solver from orders")
+def x20_solver_name(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    alias = F.get(F.array(F.lit(" CBC"), F.lit("pulp_cbc_cmd"), F.lit("HiGHS "), F.lit("other")), (F.col("o_orderkey") % 4).cast("int"))
+    return o.select(F.col("o_orderkey").alias("job_id"), payloads.solver_name(alias).alias("solver"))
+
+
+@query(f"with z as ({ZONES}) select plan_id, zone_id, 'Z' || row_number() over (partition by plan_id order by zone_id) || ' | C' || cls || ' | d' || cast(floor(diameter) as integer) || ' | s' || step as label from z")
+def s09_zone_labels(spark, sf_dir):
+    return payloads.zone_labels(fx.view(spark, sf_dir, ZONES))
