@@ -3,8 +3,8 @@
 A text is lower-cased, every ASCII character but letters becomes a blank, and its n-grams of one to three code points are
 counted in `DIMS` hashed places. Counts are damped, weighted by inverse document frequency over all training documents,
 and scaled to length one. Each language's vectors, from a bounded sample, are clustered by cosine; a text takes the
-language of the nearest centroid of any language, and is rejected if it lies further from it than nearly all of that
-language's sample does.
+language of the nearest centroid of any language, and is rejected if it lies much further from it than nearly all of that
+language's sample does. Short texts lie further from any centroid, so the limit is looser for them.
 
 Bounds: the sample holds `SAMPLE` documents at most, dealt evenly over the languages; the model sent to the tasks is
 DIMS * CENTROIDS floats a language; document frequencies reach the driver as DIMS numbers.
@@ -79,15 +79,18 @@ class Model:
     centres: np.ndarray
     of: np.ndarray
     least: np.ndarray
+    usual: np.ndarray | None = None  # n-grams of the middle text of each language's sample
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with the nearest centroid, and whether the text is rejected."""
         if not self.langs or text is None or not _LETTER.search(text):
             return "und", 0.0, True
-        near = self.centres @ weighted(counts(text), self.idf)
+        count = counts(text)
+        near = self.centres @ weighted(count, self.idf)
         best = int(np.argmax(near))
         lang = int(self.of[best])
-        return self.langs[lang], float(min(1.0, max(0.0, near[best]))), bool(near[best] < self.least[lang])
+        slack = 1.0 if self.usual is None else min(1.0, float(np.sqrt(count.sum() / max(self.usual[lang], 1))))
+        return self.langs[lang], float(min(1.0, max(0.0, near[best]))), bool(near[best] < slack * self.least[lang])
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -131,10 +134,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = stored(drawn.mapInArrow(run, "lang string, at array<int>, count array<int>"), "language-sample").toArrow()
     langs = tuple(sorted(sizes))
     vectors: dict[str, list[np.ndarray]] = {k: [] for k in langs}
+    lengths: dict[str, list[int]] = {k: [] for k in langs}
     for lang, at, count in zip(rows.column(0), rows.column(1), rows.column(2), strict=True):
         c = np.zeros(DIMS, np.int64)
         c[at.values.to_numpy()] = count.values.to_numpy()
         vectors[lang.as_py()].append(weighted(c, idf))
+        lengths[lang.as_py()].append(int(c.sum()))
     centres, of, least = [], [], []
     for i, k in enumerate(langs):
         got = np.stack(sorted(vectors[k], key=lambda v: v.tobytes())) if vectors[k] else np.zeros((0, DIMS), np.float32)
@@ -143,7 +148,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         of += [i] * len(own)
         near = (got @ own.T).max(axis=1) if len(got) else np.zeros(1)
         least.append(0.5 * float(np.quantile(near, 0.01)))
-    return Model(langs, idf, np.concatenate(centres), np.array(of), np.array(least))
+    return Model(langs, idf, np.concatenate(centres), np.array(of), np.array(least), np.array([np.median(lengths[k]) if lengths[k] else 1 for k in langs]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
