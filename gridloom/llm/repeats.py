@@ -48,7 +48,7 @@ _TABLE = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=41) for b in range(
 
 
 def _packed(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpacked(data: pa.Scalar) -> tuple:
