@@ -15,15 +15,19 @@ from gridloom.plans.cover import Cover
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_PART_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, and its oracle if it has one."""
+def query(sql: str | None = None, part: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, and its oracle if it has one. SQL that states less than the whole job is
+    given as part: it is no oracle, and tests compare it on small fixtures."""
 
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
+        if part:
+            _PART_SQL[f.__name__] = part
         return f
 
     return add
@@ -45,6 +49,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def part_sql() -> dict[str, str]:
+    queries()
+    return dict(_PART_SQL)
+
+
 def _c(spark: SparkSession, sf_dir: str, boxes: str = fx.BOXES12) -> Cover:
     return Cover.of(spark, sf_dir, boxes)
 
@@ -177,9 +186,9 @@ def p02_cover_rows(spark, sf_dir):
     return _c(spark, sf_dir).rows
 
 
-@query(f"with {cs.model(fx.BOXES6)} select plan_id, cand_id, row_id from cov")
+@query(part=f"with {cs.model(fx.BOXES6)} select plan_id, cand_id, row_id from cov")
 def p03_incidence(spark, sf_dir):
-    return _c(spark, sf_dir, fx.BOXES6).covers.select("plan_id", "cand_id", "row_id")
+    return _c(spark, sf_dir, fx.ALL6).covers.select("plan_id", "cand_id", "row_id")
 
 
 @query(f"with {cs.model(fx.BOXES12)} select plan_id, round(quantile_cont(cost, 0.5), 4) as scale from priced where cost > 0 group by plan_id")
@@ -192,20 +201,20 @@ _DOMINANCE = """, sig as (select p.plan_id, p.cand_id, p.cost, b.ub, (select coa
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_DOMINANCE} select plan_id, cand_id, cost, ub, row_number() over w as rank, coalesce(sum(ub) over (w rows between unbounded preceding and 1 preceding), 0) < 3 as kept "
+    part=f"with {cs.model(fx.BOXES6)}{_DOMINANCE} select plan_id, cand_id, cost, ub, row_number() over w as rank, coalesce(sum(ub) over (w rows between unbounded preceding and 1 preceding), 0) < 3 as kept "
     "from sig window w as (partition by plan_id, s order by cost, cand_id)"
 )
 def p08_dominance(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.dominance(c.priced, c.covers, 3).drop("signature")
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)} select r.plan_id, r.row_id, r.need, cast(coalesce(sum(b.ub), 0) as bigint) as capacity, coalesce(sum(b.ub), 0) >= r.need as enough from need_row r "
+    part=f"with {cs.model(fx.BOXES6)} select r.plan_id, r.row_id, r.need, cast(coalesce(sum(b.ub), 0) as bigint) as capacity, coalesce(sum(b.ub), 0) >= r.need as enough from need_row r "
     "left join cov v on v.plan_id = r.plan_id and v.row_id = r.row_id left join bound b on b.plan_id = v.plan_id and b.cand_id = v.cand_id group by r.plan_id, r.row_id, r.need"
 )
 def p08_row_capacity(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.row_capacity(c.rows, c.covers, c.bounds)
 
 
@@ -224,11 +233,11 @@ good as (select p.* from pair p join total t on t.plan_id = p.plan_id where t.wo
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_PAIR} select t.plan_id, t.n_rows, g.i is not null as feasible, g.i as cand_a, g.j as cand_b, g.cost from total t left join "
+    part=f"with {cs.model(fx.BOXES6)}{_PAIR} select t.plan_id, t.n_rows, g.i is not null as feasible, g.i as cand_a, g.j as cand_b, g.cost from total t left join "
     "(select plan_id, arg_min(i, {'c': cost, 'i': i, 'j': j}) as i, arg_min(j, {'c': cost, 'i': i, 'j': j}) as j, min(cost) as cost from good group by plan_id) g on g.plan_id = t.plan_id"
 )
 def x02_best_n2(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.best_pair(c.priced, c.rows, c.covers)
 
 
@@ -241,47 +250,47 @@ _CHOSEN = ", chosen as (select plan_id, cand_id, case when cand_id = 3 then 2 el
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_CHOSEN}, s as (select r.plan_id, r.row_id, r.need, coalesce(sum(c.copies), 0) as supply from need_row r left join cov v on v.plan_id = r.plan_id and v.row_id = r.row_id "
+    part=f"with {cs.model(fx.BOXES6)}{_CHOSEN}, s as (select r.plan_id, r.row_id, r.need, coalesce(sum(c.copies), 0) as supply from need_row r left join cov v on v.plan_id = r.plan_id and v.row_id = r.row_id "
     "left join chosen c on c.plan_id = v.plan_id and c.cand_id = v.cand_id where r.plan_id in (select plan_id from chosen) group by all) "
     "select plan_id, bool_and(supply >= need) as ok, count(*) filter (supply < need) as lacking from s group by plan_id"
 )
 def p11_verify(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.verified(c.rows, c.covers, _chosen(c))
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_CHOSEN}, h as (select plan_id, sum(copies) as have from chosen group by plan_id), "
+    part=f"with {cs.model(fx.BOXES6)}{_CHOSEN}, h as (select plan_id, sum(copies) as have from chosen group by plan_id), "
     "r as (select p.plan_id, p.cand_id, p.cost, coalesce(c.copies, 0) as copies, have, greatest(b.ub - coalesce(c.copies, 0), 0) as spare from priced p join bound b on b.plan_id = p.plan_id and b.cand_id = p.cand_id "
     "join h on h.plan_id = p.plan_id left join chosen c on c.plan_id = p.plan_id and c.cand_id = p.cand_id), "
     "a as (select *, least(spare, greatest(9 - have - coalesce(sum(spare) over (partition by plan_id order by cost, cand_id rows between unbounded preceding and 1 preceding), 0), 0)) as added from r) "
     "select plan_id, cand_id, cast(copies + added as bigint) as copies, cast(added as bigint) as added from a where copies + added > 0"
 )
 def p12_extend(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.extended(c.priced, c.bounds, _chosen(c), 9)
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_CHOSEN} select c.plan_id, cast(sum(copies) as bigint) as zones, count(*) as distinct_zones, cast(sum(copies * base_area) as bigint) as base_area, cast(sum(copies * area) as bigint) as area, "
+    part=f"with {cs.model(fx.BOXES6)}{_CHOSEN} select c.plan_id, cast(sum(copies) as bigint) as zones, count(*) as distinct_zones, cast(sum(copies * base_area) as bigint) as base_area, cast(sum(copies * area) as bigint) as area, "
     "round(sum(copies * cost), 1) as total_cost from chosen c join priced p on p.plan_id = c.plan_id and p.cand_id = c.cand_id group by c.plan_id"
 )
 def p13_materialize(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return model.materialised(c.priced, _chosen(c))
 
 
 @query(
-    f"with {cs.model(fx.BOXES6)}{_PAIR} select t.plan_id, 2 as n, case when g.cost is null then 'infeasible' else 'optimal' end as status, g.cost from total t left join (select plan_id, min(cost) as cost from good group by plan_id) g on g.plan_id = t.plan_id"
+    part=f"with {cs.model(fx.BOXES6)}{_PAIR} select t.plan_id, 2 as n, case when g.cost is null then 'infeasible' else 'optimal' end as status, g.cost from total t left join (select plan_id, min(cost) as cost from good group by plan_id) g on g.plan_id = t.plan_id"
 )
 def x01_solve_n2(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return solve.solved(c.bounds, c.rows, c.covers, c.priced, [2]).select("plan_id", "n", "status", F.round("cost", 1).alias("cost"))
 
 
 @query()
 def x01_solve_n3(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return solve.solved(c.bounds, c.rows, c.covers, c.priced, [3]).select("plan_id", "n", "status", F.round("cost", 1).alias("cost"), F.concat_ws(",", "zones").alias("zones"))
 
 
@@ -294,13 +303,13 @@ side as (select plan_id, 'x' as side, unnest(generate_series(y0, y1)) as iy, x0
   union all select plan_id, 'y', y0 - 1, unnest(generate_series(x0, x1)) from sides_of union all select plan_id, 'y', y1, unnest(generate_series(x0, x1)) from sides_of)"""
 
 
-@query(f"with {cs.rectangles(fx.BOXES6)}{_SIDES} select plan_id, side, iy, ix, count(*) as support from side group by all")
+@query(part=f"with {cs.rectangles(fx.BOXES6)}{_SIDES} select plan_id, side, iy, ix, count(*) as support from side group by all")
 def m01_boundary_support(spark, sf_dir):
-    return mosaic.boundary_support(_some(_c(spark, sf_dir, fx.BOXES6)))
+    return mosaic.boundary_support(_some(_c(spark, sf_dir, fx.ALL6)))
 
 
 @query(
-    f"with recursive {cs.rectangles(fx.BOXES6).lstrip()}{_SIDES}, cl as (select plan_id, iy, ix, cls from cell where cls > 0), "
+    part=f"with recursive {cs.rectangles(fx.BOXES6).lstrip()}{_SIDES}, cl as (select plan_id, iy, ix, cls from cell where cls > 0), "
     "one as (select a.plan_id, a.iy, a.ix, b.iy as jy, b.ix as jx from cl a join cl b on a.plan_id = b.plan_id and a.cls = b.cls and ((b.ix = a.ix + 1 and b.iy = a.iy) or (b.ix = a.ix and b.iy = a.iy + 1)) "
     "where not exists (select 1 from side s where s.plan_id = a.plan_id and s.iy = a.iy and s.ix = a.ix and s.side = case when b.iy = a.iy then 'x' else 'y' end)), "
     "step as (select * from one union all select plan_id, jy, jx, iy, ix from one), "
@@ -308,5 +317,5 @@ def m01_boundary_support(spark, sf_dir):
     "select plan_id, iy, ix, min(ry * 1048576 + rx) as label from reach group by plan_id, iy, ix"
 )
 def m01_mosaic(spark, sf_dir):
-    c = _c(spark, sf_dir, fx.BOXES6)
+    c = _c(spark, sf_dir, fx.ALL6)
     return mosaic.mosaic(c.cells, _some(c))

@@ -17,7 +17,9 @@ def _boxes(per_plan: int, columns: int, rows: int, unit: int, where: str = "") -
 
 BOXES60 = _boxes(60, 40, 32, 250)
 BOXES12 = _boxes(12, 12, 10, 500)
+#: The first 100 plans of ALL6, for SQL that enumerates tuples; queries read ALL6.
 BOXES6 = _boxes(6, 6, 5, 500, " where p_partkey < 600")
+ALL6 = _boxes(6, 6, 5, 500)
 STOCK = "select stock_id, diameter, step from (values (0,18,300),(1,20,150),(2,20,100),(3,25,150),(4,25,100)) as t(stock_id, diameter, step)"
 INCUMBENTS = (
     "select cast(l_orderkey % 50 as bigint) as plan_id, cast(l_linenumber as bigint) as n, case when l_linestatus = 'F' then 0 else 1 end as not_optimal, "
