@@ -133,19 +133,21 @@ def termination(rows: DataFrame) -> DataFrame:
 
 def planned_order(requests: DataFrame) -> DataFrame:
     """The order in which each request (task_id, start, stop, step) tries its numbers: multiples of step and the stop,
-    then the middles of the gaps, breadth first: task_id, pos, n."""
-    spark = requests.sparkSession
-    return spark.sql(
-        """
-        with recursive seeds as (
-          select task_id, start, explode(array_distinct(concat(filter(sequence(start, stop), v -> v % step = 0), array(stop)))) as n from {requests}),
-        gaps as (select task_id, lag(n, 1, start - 1) over (partition by task_id order by n) as l, n as r from seeds),
-        tree(task_id, l, r, depth) as (
-          select task_id, l, r, 1 from gaps
-          union all
-          select task_id, if(side = 0, l, div(l + r, 2)), if(side = 0, div(l + r, 2), r), depth + 1 from tree cross join (select explode(array(0, 1)) as side) where r - l > 1),
-        found as (select task_id, 0 as depth, n from seeds union all select task_id, depth, div(l + r, 2) from tree where r - l > 1)
-        select task_id, cast(row_number() over (partition by task_id order by depth, n) - 1 as int) as pos, n from (select task_id, n, min(depth) as depth from found group by task_id, n)
-        """,
-        requests=requests,
-    )
+    then the middles of the gaps, breadth first: task_id, pos, n.
+
+    Each number's depth is how often its gap is halved until it is the middle, so no table of gaps grows by rounds."""
+    rows = requests.select("task_id", "start", "stop", "step", F.explode(F.sequence("start", "stop")).alias("n"))
+    low, high = F.expr("greatest(div(n - 1, step) * step, start - 1)"), F.expr("least(div(n + step - 1, step) * step, stop)")
+    low = F.when(F.expr("div(n - 1, step) * step >= start"), low).otherwise(F.col("start") - 1)
+    gap = F.struct(low.cast("long").alias("l"), high.cast("long").alias("r"), F.lit(0).alias("depth"))
+
+    def halved(s, _):
+        middle = F.floor((s["l"] + s["r"]) / 2)
+        met = (s["r"] == F.col("n")) | (s["l"] == F.col("n"))
+        down = F.when(F.col("n") <= middle, s["l"]).otherwise(middle)
+        up = F.when(F.col("n") <= middle, middle).otherwise(s["r"])
+        return F.when(met, s).otherwise(F.struct(down.alias("l"), up.alias("r"), (s["depth"] + 1).alias("depth")))
+
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.col("step") + 1)).cast("int") + 1)
+    order = F.row_number().over(Window.partitionBy("task_id").orderBy("depth", "n")) - 1
+    return rows.withColumn("depth", F.aggregate(halvings, gap, halved)["depth"]).select("task_id", order.cast("int").alias("pos"), "n")

@@ -102,7 +102,7 @@ def t21_snapshot(spark, sf_dir):
 
 
 @query(
-    "with recursive q as (select p_partkey as task_id, p_size as start, p_size + 20 + p_partkey % 80 as stop, 3 + p_partkey % 8 as step from part where p_partkey < 100), "
+    part="with recursive q as (select p_partkey as task_id, p_size as start, p_size + 20 + p_partkey % 80 as stop, 3 + p_partkey % 8 as step from part where p_partkey < 100), "
     "seeds as (select distinct task_id, start, n from (select task_id, start, step, stop, unnest(generate_series(start, stop)) as n from q) where n % step = 0 or n = stop), "
     "gaps as (select task_id, coalesce(lag(n) over (partition by task_id order by n), start - 1) as l, n as r from seeds), "
     "tree as (select task_id, l, r, 1 as depth from gaps union all select task_id, case when side = 0 then l else (l + r) // 2 end, case when side = 0 then (l + r) // 2 else r end, depth + 1 from tree cross join (values (0), (1)) as s(side) where r - l > 1), "
@@ -110,7 +110,7 @@ def t21_snapshot(spark, sf_dir):
     "select task_id, row_number() over (partition by task_id order by depth, n) - 1 as pos, n from (select task_id, n, min(depth) as depth from found group by task_id, n)"
 )
 def t22_order(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 100")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return state.planned_order(parts.selectExpr("p_partkey as task_id", "cast(p_size as bigint) as start", "p_size + 20 + p_partkey % 80 as stop", "3 + p_partkey % 8 as step"))
 
 

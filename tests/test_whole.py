@@ -52,3 +52,11 @@ def test_plans_after_the_hundredth(spark, tmp_path, name):
     assert rows
     if name in catalog.part_sql() and not name.startswith("m01"):
         assert rows == asked(catalog.part_sql()[name], fixture(spark, tmp_path / "low", 24))
+
+
+def test_order_of_every_request(spark, tmp_path):
+    """The SQL tells the first hundred requests; each other one follows from its own numbers."""
+    low, high = fixture(spark, tmp_path / "low", 100), fixture(spark, tmp_path / "high", 30, 8000)
+    assert told(spark, "t22_order", low) == asked(catalog.part_sql()["t22_order"], low)
+    rows = told(spark, "t22_order", high, task_id=8000)
+    assert rows and rows == asked(catalog.part_sql()["t22_order"], fixture(spark, tmp_path / "few", 30))
