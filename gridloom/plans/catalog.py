@@ -294,8 +294,8 @@ def x01_solve_n3(spark, sf_dir):
     return solve.solved(c.bounds, c.rows, c.covers, c.priced, [3]).select("plan_id", "n", "status", F.round("cost", 1).alias("cost"), F.concat_ws(",", "zones").alias("zones"))
 
 
-def _some(c: Cover) -> DataFrame:
-    return c.candidates.where("cand_id % 5 = 0").select("plan_id", "x0", "y0", "x1", "y1")
+def _sides(c: Cover) -> DataFrame:
+    return c.candidates.select("plan_id", "x0", "y0", "x1", "y1")
 
 
 _SIDES = """, sides_of as (select plan_id, x0, y0, x1, y1 from cand where cand_id % 5 = 0),
@@ -305,7 +305,7 @@ side as (select plan_id, 'x' as side, unnest(generate_series(y0, y1)) as iy, x0
 
 @query(part=f"with {cs.rectangles(fx.BOXES6)}{_SIDES} select plan_id, side, iy, ix, count(*) as support from side group by all")
 def m01_boundary_support(spark, sf_dir):
-    return mosaic.boundary_support(_some(_c(spark, sf_dir, fx.ALL6)))
+    return mosaic.boundary_support(_sides(_c(spark, sf_dir, fx.ALL6)))
 
 
 @query(
@@ -318,4 +318,4 @@ def m01_boundary_support(spark, sf_dir):
 )
 def m01_mosaic(spark, sf_dir):
     c = _c(spark, sf_dir, fx.ALL6)
-    return mosaic.mosaic(c.cells, _some(c))
+    return mosaic.mosaic(c.cells, _sides(c))

@@ -1,10 +1,15 @@
 """Queries whose SQL states less than the whole job, on small fixtures: SQL where it holds, brute force beyond it."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from test_queries import SF, plain
 
+from gridloom.operators import mosaic
 from gridloom.plans import catalog
+from gridloom.plans import fixtures as fx
+from gridloom.plans.cover import Cover
 
 BOXES6 = ("p03_incidence", "p08_dominance", "p08_row_capacity", "x02_best_n2", "p11_verify", "p12_extend", "p13_materialize", "x01_solve_n2", "x01_solve_n3", "m01_boundary_support", "m01_mosaic")
 
@@ -60,3 +65,27 @@ def test_order_of_every_request(spark, tmp_path):
     assert told(spark, "t22_order", low) == asked(catalog.part_sql()["t22_order"], low)
     rows = told(spark, "t22_order", high, task_id=8000)
     assert rows and rows == asked(catalog.part_sql()["t22_order"], fixture(spark, tmp_path / "few", 30))
+
+
+def test_mosaic_of_all_candidates(spark, tmp_path):
+    """Every candidate's sides count; the SQL tells the same of every fifth candidate."""
+    sf = fixture(spark, tmp_path, 12)
+    c = Cover.of(spark, sf, fx.ALL6)
+    cands, cells = c.candidates.collect(), {(r["plan_id"], r["iy"], r["ix"]): r["cls"] for r in c.cells.where("cls > 0").collect()}
+    support = Counter()
+    for r in cands:
+        support.update((r["plan_id"], "x", y, x) for y in range(r["y0"], r["y1"] + 1) for x in (r["x0"] - 1, r["x1"]))
+        support.update((r["plan_id"], "y", y, x) for x in range(r["x0"], r["x1"] + 1) for y in (r["y0"] - 1, r["y1"]))
+    label = {k: k for k in cells}
+    for _ in cells:
+        for p, y, x in cells:
+            for side, to in (("x", (p, y, x + 1)), ("y", (p, y + 1, x))):
+                if cells.get(to) == cells[p, y, x] and not support[p, side, y, x]:
+                    label[p, y, x] = label[to] = min(label[p, y, x], label[to])
+    fifth = c.candidates.where("cand_id % 5 = 0").select("plan_id", "x0", "y0", "x1", "y1")
+    df = mosaic.boundary_support(fifth)
+    assert sorted([plain(r[k]) for k in sorted(df.columns)] for r in df.collect()) == asked(catalog.part_sql()["m01_boundary_support"], sf)
+    got = {(r["plan_id"], r["side"], r["iy"], r["ix"]): r["support"] for r in catalog.queries()["m01_boundary_support"](spark, sf).collect()}
+    assert got == dict(support)
+    got = {(r["plan_id"], r["iy"], r["ix"]): r["label"] for r in catalog.queries()["m01_mosaic"](spark, sf).collect()}
+    assert got == {k: y * (1 << 20) + x for k, (_, y, x) in label.items()}
