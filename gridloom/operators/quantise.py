@@ -72,14 +72,14 @@ def partition_costs(costs: np.ndarray, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def exact_partitions(costs: DataFrame, most: int) -> DataFrame:
-    """For each plan, axis and number of stretches up to most the least total cost, where there is one."""
+def exact_partitions(costs: DataFrame, most: int | None = None) -> DataFrame:
+    """For each plan, axis and number of stretches, up to most or the axis's events, the least total cost, where there is one."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["j"].max()) + 1
         c = np.full((n, n), np.inf)
         c[group["i"], group["j"]] = group["cost"].astype(float).fillna(np.inf)
-        got = partition_costs(c, most)
+        got = partition_costs(c, n if most is None else most)
         k = np.flatnonzero(np.isfinite(got))
         return pd.DataFrame({"plan_id": group["plan_id"].iloc[0], "axis": group["axis"].iloc[0], "k": k + 1, "cost": got[k].astype("int64")})
 
@@ -97,7 +97,7 @@ def nearest_lines(values: DataFrame, lines: DataFrame, within: int) -> DataFrame
 
 
 def spaced(lines: DataFrame, width: int) -> DataFrame:
-    """Lines moved right as little as keeps neighbours width apart: plan_id, idx, coord, moved."""
-    order = Window.partitionBy("plan_id").orderBy("idx")
+    """Lines moved right as little as keeps neighbours width apart, on each axis: plan_id, axis, idx, coord, moved."""
+    order = Window.partitionBy("plan_id", "axis").orderBy("idx")
     reach = F.max(F.col("coord") - F.col("idx") * width).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("idx") * width
-    return lines.select("plan_id", "idx", "coord", reach.alias("moved"))
+    return lines.select("plan_id", "axis", "idx", "coord", reach.alias("moved"))

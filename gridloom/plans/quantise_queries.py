@@ -19,21 +19,21 @@ events as (select plan_id, 'x' as axis, row_number() over (partition by plan_id
 
 def _events(spark, sf_dir):
     c = Cover.of(spark, sf_dir)
-    return quantise.axis_events(c.loads, c.x, c.y, "x", 400)
+    return quantise.axis_events(c.loads, c.x, c.y, "x", 400).unionByName(quantise.axis_events(c.loads, c.y, c.x, "y", 400))
 
 
-@query(f"{_EVENTS} select plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus from events")
+@query(part=f"{_EVENTS} select plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus from events")
 def q03_axis_events(spark, sf_dir):
     return _events(spark, sf_dir)
 
 
-@query(f"{_EVENTS} select plan_id, idx, case when idx % 2 = 0 then 0 else 1200 end as tol_minus, case when idx % 3 = 0 then 0 else 1200 end as tol_plus from events")
+@query(part=f"{_EVENTS} select plan_id, idx, case when idx % 2 = 0 then 0 else 1200 end as tol_minus, case when idx % 3 = 0 then 0 else 1200 end as tol_plus from events")
 def q16_locked_scaled(spark, sf_dir):
-    return quantise.locked(quantise.scaled_tolerances(_events(spark, sf_dir), 3), F.col("idx") % 2 == 0, F.col("idx") % 3 == 0).select("plan_id", "idx", "tol_minus", "tol_plus")
+    return quantise.locked(quantise.scaled_tolerances(_events(spark, sf_dir), 3), F.col("idx") % 2 == 0, F.col("idx") % 3 == 0).select("plan_id", "axis", "idx", "tol_minus", "tol_plus")
 
 
 @query(
-    f"with recursive {_EVENTS[5:]}, span as (select plan_id, coord - 400 as lo, coord + 400 as hi from events), "
+    part=f"with recursive {_EVENTS[5:]}, span as (select plan_id, coord - 400 as lo, coord + 400 as hi from events), "
     "stab as (select plan_id, min(hi) as at, 1 as n from span group by plan_id union all select s.plan_id, t.hi, n + 1 from stab s join lateral (select min(hi) as hi from span where span.plan_id = s.plan_id and span.lo > s.at) t on t.hi is not null) "
     "select plan_id, 'x' as axis, max(n) as lines from stab group by plan_id"
 )
@@ -47,18 +47,18 @@ _COSTS = """, seg as (
 cost as (select plan_id, i, j, cast(min(case when ok then cost end) as bigint) as cost from seg group by plan_id, i, j)"""
 
 
-@query(f"{_EVENTS}{_COSTS} select plan_id, 'x' as axis, i, j, cost from cost")
+@query(part=f"{_EVENTS}{_COSTS} select plan_id, 'x' as axis, i, j, cost from cost")
 def q07_segment_costs(spark, sf_dir):
     return quantise.segment_costs(_events(spark, sf_dir))
 
 
 @query(
-    f"with recursive {_EVENTS[5:]}{_COSTS}, last as (select plan_id, max(idx) as n from events group by plan_id), walk as (select plan_id, 1 as k, j, cost from cost where i = 0 and cost is not null "
+    part=f"with recursive {_EVENTS[5:]}{_COSTS}, last as (select plan_id, max(idx) as n from events group by plan_id), walk as (select plan_id, 1 as k, j, cost from cost where i = 0 and cost is not null "
     "union all select plan_id, k, j, min(cost) from (select w.plan_id, w.k + 1 as k, c.j, w.cost + c.cost as cost from walk w join cost c on c.plan_id = w.plan_id and c.i = w.j + 1 where c.cost is not null and w.k < 12) group by plan_id, k, j) "
     "select w.plan_id, 'x' as axis, k, min(cost) as cost from walk w join last l on l.plan_id = w.plan_id and l.n = w.j group by w.plan_id, k"
 )
 def q09_exact_frontier(spark, sf_dir):
-    return quantise.exact_partitions(quantise.segment_costs(_events(spark, sf_dir)), 12)
+    return quantise.exact_partitions(quantise.segment_costs(_events(spark, sf_dir)))
 
 
 @query(
@@ -71,6 +71,6 @@ def q14_nearest(spark, sf_dir):
     return quantise.nearest_lines(b.select("plan_id", F.col("x0").alias("v")), lines, 300)
 
 
-@query(f"{_EVENTS} select plan_id, idx, coord, max(coord - idx * 700) over (partition by plan_id order by idx rows unbounded preceding) + idx * 700 as moved from events")
+@query(part=f"{_EVENTS} select plan_id, idx, coord, max(coord - idx * 700) over (partition by plan_id order by idx rows unbounded preceding) + idx * 700 as moved from events")
 def q18_spacing(spark, sf_dir):
     return quantise.spaced(_events(spark, sf_dir), 700)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, plain
 
-from gridloom.operators import mosaic
+from gridloom.operators import mosaic, quantise
 from gridloom.plans import catalog
 from gridloom.plans import fixtures as fx
 from gridloom.plans.cover import Cover
@@ -89,3 +89,25 @@ def test_mosaic_of_all_candidates(spark, tmp_path):
     assert got == dict(support)
     got = {(r["plan_id"], r["iy"], r["ix"]): r["label"] for r in catalog.queries()["m01_mosaic"](spark, sf).collect()}
     assert got == {k: y * (1 << 20) + x for k, (_, y, x) in label.items()}
+
+
+#: The boxes of a plan with x and y exchanged: what the SQL tells of their x axis holds for the y axis of the plan.
+TURNED = fx.BOXES12.replace(" as x", " as z").replace(" as y0", " as x0").replace(" as y1", " as x1").replace(" as z", " as y")
+
+
+@pytest.mark.parametrize("name", ["q03_axis_events", "q06_min_lines", "q07_segment_costs", "q09_exact_frontier", "q16_locked_scaled", "q18_spacing"])
+def test_both_axes(spark, tmp_path, name):
+    """The SQL tells the x axis, q09's up to 12 stretches."""
+    sf, sql = fixture(spark, tmp_path, 24), catalog.part_sql()[name]
+    df = catalog.queries()[name](spark, sf)
+    got, columns = df.collect(), sorted(c for c in df.columns if c != "axis")
+    for axis, text in (("x", sql), ("y", sql.replace(fx.BOXES12, TURNED))):
+        rows = sorted([plain(r[c]) for c in columns] for r in got if r["axis"] == axis and (name != "q09_exact_frontier" or r["k"] <= 12))
+        assert rows and rows == asked(f"select {', '.join(columns)} from ({text})", sf)
+
+
+def test_frontier_of_thirteen_lines(spark):
+    """Thirteen lines out of each other's reach have one partition, of thirteen stretches."""
+    events = spark.range(13).selectExpr("1L as plan_id", "'y' as axis", "id as idx", "id * 1000 as coord", "5L as w_minus", "5L as w_plus", "400L as tol_minus", "400L as tol_plus")
+    got = quantise.exact_partitions(quantise.segment_costs(events)).collect()
+    assert [tuple(r) for r in got] == [(1, "y", 13, 0)]
