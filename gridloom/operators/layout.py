@@ -69,6 +69,15 @@ def close_pairs(bars: DataFrame, gap: int) -> DataFrame:
     return met.select("plan_id", F.col("id").alias("a"), F.col("id2").alias("b"), (F.col("x2") - F.col("x")).alias("distance"))
 
 
+def coincident_triples(bars: DataFrame) -> DataFrame:
+    """Triples of zones that each have a bar at one place where all three run: plan_id, a, b, c, x, y0, y1."""
+    rows = bars.select("plan_id", "x", *(F.col(c).alias(f"{c}1") for c in ("zone_id", "y0", "y1")))
+    second, third = (bars.select("plan_id", "x", *(F.col(c).alias(f"{c}{k}") for c in ("zone_id", "y0", "y1"))) for k in (2, 3))
+    pairs = rows.join(second, ["plan_id", "x"]).where("zone_id1 < zone_id2 and least(y11, y12) > greatest(y01, y02)")
+    met = pairs.join(third, ["plan_id", "x"]).where("zone_id2 < zone_id3").withColumns({"y0": F.greatest("y01", "y02", "y03"), "y1": F.least("y11", "y12", "y13")})
+    return met.where("y1 > y0").select("plan_id", F.col("zone_id1").alias("a"), F.col("zone_id2").alias("b"), F.col("zone_id3").alias("c"), "x", "y0", "y1")
+
+
 def shared_bars(bars: DataFrame) -> DataFrame:
     """Bars of one class at one place that overlap or touch, as one: plan_id, cls, x, y0, y1, zones."""
     place = ["plan_id", "cls", "x"]

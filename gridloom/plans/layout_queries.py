@@ -71,6 +71,14 @@ def l20_close_pairs(spark, sf_dir):
     return layout.close_pairs(layout.positions(_zones(spark, sf_dir)), 60)
 
 
+@query(
+    f"{_B} select a.plan_id, a.zone_id as a, b.zone_id as b, c.zone_id as c, a.x, greatest(a.y0, b.y0, c.y0) as y0, least(a.y1, b.y1, c.y1) as y1 from bars a join bars b on a.plan_id = b.plan_id and a.x = b.x and a.zone_id < b.zone_id "
+    "join bars c on c.plan_id = b.plan_id and c.x = b.x and b.zone_id < c.zone_id where least(a.y1, b.y1, c.y1) > greatest(a.y0, b.y0, c.y0)"
+)
+def l20_triples(spark, sf_dir):
+    return layout.coincident_triples(layout.positions(_zones(spark, sf_dir)))
+
+
 @query(
     f"{_Z}, b as ({fx.BOXES12}), w as (select * from z where zone_id % 2 = 0) select b.plan_id, b.poly_id, count(w.zone_id) as holders from b left join w on w.plan_id = b.plan_id and w.x0 <= b.x0 and w.x1 >= b.x1 and w.y0 <= b.y0 and w.y1 >= b.y1 group by all having count(w.zone_id) < 1"
 )

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from test_queries import SF, plain
 
-from gridloom.operators import mosaic, quantise
+from gridloom.operators import layout, mosaic, quantise
 from gridloom.plans import catalog
 from gridloom.plans import fixtures as fx
 from gridloom.plans.cover import Cover
@@ -111,3 +111,10 @@ def test_frontier_of_thirteen_lines(spark):
     events = spark.range(13).selectExpr("1L as plan_id", "'y' as axis", "id as idx", "id * 1000 as coord", "5L as w_minus", "5L as w_plus", "400L as tol_minus", "400L as tol_plus")
     got = quantise.exact_partitions(quantise.segment_costs(events)).collect()
     assert [tuple(r) for r in got] == [(1, "y", 13, 0)]
+
+
+def test_triples_at_one_place(spark):
+    """Three bars at one place are told where all run; two of them, or three that never run together, are not."""
+    rows = [(1, z, z, 0, x, y0, y1) for z, x, y0, y1 in [(1, 100, 0, 50), (2, 100, 20, 90), (3, 100, 40, 70), (4, 100, 60, 80), (5, 200, 0, 9), (6, 200, 0, 9)]]
+    bars = spark.createDataFrame(rows, "plan_id long, zone_id long, cls int, bar long, x long, y0 long, y1 long")
+    assert sorted(map(tuple, layout.coincident_triples(bars).collect())) == [(1, 1, 2, 3, 100, 40, 50), (1, 2, 3, 4, 100, 60, 70)]
