@@ -9,8 +9,9 @@ document, and in order, as hexadecimal digits, its fingerprint.
 Sets are compared by Jaccard similarity. `near_pairs` partitions sets by length, so that only sets whose lengths can reach
 the threshold meet, and joins them on their rarest signatures; equal sets are one class.
 
-`edited` compares documents with their successor without a window over the whole table: ids are cut at quantiles into
-bounded buckets, and each bucket also gets the first document of the next one.
+`edited` compares documents with their successor without a window over the whole table: ids are cut at quantiles, and
+between them by value, into buckets of a bounded size whose number follows the input; each bucket also gets the first
+document of the next one, told by a table of one row a bucket. Many rows of one id, or without one, are dealt by text.
 
 Defined results. Null or empty text, or white space alone: the empty fingerprint; two empty sets are alike (1.0). A text of
 marks alone has one signature, its own hash. Null ids sort first; rows that repeat an id are ordered by the text's hash; a
@@ -80,33 +81,56 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)).cast("double"), share)
 
 
-def _bucket(cuts: list, most: int = 1 << 16) -> Column:
-    """How many of the sorted cuts are at most doc_id, by binary search."""
+_LOW = -(1 << 63)
+#: Quantiles of doc_id that one pass finds; larger inputs divide each of their ranges further, by the ids themselves.
+_RANGES = 1 << 12
+
+
+def _count(cuts: Column, n: int, below: Callable[[Column], Column]) -> Column:
+    """How many of n sorted cuts are below, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & below(F.get(cuts, at + s - 1)), at + s).otherwise(at))
+
+
+def _placed(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows (id, ord) with bucket, which grows with id and then ord. Ids between two quantiles share out that range's buckets
+    by their value; an id that fills whole ranges shares them out by ord."""
+    ranges = max(1, min(buckets, _RANGES))
+    shares = ", ".join(str(i / ranges) for i in range(ranges + 1))
+    cuts = rows.agg(F.expr(f"percentile_approx(id, array({shares}), 100000)")).first()[0] if ranges > 1 else None
     if not cuts:
-        return F.lit(0)
-    table = F.array(*map(F.lit, cuts)) if len(cuts) < 64 else F.from_json(F.lit("[" + ",".join(map(str, cuts)) + "]"), "array<bigint>")
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
-    at = lambda n, s: F.when((n + s <= len(cuts)) & (F.get(table, n + s - 1) <= F.col("doc_id")), n + s).otherwise(n)
-    return F.coalesce(F.aggregate(steps, F.lit(0), at), F.lit(0))
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
+    n, sub = len(cuts), -(-buckets // ranges)
+    listed = F.from_json(F.lit("[" + ",".join(map(str, sorted(cuts))) + "]"), "array<bigint>")
+    lo, hi = _count(listed, n, lambda c: c < F.col("id")), _count(listed, n, lambda c: c <= F.col("id"))
+    rows = rows.withColumn("lo", lo).withColumn("hi", hi)
+    low, high = (F.get(listed, F.col("lo") + i).cast("double") for i in (-1, 0))
+    share = F.when((F.col("lo") > 0) & (F.col("lo") < n), F.greatest(F.lit(0.0), F.least((F.col("id") - low) / (high - low), F.lit(1 - 2**-20)))).otherwise(0.0)
+    alike = (F.col("ord").cast("double") + 2.0**63) / 2.0**64 * (F.col("hi") - F.col("lo") - 1)
+    at = F.when(F.col("hi") > F.col("lo"), F.col("lo") + 1 + F.least(alike, F.col("hi") - F.col("lo") - 1)).otherwise(F.col("lo") + share)
+    return rows.withColumn("bucket", F.floor(at * sub).cast("long")).drop("lo", "hi")
+
+
+def _homes(placed: DataFrame) -> DataFrame:
+    """The first (id, ord) of each bucket and the bucket before it, for the first one the last: one row a bucket."""
+    firsts = stored(placed.groupBy("bucket").agg(F.min(F.struct("id", "ord")).alias("first")).withColumn("block", F.shiftright("bucket", 12)), "spot-firsts")
+    blocks = firsts.groupBy("block").agg(F.max("bucket").alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("block")), F.max("last").over(Window.partitionBy(F.lit(0))))
+    blocks = blocks.select("block", before.alias("before"))
+    home = F.coalesce(F.lag("bucket").over(Window.partitionBy("block").orderBy("bucket")), F.col("before"))
+    return stored(firsts.join(blocks, "block").select("bucket", "first.id", "first.ord", home.alias("home")), "spot-homes")
 
 
 def with_successor(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """rows (doc_id, ord and columns) with next_ of each column: that of the next row by doc_id, ord; of the first after the last."""
-    buckets = max(1, min(buckets, 1 << 16))
-    shares = ", ".join(str(i / buckets) for i in range(1, buckets))
-    cuts = rows.agg(F.expr(f"percentile_approx(doc_id, array({shares}), 100000)")).first()[0] if buckets > 1 else []
-    placed = rows.withColumn("bucket", _bucket(sorted(set(cuts or []))))
-    low = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min(low).alias("first")).collect())
-    first, home = ["null"] * buckets, ["null"] * buckets
-    for i, (b, f) in enumerate(firsts):
-        first[b], home[b] = str(f), str(firsts[i - 1][0])
-    listed = lambda x, kind: F.from_json(F.lit(f"[{','.join(x)}]"), f"array<{kind}>")
-    guest = F.struct(F.get(listed(home, "int"), F.col("bucket")).alias("bucket"), F.lit(True).alias("guest"))
-    guests = F.when(F.get(listed(first, "bigint"), F.col("bucket")) == low, F.array(guest)).otherwise(F.expr("cast(array() as array<struct<bucket:int,guest:boolean>>)"))
-    dealt = placed.withColumn("place", F.explode(F.concat(F.array(F.struct("bucket", F.lit(False).alias("guest"))), guests))).drop("bucket").select("*", "place.bucket", "place.guest")
-    order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "ord")
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not guest").drop("place", "bucket", "guest")
+    placed = _placed(rows.withColumn("id", F.coalesce("doc_id", F.lit(_LOW))), buckets)
+    homes = _homes(placed.select("id", "ord", "bucket"))
+    guest = lambda at, is_guest: F.struct(at.alias("bucket"), F.lit(is_guest).alias("guest"))
+    own = guest(F.col("bucket"), False)
+    dealt = placed.join(homes, ["bucket", "id", "ord"], "left").withColumn("place", F.explode(F.when(F.col("home").isNull(), F.array(own)).otherwise(F.array(own, guest(F.col("home"), True)))))
+    dealt = dealt.drop("bucket", "home").select("*", "place.bucket", "place.guest")
+    order = Window.partitionBy("bucket").orderBy("guest", "id", "ord")
+    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not guest").drop("place", "bucket", "guest", "id")
 
 
 def edited(docs: DataFrame, bucket_chars: int = 1 << 22) -> DataFrame:
