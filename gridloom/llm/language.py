@@ -9,6 +9,8 @@ language's sample does. Short texts lie further from any centroid, so the limit
 Bounds: the sample holds `SAMPLE` documents at most, dealt evenly over the languages; the model sent to the tasks is
 DIMS * CENTROIDS floats a language; document frequencies reach the driver as DIMS numbers.
 
+More than `LANGS` values of lang are an error, as the model would grow with them.
+
 Defined results. Null text, or one with no letter: `und`, score 0, rejected. Null lang: not learned from. No labelled
 documents at all: `und` for every text. Null ids are carried and count as not held out; repeated rows get equal results;
 an empty table gives none; extra columns are ignored.
@@ -25,14 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out, stored
+from gridloom.llm.common import held_out, lean, stored
 
 DIMS, SAMPLE, CENTROIDS, ROUNDS = 8192, 2048, 4, 12
+#: A labelling with more values than this is no list of languages.
+LANGS = 1024
+#: Word characters that are no digits: letters, and a few numerals that isalpha() sorts out.
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = {c: " " for c in range(128) if not chr(c).isalpha()}
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def places(text: str) -> np.ndarray:
     """The hashed place of each n-gram of a text."""
     c = np.frombuffer(f" {text.lower().translate(_BLANK)} ".encode("utf-32-le", "replace"), np.uint32)
@@ -83,7 +92,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine with the nearest centroid, and whether the text is rejected."""
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not has_letter(text):
             return "und", 0.0, True
         count = counts(text)
         near = self.centres @ weighted(count, self.idf)
@@ -96,6 +105,7 @@ class Model:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many of docs (text) have each place, and how many docs there are."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
         for b in batches:
@@ -113,7 +123,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from all of docs (doc_id, text, lang)."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(LANGS + 1).collect()}
+    if len(sizes) > LANGS:
+        raise ValueError(f"lang has more than {LANGS} values")
     if not sizes:
         return Model((), np.zeros(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
     df, n = document_frequencies(docs)
@@ -125,6 +137,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [counts(t.as_py()) for t in b.column(1)]
@@ -154,6 +167,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected for each row of docs (doc_id, text)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.predict(t.as_py()) for t in b.column(1)]
@@ -167,6 +181,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, with all their columns, whose text is not rejected."""
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([not model.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))

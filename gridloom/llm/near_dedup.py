@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored, text_of
+from gridloom.llm.common import lean, stored, text_of
 from gridloom.llm.components import components
 from gridloom.llm.shingles import WORDS, Shingler, band_keys, mixed, super_minhash
 
@@ -41,6 +41,7 @@ def _set_hash(hashes: np.ndarray) -> bytes:
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_hash and keys, one for each band."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
@@ -58,13 +59,12 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 def shingled(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and shingles, the hashes of the distinct ones, in order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = pa.array([shingler.hashes(t.as_py()).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
+            sets = pa.array([shingler.hashes(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["doc_id", "shingles"])
 
     return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 

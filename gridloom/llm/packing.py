@@ -1,13 +1,15 @@
 """Packing: documents as token ids, cut at the sequence length, packed by first-fit decreasing in randomised groups.
 
-Every document gets its closing id and is cut into full sequences and a remainder. The pieces, written once, are dealt
-to groups by a hash of the place where they were written, so a group's size is even whatever the ids and texts are; the
-number of groups follows from the number of tokens, so a group holds `group_tokens` about, at any size of input. In a
-group a tournament tree over the room left in each bin finds the first bin that a piece fits in with one walk from the
-root; a full piece takes a bin of its own. Bins are padded to the sequence length.
+Every document gets its closing id and is cut into full sequences and a remainder. Whole documents, written once as their
+pieces, are dealt to groups by a hash of id and text, so the packing does not depend on how files are split; the number of
+groups follows from the number of tokens, so a group holds `group_tokens` about, at any size of input. Only what shares a
+hash and has more than a quarter of that (a very long document, a row repeated very often) is dealt by pieces. In a group
+a tournament tree over the room left in each bin finds the first bin that a piece fits in with one walk from the root; a
+full piece takes a bin of its own. Bins are padded to the sequence length.
 
 Texts are tokenised by words between ASCII white space: the vocabulary's splitter never joins across it, so a word's ids
-do not depend on its neighbours, and words seen before in the task, up to a bound, are looked up.
+do not depend on its neighbours, and words seen before in the task, up to a bound, are looked up. Tasks take texts and
+give pieces in slices of bounded size.
 
 Defined results. Null or empty text: the closing id alone. Null ids are carried. Rows that repeat an id: each is a document
 of its own. An empty table gives no rows. Extra columns are ignored.
@@ -28,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored, text_of
+from gridloom.llm.common import lean, stored, text_of
 from gridloom.llm.wordids import WordIds
 
 LENGTH, CLOSING = 4096, 2
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, dealt long"
+REMEMBERED = 250_000
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, place long"
 
 
 def vocabulary() -> str:
@@ -85,57 +87,65 @@ class WordEncoder(WordIds):
         self.tokenizer, self.merger = _tokenizer(path), _ascii_merger(path)
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PLAIN(w)] if self.merger else []
+        plain, rest = [], []
+        for w in words:
+            (plain if self.merger and _PLAIN(w) else rest).append(w)
         if plain:
             merger, gap = self.merger
             lines = _SPLIT.sub(r"\g<0>" + _END, b"\n".join(plain).decode().lower())
             ids = np.array(merger.encode_ordinary(lines), np.uint32)
             at = np.flatnonzero(ids == gap)
             self.keep(plain, ids[ids != gap], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
-        rest = [w for w in words if not (self.merger and _PLAIN(w))]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
             self.keep(some, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Learns the new words of several texts at once."""
-        new = {w for t in texts for w in t.split()}.difference(self.place)
-        if len(self.place) + len(new) > self.remembered:
+    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of each text, all of them known now."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > self.remembered and self.place:
             self.forget()
-            return
-        self._learn(sorted(new))
+            new = words
+        self._learn(list(new))
+        return split
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [self.gather(ws) for ws in self.learn(texts)]
 
     def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        new = set(words).difference(self.place)
-        if len(self.place) + len(new) > self.remembered and self.place:
-            self.forget()
-            new = set(words)
-        self._learn(sorted(new))
-        return self.gather(words)
+        return self.encode([text])[0]
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and dealt, for each piece of each document of docs (doc_id, text)."""
+    """doc_id, start, length, ids_crc32, doc_tokens, deal (a hash of id and text) and place (where the piece was written),
+    for each piece of each document of docs (doc_id, text)."""
     path = path or vocabulary()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, dealt = WordEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, place = WordEncoder(path), TaskContext.get().partitionId() << 33
+        end = np.array([closing], "<u4")
         for b in batches:
-            rows, at = [], 0
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                if at % 256 == 0:
-                    encoder.learn(b.column(1).slice(at, 256).to_pylist())
-                at += 1
-                ids = np.append(encoder.ids(text.as_py()), np.uint32(closing)).astype("<u4")
+            of, starts, sizes, crcs, totals = [], [], [], [], []
+            for i, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
+                ids = np.concatenate((ids.astype("<u4"), end))
                 for start in range(0, len(ids), length):
-                    part, dealt = ids[start : start + length], dealt + 1
-                    rows.append((doc_id.as_py(), start, len(part), zlib.crc32(part.tobytes()), len(ids), dealt))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "dealt"])
+                    part = ids[start : start + length]
+                    of.append(i)
+                    starts.append(start)
+                    sizes.append(len(part))
+                    crcs.append(zlib.crc32(part.tobytes()))
+                    totals.append(len(ids))
+            rows = pa.array(of, pa.int64())
+            places = pa.array(np.arange(place, place + len(of)))
+            place += len(of)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *(pa.array(c, pa.int64()) for c in (starts, sizes, crcs, totals)), b.column(2).take(rows), places], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal", "place"])
 
-    return docs.select("doc_id", text_of().cast("binary").alias("text")).mapInArrow(run, _PIECE)
+    return docs.select("doc_id", text_of().cast("binary").alias("text"), F.xxhash64("doc_id", text_of()).alias("deal")).mapInArrow(run, _PIECE)
 
 
 def first_fit_decreasing(sizes: list[int], room: int) -> list[int]:
@@ -164,12 +174,13 @@ _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 1 << 20, seed: int = 0) -> DataFrame:
-    """The rows of pieces() with sequence_id and offset. cut must be a written table: its rows are read twice."""
+    """The rows of pieces() with sequence_id and offset. cut must be a written table: its rows are read more than once."""
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / group_tokens))
+    large = stored(cut.groupBy("deal").agg(F.sum("length").alias("n")).where(F.col("n") > max(length, group_tokens // 4)).select("deal", F.lit(True).alias("large")), "pack-large")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("dealt", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("deal", "ascending"), ("place", "ascending")])
         sizes = group.column("length").to_pylist()
         bins = first_fit_decreasing(sizes, length)
         filled, offsets = [0] * (max(bins) + 1), []
@@ -180,7 +191,10 @@ def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 1 << 20, seed
         kept = [group.column(c).cast(pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
         return pa.table([*kept, pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return cut.withColumn("grp", F.pmod(F.xxhash64("dealt", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInArrow(run, _PACKED)
+    dealt = cut.join(large, "deal", "left")
+    apart = F.when(F.col("large"), F.when(F.col("doc_tokens") > length, F.xxhash64("start", "place")).otherwise(F.col("place"))).otherwise(F.lit(0))
+    grp = F.pmod(F.xxhash64("deal", apart, F.lit(seed)), F.lit(groups))
+    return dealt.select(*cut.columns, grp.alias("grp")).groupBy("grp").applyInArrow(run, _PACKED)
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing: int = CLOSING, group_tokens: int = 1 << 20) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_of
+from gridloom.llm.common import lean, text_of
 
 DIGIT, LOWER, UPPER = frozenset(range(48, 58)), frozenset(range(97, 123)), frozenset(range(65, 91))
 
@@ -279,6 +279,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans, an array of (kind, start, end) by start, then as the rules are listed."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(rules)
         for b in batches:
@@ -303,6 +304,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             done = max(done, e)
         return b"".join([*out, data[done:]]).decode()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(rules)
         for b in batches:
