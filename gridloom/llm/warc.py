@@ -7,7 +7,10 @@ and dates depend on the record alone, so a record's bytes are the same in any ru
 that its attempt alone uses; the list of complete files is itself a table, written by Spark's own committer, and only files
 that it names are moved to their final names and read, so lost or repeated attempts leave nothing that counts.
 
-Files are reached through pyarrow's file systems by the URI of the shared folder.
+The number of ranges follows the bytes of the payloads. Rows without an id are spread over ranges by their place.
+
+Files are reached through pyarrow's file systems by the URI of the shared folder (file, hdfs, s3, gs and abfs; other schemes
+that Spark may know, such as s3a, are refused there with an error).
 
 Defined results. Null html: empty payload. Equal payloads of `least` bytes or more: the smallest page id is the response,
 the others are revisits; smaller payloads are all responses. Null page id: written as a response, never referred to. Rows
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import scratch_path, stored, text_of
+from gridloom.llm.common import dropped, scratch_path, stored, text_of
 
 DATE = "2000-01-01T00:00:00Z"
 _BREAK = b"\r\n"
@@ -106,12 +109,22 @@ class _Roller:
             self.part, self.out = self.part + 1, None
 
 
+#: About how many payload bytes a range holds.
+SHARD_BYTES = 128 << 20
+
+
+def shard_count(pages: DataFrame) -> int:
+    """Ranges for pages (html): as many as Spark shuffles to, or more where each would hold too much."""
+    total = pages.agg(F.sum(F.octet_length(text_of("html")))).first()[0] or 0
+    return max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
 def write(pages: DataFrame, root: str, shards: int | None = None, roll_bytes: int = 1 << 30, least: int = 100) -> DataFrame:
     """Writes pages (page_id, url, html) below the URI root and returns the manifest's rows, one for each file."""
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = referrals(pages, least).select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"))
-    rows = pages.select("page_id", text_of("url").alias("url"), text_of("html").cast("binary").alias("html"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    shards = shards or shard_count(pages)
+    told = referrals(pages, least).select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("spread"))
+    rows = pages.select("page_id", text_of("url").alias("url"), text_of("html").cast("binary").alias("html"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"), F.when(F.col("page_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.lit(0)).alias("spread"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -119,7 +132,7 @@ def write(pages: DataFrame, root: str, shards: int | None = None, roll_bytes: in
         at, known = None, {}
         for b in batches:
             for i in range(b.num_rows):
-                page_id, url, html, digest, refers_to, kind = (c[i].as_py() for c in b.columns)
+                page_id, url, html, digest, refers_to, kind = (c[i].as_py() for c in b.columns[:6])
                 if page_id != at:
                     at, known = page_id, {}
                 if kind == 0:
@@ -131,7 +144,7 @@ def write(pages: DataFrame, root: str, shards: int | None = None, roll_bytes: in
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["shard", "part", "temp", "final", "records", "bytes", "sha256"])
 
-    files = told.unionByName(rows).repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "html").mapInArrow(run, _FILE)
+    files = told.unionByName(rows).repartitionByRange(shards, "page_id", "spread").sortWithinPartitions("page_id", "kind", "html").mapInArrow(run, _FILE)
     path = f"{root}/manifest"
     files.write.parquet(path)
     manifest = spark.read.schema(files.schema).parquet(path)
@@ -153,10 +166,8 @@ def _commit(manifest: DataFrame, root: str) -> None:
                 moved += 1
         yield pa.RecordBatch.from_arrays([pa.array([moved], pa.int64())], ["moved"])
 
-    spark = manifest.sparkSession
     manifest.select("temp", "final", "bytes").mapInArrow(run, "moved long").agg(F.sum("moved")).collect()
-    spark_path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/tmp")
-    spark_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark_path, True)
+    dropped(manifest.sparkSession, f"{root}/tmp")
 
 
 def members(stream: io.RawIOBase, block: int = 1 << 20) -> Iterator[bytes]:
@@ -209,7 +220,7 @@ def read(manifest: DataFrame, root: str, payloads: bool = False) -> DataFrame:
                             rows, held = [], 0
                     yield _batch(rows)
 
-    return manifest.select("final").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "final").mapInArrow(run, _RECORD)
+    return manifest.select("final").repartition(max(1, manifest.count()), "final").mapInArrow(run, _RECORD)
 
 
 def _row(fields: dict[str, str], block: bytes, payloads: bool) -> tuple:
