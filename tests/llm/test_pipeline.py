@@ -20,7 +20,9 @@ def rows():
         out.append((2000 + k, text + "  ", lang) if k % 2 else (3000 + k, text + " tail", lang))
     out.append((4000, out[3][1][:200] + " password = hunter2hunter2", "en"))
     out += [(5000, "12 34 !!", "en"), (5001, None, "de"), (5002, "", None), (None, out[4][1], "en")]
-    return out
+    out += [(None, out[7][1] + " a tail", "en"), (6000, out[11][1], "en"), (6000, out[11][1], "en"), (6000, " ".join(reversed(out[13][1].split())), "en")]
+    lone = " ".join(rnd.choice(en) + rnd.choice(en) for _ in range(90))
+    return [*out, (None, lone, "en"), (None, lone, None), (None, lone, None), (6001, lone[::-1], "en"), (6001, lone[::-1], "en")]
 
 
 def test_against_brute_force(spark, tmp_path):
@@ -35,8 +37,13 @@ def test_against_brute_force(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         seen[name] = before, docs.collect()
         assert name == "packing" or docs.columns == df.columns
-    kept = {name: sorted((r["doc_id"], r["text"]) for r in after if r["doc_id"] is not None) for name, (_, after) in seen.items() if name != "packing"}
-    assert {i for i, _, _ in data} - {None} - {i for i, _ in kept["language"]} == {5000, 5001, 5002}
+    plain = lambda rs: sorted(t for i, t in ((r["doc_id"], r["text"]) for r in rs) if i in (None, 6000, 6001))
+    by_text = {i: t for i, t, _ in data}
+    alone = [t for i, t, _ in data if i == 6000][1:] and sorted({t for i, t, _ in data if i == 6000} - {t for i, t, _ in data if i not in (None, 6000)})
+    lone = [t for i, t, lang in data if i is None and lang is None][0]
+    assert plain(seen["near"][1]) == sorted([*alone, lone, by_text[6001]])  # each text once, copies of others gone
+    kept = {name: sorted((r["doc_id"], r["text"]) for r in after if r["doc_id"] is not None and r["doc_id"] < 6000) for name, (_, after) in seen.items() if name != "packing"}
+    assert {i for i, _, _ in data} - {None, 6000, 6001} - {i for i, _ in kept["language"]} == {5000, 5001, 5002}
     first = {}
     for i, t in kept["language"]:
         first.setdefault(" ".join(t.split(" ")).rstrip() + (" " if t.endswith(" ") else ""), i)
@@ -55,5 +62,25 @@ def test_against_brute_force(spark, tmp_path):
     encoder = packing.WordEncoder(packing.vocabulary())
     for i, t in kept["secrets"]:
         assert sum(r["length"] for r in packed if r["doc_id"] == i) == len(encoder.ids(t.encode())) + 1
-    assert {r["doc_id"] for r in packed} == {i for i, _ in kept["secrets"]} | {None}
+    assert {r["doc_id"] for r in packed} == {i for i, _ in kept["secrets"]} | {None, 6000, 6001}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_empty_long_and_clashing(spark, tmp_path):
+    """Empty tables pass every stage; very long texts and extra columns named like the stages' own ones stay whole."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n long, row string, deal long, kept boolean"
+    words = "the of and to in is that it was for on are as with his they".split()
+    long_text = " ".join(f"{words[i % 16]}{words[i * 7 % 13]}" for i in range(200_000))
+    short = [" ".join(words[(i * k + 3) % 16] for k in range(40)) + f" note {i}" for i in range(8)]
+    rows = [(i, t, "en", None, None, 1, "r", 2, True) for i, t in enumerate([long_text, *short])]
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            at = f"{tmp_path}/{len(some)}-{name}"
+            before = docs
+            stage(spark, docs, str(tmp_path)).write.parquet(at)
+            docs = spark.read.parquet(at)
+            assert name == "packing" or docs.columns == before.columns
+            if some and name != "packing":
+                assert docs.where("doc_id = 0").first()["text"] == long_text
+        assert bool(docs.count()) == bool(some)
