@@ -7,7 +7,7 @@
    the shingles that no other member has are counted, and members with too many of them can have no link and go.
 3. In each bucket the member with the smallest share of such shingles is the centre, and each other member is compared
    with it. What is linked is grouped.
-4. Members of a centre that are still in different groups are compared by what they differ in from the centre: only pairs
+4. Where members of a centre are still in different groups, they are compared by what they differ in from the centre: only pairs
    that share a rare difference, and enough of them, can be linked, and these are verified on full sets. So no pair that
    shares a key stays undecided, while a group of copies never gives all its pairs.
 
@@ -100,11 +100,12 @@ def _open_pairs(centred: DataFrame, percent: int) -> DataFrame:
     means that it has k(|x| + |y|) elements at most. If x is not linked with the centre, its delta has more than
     k(|x| + |centre|); then more than (1 - k) / 2 of y's delta must be common to both deltas. So of the rarest elements of
     y's delta, all but that share of it, one is in x's; and if y is not linked either, the same holds for x's. Elements
-    that no other member of the centre has in its delta cannot be common, which rules out most pairs by number alone."""
+    that no member of another part has in its delta cannot be common, which rules out most pairs by number alone."""
     k = (100 - percent) / (100 + percent)
-    spread = centred.select("a", "b", F.explode("delta").alias("e"))
-    counts = stored(spread.groupBy("a", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "near-counts")
-    ranked = spread.join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
+    spread = centred.select("a", "b", "part", "linked", F.explode("delta").alias("e"))
+    counts = spread.groupBy("a", "e").agg(F.count(F.lit(1)).alias("f"), F.count_if("linked").alias("fl"), F.min("part").alias("low"), F.max("part").alias("high"))
+    counts = stored(counts.where("low <> high").select("a", "e", "f", "fl"), "near-counts")
+    ranked = spread.drop("part", "linked").join(counts, ["a", "e"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("f", "e", "fl"))).alias("common"))
     rows = centred.select("a", "b", "n", "part", "linked", F.size("delta").alias("d")).join(ranked, ["a", "b"]).withColumn("t", F.size("common"))
     rows = rows.where(F.col("d") - F.col("t") <= k * (1 + 100 / percent) * F.col("n"))
     lead = F.greatest(F.lit(0), F.col("t") - F.floor((1 - k) / 2 * F.col("d")).cast("int"))
@@ -113,7 +114,8 @@ def _open_pairs(centred: DataFrame, percent: int) -> DataFrame:
     most = F.least("x.t", "y.t")
     fits = (F.col("x.part") != F.col("y.part")) & _linked(F.col("x.n"), F.col("y.n"), F.col("x.d") + F.col("y.d") - 2 * most, percent)
     apart = side("not linked", "rare", "x").join(side("not linked", "rare", "y"), ["a", "e"]).where((F.col("x.b") < F.col("y.b")) & fits)
-    mixed_pairs = side("not linked", "common", "x").join(side("linked", "rare", "y"), ["a", "e"]).where(fits)
+    told = side("not linked", F.filter("common", lambda c: c["fl"] > 0), "x"), side("linked", F.filter("rare", lambda c: c["f"] > c["fl"]), "y")
+    mixed_pairs = told[0].join(told[1], ["a", "e"]).where(fits)
     return apart.unionByName(mixed_pairs).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
@@ -132,7 +134,7 @@ def links(reps: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 8
     near = centred.where("linked").select("a", "b")
     groups = stored(components(near).select(F.col("node").alias("b"), F.col("root").alias("part")), "near-groups")
     placed = stored(centred.join(groups, "b", "left").withColumn("part", F.coalesce("part", "b")), "near-placed")
-    unsure = stored(placed.where("not linked").select("a").distinct(), "near-unsure")
+    unsure = stored(placed.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("a"), "near-unsure")
     late = _verified(stored(_open_pairs(placed.join(unsure, "a"), percent), "near-open"), sets, percent)
     return near.unionByName(stored(late, "near-late"))
 

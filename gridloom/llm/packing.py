@@ -35,7 +35,7 @@ from gridloom.llm.wordids import WordIds
 
 LENGTH, CLOSING = 4096, 2
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, place long"
 
 

@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the distinct shingles of a text; remembers the hashes of a bounded number of words."""
 
-    def __init__(self, words: int = WORDS, remembered: int = 150_000):
+    def __init__(self, words: int = WORDS, remembered: int = 100_000):
         self.words, self.remembered, self.known = words, remembered, {}
 
     def hashes(self, text: bytes) -> np.ndarray:
