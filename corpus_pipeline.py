@@ -1,15 +1,21 @@
 """A training corpus from documents: language, exact and near duplicates, secrets, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rows
-without an id cannot be told apart and pass the two stages that drop copies.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results. Null or empty text, or one without a letter: the language stage drops it. Null ids: of equal texts one row
+stays, with an id if any has one; near copies without an id, or with one that other texts share, are told apart by a number
+from their text and stay only where no copy with an id of its own does. Rows that repeat an id and a text are copies. Ties:
+the least row as JSON. Very long texts pass whole. Empty documents: every stage gives an empty table. Extra columns, whatever
+their names, pass all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, language, near_dedup, packing, secrets
-from gridloom.llm.common import documents, stored
+from gridloom.llm.common import documents, scope, stored
 
 #: Near copies share this percentage of their five-word shingles; a pair at it goes unseen by all bands three times in a million.
 PERCENT, BANDS = 80, 32
@@ -22,14 +28,18 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
-    gone = exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(stored(gone, "copies"), "doc_id", "left_anti").select(docs.columns)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one with the smallest id."""
-    gone = near_dedup.near_groups(docs, percent=PERCENT, bands=BANDS).where("not kept").select("doc_id")
-    return docs.join(stored(gone, "near-copies"), "doc_id", "left_anti").select(docs.columns)
+    shared = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "shared-ids")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").join(shared, F.col("doc_id") == F.col("id"), "left")
+    number = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62))  # larger than ids in use
+    rows = rows.select("row", F.when(F.col("doc_id").isNull() | F.col("id").isNotNull(), number).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    with scope("near-copies") as result:
+        gone = result(near_dedup.near_groups(rows.select("doc_id", "text"), percent=PERCENT, bands=BANDS).where("not kept").select("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The rows of the last stage. Each table between stages is deleted once the next one is written."""
+    with scope("pipeline") as result:
+        docs = documents(spark, sf_dir)
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        return result(STAGES[-1][1](spark, docs, sf_dir))
