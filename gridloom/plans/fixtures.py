@@ -39,7 +39,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the texts above as a DataFrame."""
     for name in ("part", "lineitem", "events", "orders"):
         if f" from {name}" in sql:
-            return spark.sql(sql.replace(f" from {name}", " from {source}"), source=table(spark, sf_dir, name))
+            return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f" from {name}", " from {source}"), source=table(spark, sf_dir, name))
     return spark.sql(sql)
 
 
