@@ -23,10 +23,34 @@ def fitted_width(required: Column, least: Column, step: Column) -> Column:
     return F.ceil(F.greatest(F.lit(1), least, required) / step) * step
 
 
-def centred_interval(low: Column, high: Column, length: Column) -> Column:
-    """The start of an interval of a length about the middle of low and high, within a step of holding both."""
-    start = F.floor((low + high - length) / 2)
-    return F.least(F.greatest(start, high - length), low)
+def fitted_interval(old0: Column, old1: Column, need0: Column, need1: Column, length: Column, low: Column, high: Column) -> Column:
+    """The start of an interval of a length that holds need0..need1 within low..high, as near as can be to the middle of
+    old0..old1; null where there is none."""
+    least, most = F.greatest(low, need1 - length), F.least(high - length, need0)
+    can = (length <= high - low) & (need1 - need0 <= length) & (least <= most)
+    return F.when(can, F.least(F.greatest((old0 + old1 - length) / 2, least), most))
+
+
+def profiles(needs: DataFrame) -> DataFrame:
+    """What boxes (plan_id, poly_id, layers: the classes their load asks for) need: plan_id, poly_id, threshold, need, the number of
+    layers of the threshold's class or a higher one. Boxes without layers need nothing."""
+    each = needs.select("plan_id", "poly_id", "layers", F.explode(F.array_distinct("layers")).alias("threshold"))
+    return each.select("plan_id", "poly_id", "threshold", F.size(F.filter("layers", lambda c: c >= F.col("threshold"))).alias("need"))
+
+
+def stages(boxes: DataFrame, needs: DataFrame) -> DataFrame:
+    """The order in which needs are met: highest load first, in it the highest threshold: plan_id, stage, load, threshold."""
+    each = boxes.where("load > 0").select("plan_id", "poly_id", "load").join(profiles(needs), ["plan_id", "poly_id"]).select("plan_id", "load", "threshold").distinct()
+    order = Window.partitionBy("plan_id").orderBy(F.desc("load"), F.desc("threshold"))
+    return each.select("plan_id", (F.row_number().over(order) - 1).alias("stage"), "load", "threshold")
+
+
+def new_classes(needs: DataFrame, classes: DataFrame) -> DataFrame:
+    """For each threshold (plan_id, threshold) the class (plan_id, cls, density) of least density that is not below it, of
+    equal ones the lowest: plan_id, threshold, cls; null if there is none."""
+    met = needs.select("plan_id", "threshold").distinct().join(classes.select("plan_id", "cls", "density"), "plan_id", "left")
+    fits = F.col("cls") >= F.col("threshold")
+    return met.groupBy("plan_id", "threshold").agg(F.min(F.when(fits, F.struct("density", "cls")))["cls"].alias("cls"))
 
 
 def positions(zones: DataFrame) -> DataFrame:
@@ -94,20 +118,42 @@ def depth(bars: DataFrame) -> DataFrame:
     return ends.withColumn("open", F.sum("d").over(order)).groupBy("plan_id", "x").agg(F.max("open").alias("depth"))
 
 
-def uncovered(boxes: DataFrame, zones: DataFrame, need: int) -> DataFrame:
-    """Boxes that fewer than need zones hold wholly: plan_id, poly_id, holders."""
-    holds = "z.plan_id = b.plan_id and z.x0 <= b.x0 and z.x1 >= b.x1 and z.y0 <= b.y0 and z.y1 >= b.y1"
-    got = boxes.alias("b").join(zones.alias("z"), F.expr(holds), "left").groupBy("b.plan_id", "b.poly_id").agg(F.count("z.zone_id").alias("holders"))
-    return got.where(F.col("holders") < need)
+def coverage(boxes: DataFrame, needs: DataFrame, zones: DataFrame, quantum: Column | float) -> DataFrame:
+    """Per box and threshold the zones that may serve it: plan_id, poly_id, threshold, need, options, relaxations, ok.
+
+    A zone of the threshold's class or a higher one serves a box if it spans it along y and misses across no more than its step
+    and the quantum. The best need of them, by what is missed beyond the step and then by zone_id, are used; relaxations
+    counts those of them that miss more than their step."""
+    want = profiles(needs).join(boxes.select("plan_id", "poly_id", *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1"))), ["plan_id", "poly_id"])
+    z = zones.select("plan_id", "zone_id", "cls", "x0", "y0", "x1", "y1", "step")
+    missed = F.greatest(F.lit(0), F.greatest(F.col("x0") - F.col("bx0"), F.col("bx1") - F.col("x1"), F.lit(0)) - F.col("step"))
+    serves = (F.col("cls") >= F.col("threshold")) & (F.col("y0") <= F.col("by0")) & (F.col("y1") >= F.col("by1")) & (missed <= quantum)
+    met = want.join(z, "plan_id").where(serves).select("plan_id", "poly_id", "threshold", "need", "zone_id", missed.alias("extra"))
+    order = Window.partitionBy("plan_id", "poly_id", "threshold").orderBy("extra", "zone_id")
+    got = met.withColumn("place", F.row_number().over(order)).groupBy("plan_id", "poly_id", "threshold").agg(
+        F.count(F.lit(1)).alias("options"), F.sum(((F.col("place") <= F.col("need")) & (F.col("extra") > 0)).cast("long")).alias("relaxations")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    out = want.select("plan_id", "poly_id", "threshold", "need").join(got, ["plan_id", "poly_id", "threshold"], "left")
+    ok = zero(F.col("options")) >= F.col("need")
+    return out.select("plan_id", "poly_id", "threshold", "need", zero(F.col("options")).alias("options"), F.when(ok, zero(F.col("relaxations"))).otherwise(0).alias("relaxations"), ok.alias("ok"))
 
 
 def contacts(zones: DataFrame) -> DataFrame:
-    """Zones of one class that share a stretch of a side: plan_id, a, b, side."""
-    z = zones.select("plan_id", "cls", *(F.col(c).alias(f"{c}2") for c in ("zone_id", "x0", "y0", "x1", "y1")))
-    met = zones.join(z, ["plan_id", "cls"]).where("zone_id <> zone_id2")
-    beside = (F.col("x1") == F.col("x02")) & (F.least("y1", "y12") > F.greatest("y0", "y02"))
-    above = (F.col("y1") == F.col("y02")) & (F.least("x1", "x12") > F.greatest("x0", "x02"))
-    return met.where(beside | above).select("plan_id", F.col("zone_id").alias("a"), F.col("zone_id2").alias("b"), F.when(beside, "x").otherwise("y").alias("side"))
+    """Zones of one class that touch across x, where they also overlap or touch along y: plan_id, a (at the left), b, at."""
+    right = zones.select("plan_id", "cls", F.col("x0").alias("at"), *(F.col(c).alias(f"{c}2") for c in ("zone_id", "y0", "y1")))
+    met = zones.withColumn("at", F.col("x1")).join(right, ["plan_id", "cls", "at"]).where((F.col("zone_id") != F.col("zone_id2")) & (F.least("y1", "y12") >= F.greatest("y0", "y02")))
+    return met.select("plan_id", F.col("zone_id").alias("a"), F.col("zone_id2").alias("b"), "at")
+
+
+def touch_limits(zones: DataFrame, top: DataFrame) -> DataFrame:
+    """How far zones may grow across before what touches them is in the way: plan_id, zone_id, low, high, null without limit.
+    Past a contact a zone may go one step, of the highest class (top: plan_id, cls) two."""
+    own = zones.join(top.select("plan_id", F.col("cls").alias("top")), "plan_id").select("plan_id", "zone_id", (F.col("step") * F.when(F.col("cls") == F.col("top"), 2).otherwise(1)).alias("reach"))
+    met = contacts(zones)
+    ends = met.select("plan_id", F.col("a").alias("zone_id"), F.col("at").alias("right"), F.lit(None).cast("long").alias("left")).unionByName(met.select("plan_id", F.col("b").alias("zone_id"), F.lit(None).cast("long").alias("right"), F.col("at").alias("left")))
+    got = ends.groupBy("plan_id", "zone_id").agg(F.min("right").alias("right"), F.max("left").alias("left"))
+    return own.join(got, ["plan_id", "zone_id"], "left").select("plan_id", "zone_id", (F.col("left") - F.col("reach")).alias("low"), (F.col("right") + F.col("reach")).alias("high"))
 
 
 def anchorage_pieces(bars: DataFrame) -> DataFrame:

@@ -1,36 +1,58 @@
 """Axis quantisation: events of grid lines with costs and tolerances, and their clustering.
 
 Events are (plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus). Everything is keyed by plan and axis; only the
-exact partition, a dynamic program over one axis, runs as a grouped function.
+partitions of one axis, dynamic programs over its lines, run as grouped functions.
+
+Defined results. An empty table gives no rows, a plan without loads no events. Other columns are ignored. Null loads count as
+no cell; repeated cells or edges are an error of the caller. Regions have no protected holes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, places
+
 
 def canonical(v: Column, eps: float) -> Column:
     return F.bround(v / eps) * eps
 
 
-def axis_events(cells: DataFrame, edges: DataFrame, other: DataFrame, axis: str, shift: int) -> DataFrame:
-    """Lines between differing cells with the summed lengths that would shrink the higher side by moving either way.
+def axis_events(
+    cells: DataFrame, edges: DataFrame, other: DataFrame, axis: str, shift: float = 0.02, shrink: float = 20.0, expand: float = 1.0, gamma: float = 2.0, base: float = 0.03, least_shrink: float = 0.10, least_expand: float = 0.50
+) -> DataFrame:
+    """Lines between differing cells with what moving them costs either way and how far they may move.
 
-    A line's weight to the minus side counts sides whose higher load lies beyond it, to the plus side those before it."""
+    All cells of one load are one region; load 0 is none. A side of a region costs its length, times base + r ** gamma, times
+    shrink for moves into the region and expand for moves out of it, where r is the load over the 95th percentile of the
+    plan's loads, 1 at most. It may move by the fraction shift of the axis's extent, less as r grows, down to least_shrink
+    and least_expand of that. The first and the last line stay where they are. Costs add up, tolerances are the least ones."""
     along, across = ("ix", "iy") if axis == "x" else ("iy", "ix")
     w = Window.partitionBy("plan_id", across).orderBy(along)
-    rows = cells.withColumn("before", F.coalesce(F.lag("load").over(w), F.lit(0))).select("plan_id", F.col(along).alias("i"), F.col(across).alias("j"), "load", "before")
+    here = cells.select("plan_id", F.col(along).alias("i"), F.col(across).alias("j"), "load", F.coalesce(F.lag("load").over(w), F.lit(0)).alias("before"), F.lead(along).over(w).isNull().alias("last"))
+    closing = here.where("last and load > 0").select("plan_id", "i", "j", F.lit(0).alias("load"), F.col("load").alias("before"), F.lit(True).alias("end"))
+    rows = here.where("load <> before").select("plan_id", "i", "j", "load", "before", F.lit(False).alias("end")).unionByName(closing)
     length = other.select("plan_id", F.col("i").alias("j"), (F.col("hi") - F.col("lo")).alias("length"))
-    at = edges.select("plan_id", "i", F.col("lo").alias("coord"))
-    sides = rows.where("load <> before").join(length, ["plan_id", "j"]).join(at, ["plan_id", "i"])
-    weight = lambda test, name: F.sum(F.when(test, F.col("length")).otherwise(0)).alias(name)
-    got = sides.groupBy("plan_id", "coord").agg(weight(F.col("load") < F.col("before"), "w_minus"), weight(F.col("load") > F.col("before"), "w_plus"))
-    order = Window.partitionBy("plan_id").orderBy("coord")
-    tol = F.lit(shift).cast("long")
-    return got.select("plan_id", F.lit(axis).alias("axis"), (F.row_number().over(order) - 1).cast("long").alias("idx"), "coord", "w_minus", "w_plus", tol.alias("tol_minus"), tol.alias("tol_plus"))
+    sides = rows.join(length, ["plan_id", "j"]).join(edges.select("plan_id", "i", "lo", "hi"), ["plan_id", "i"]).withColumn("coord", F.when(F.col("end"), F.col("hi")).otherwise(F.col("lo")))
+    scale = cells.where("load > 0").select("plan_id", "load").distinct().groupBy("plan_id").agg(F.percentile("load", F.lit(0.95)).alias("scale"))
+    turned = F.explode(F.array(F.struct(F.col("load").alias("of"), F.lit(True).alias("beyond")), F.struct(F.col("before").alias("of"), F.lit(False).alias("beyond"))))
+    each = sides.join(scale, "plan_id").select("plan_id", "coord", "length", "scale", turned.alias("t")).select("plan_id", "coord", "length", "scale", "t.of", "t.beyond").where("of > 0")
+    term = F.pow(F.least(F.col("of") / F.col("scale"), F.lit(1.0)), F.lit(gamma))
+    weight = F.col("length") * (F.lit(base) + term)
+    inward, outward = 1.0 - (1.0 - least_shrink) * term, 1.0 - (1.0 - least_expand) * term
+    pick = lambda low, high: F.when(F.col("beyond"), low).otherwise(high)
+    got = each.groupBy("plan_id", "coord").agg(
+        F.sum(weight * pick(F.lit(expand), F.lit(shrink))).alias("w_minus"), F.sum(weight * pick(F.lit(shrink), F.lit(expand))).alias("w_plus"), F.min(pick(outward, inward)).alias("t_minus"), F.min(pick(inward, outward)).alias("t_plus")
+    )
+    order, whole = Window.partitionBy("plan_id").orderBy("coord"), Window.partitionBy("plan_id")
+    first, last = F.min("coord").over(whole), F.max("coord").over(whole)
+    tol = lambda c: F.when((F.col("coord") == first) | (F.col("coord") == last), 0.0).otherwise((last - first) * F.lit(shift) * F.col(c))
+    return got.select("plan_id", F.lit(axis).alias("axis"), (F.row_number().over(order) - 1).cast("long").alias("idx"), "coord", "w_minus", "w_plus", tol("t_minus").alias("tol_minus"), tol("t_plus").alias("tol_plus"))
 
 
 def scaled_tolerances(events: DataFrame, factor: int) -> DataFrame:
@@ -44,60 +66,136 @@ def locked(events: DataFrame, minus: Column, plus: Column) -> DataFrame:
 
 def minimum_lines(events: DataFrame) -> DataFrame:
     """The least number of lines that lie within every event's tolerance: greedy stabbing of intervals by their right ends."""
-    spans = F.array_sort(F.collect_list(F.struct((F.col("coord") + F.col("tol_plus")).alias("hi"), (F.col("coord") - F.col("tol_minus")).alias("lo"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("at"))
+    spans = F.array_sort(F.collect_list(F.struct((F.col("coord") + F.col("tol_plus")).cast("double").alias("hi"), (F.col("coord") - F.col("tol_minus")).cast("double").alias("lo"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("at"))
     step = lambda s, e: F.when(s["at"].isNull() | (e["lo"] > s["at"]), F.struct((s["n"] + 1).alias("n"), e["hi"].alias("at"))).otherwise(s)
     return events.groupBy("plan_id", "axis").agg(spans.alias("spans")).select("plan_id", "axis", F.aggregate("spans", start, step)["n"].alias("lines"))
 
 
+def _by_axis(events: DataFrame, run: Callable[[Axis], dict], schema: str) -> DataFrame:
+    """run over the lines of each plan and axis; its columns with those two before them."""
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("idx")
+        axis = Axis(*(group[c].to_numpy(float) for c in ("coord", "w_minus", "w_plus", "tol_minus", "tol_plus")))
+        out = pd.DataFrame(run(axis))
+        out.insert(0, "plan_id", group["plan_id"].iloc[0])
+        out.insert(1, "axis", group["axis"].iloc[0])
+        return out
+
+    return events.groupBy("plan_id", "axis").applyInPandas(each, "plan_id long, axis string, " + schema)
+
+
 def segment_costs(events: DataFrame) -> DataFrame:
-    """For each stretch of events i..j the cost of moving all to the best of their own places that all can reach: null if none."""
-    e = events.select("plan_id", "axis", "idx", "coord", "w_minus", "w_plus", "tol_minus", "tol_plus")
-    ends = e.select("plan_id", "axis", F.col("idx").alias("i")).join(e.select("plan_id", "axis", F.col("idx").alias("j")), ["plan_id", "axis"]).where("i <= j")
-    to = e.select("plan_id", "axis", F.col("idx").alias("k"), F.col("coord").alias("place"))
-    tried = ends.join(to, ["plan_id", "axis"]).where("k between i and j").join(e, ["plan_id", "axis"]).where("idx between i and j")
-    move = F.when(F.col("place") < F.col("coord"), F.col("w_minus") * (F.col("coord") - F.col("place"))).otherwise(F.col("w_plus") * (F.col("place") - F.col("coord")))
-    reach = (F.col("place") >= F.col("coord") - F.col("tol_minus")) & (F.col("place") <= F.col("coord") + F.col("tol_plus"))
-    each = tried.groupBy("plan_id", "axis", "i", "j", "k").agg(F.sum(move).alias("cost"), F.bool_and(reach).alias("ok"))
-    return each.groupBy("plan_id", "axis", "i", "j").agg(F.min(F.when(F.col("ok"), F.col("cost"))).alias("cost"))
-
-
-def partition_costs(costs: np.ndarray, most: int) -> np.ndarray:
-    """The least total cost of cutting the events into 1..most stretches; infinite where it cannot be done."""
-    n = costs.shape[0]
-    best, out = np.concatenate(([0.0], np.full(n, np.inf))), []
-    for _ in range(min(most, n)):
-        best = np.concatenate(([np.inf], (best[:n, None] + costs).min(axis=0)))
-        out.append(best[n])
-    return np.array(out)
-
-
-def exact_partitions(costs: DataFrame, most: int | None = None) -> DataFrame:
+    """For each stretch of events i..j the cost of moving all to one place, the weighted median as far as their tolerances
+    allow, and that place: null if there is none."""
+
+    def run(axis: Axis) -> dict:
+        cost, place = axis.table()
+        i, j = np.triu_indices(axis.n)
+        return {"i": i, "j": j, "cost": np.where(np.isfinite(cost[i, j]), cost[i, j], np.nan), "place": place[i, j]}
+
+    got = _by_axis(events, run, "i long, j long, cost double, place double")
+    return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("cost", "place")})
+
+
+def exact_partitions(events: DataFrame, most: int | None = None) -> DataFrame:
     """For each plan, axis and number of stretches, up to most or the axis's events, the least total cost, where there is one."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        n = int(group["j"].max()) + 1
-        c = np.full((n, n), np.inf)
-        c[group["i"], group["j"]] = group["cost"].astype(float).fillna(np.inf)
-        got = partition_costs(c, n if most is None else most)
-        k = np.flatnonzero(np.isfinite(got))
-        return pd.DataFrame({"plan_id": group["plan_id"].iloc[0], "axis": group["axis"].iloc[0], "k": k + 1, "cost": got[k].astype("int64")})
+    def run(axis: Axis) -> dict:
+        costs, _ = frontier(axis.table()[0], axis.n if most is None else most)
+        k = np.flatnonzero(np.isfinite(costs))
+        return {"k": k + 1, "cost": costs[k]}
+
+    return _by_axis(events, run, "k int, cost double")
+
 
-    return costs.groupBy("plan_id", "axis").applyInPandas(run, "plan_id long, axis string, k int, cost long")
+def greedy_partitions(events: DataFrame) -> DataFrame:
+    """For each plan, axis and number of stretches the cost after merging the cheapest neighbours again and again."""
+
+    def run(axis: Axis) -> dict:
+        _, totals = greedy_merges(axis)
+        return {"k": axis.n - np.arange(len(totals) + 1), "cost": [0.0, *totals]}
+
+    return _by_axis(events, run, "k int, cost double")
+
+
+def quantised(events: DataFrame, lines: int, greedy: bool = False) -> DataFrame:
+    """Each event's line where an axis is cut into a number of stretches, of the least cost or by greedy merges: plan_id, axis,
+    idx, coord, stretch, line, problem. Axes with no more events keep them; where tolerances need more lines, line is null
+    and problem is `lines`."""
+
+    def run(axis: Axis) -> dict:
+        begins = None
+        if lines >= axis.n:
+            begins = np.arange(axis.n)
+        elif greedy:
+            gone, _ = greedy_merges(axis)
+            if axis.n - len(gone) <= lines:
+                begins = np.setdiff1d(np.arange(axis.n), gone[: axis.n - lines])
+        else:
+            costs, all_begins = frontier(axis.table()[0], lines)
+            if np.isfinite(costs[lines - 1]):
+                begins = exact_begins(all_begins, axis.n, lines)
+        rows = {"idx": np.arange(axis.n), "coord": axis.coord.astype("int64")}
+        if begins is None:
+            return rows | {"stretch": None, "line": None, "problem": "lines"}
+        _, place = places(axis, begins)
+        of = np.searchsorted(begins, np.arange(axis.n), "right") - 1
+        return rows | {"stretch": of, "line": place[of], "problem": None}
+
+    return _by_axis(events, run, "idx long, coord long, stretch long, line double, problem string")
+
+
+def snapped(cells: DataFrame, x: DataFrame, y: DataFrame, moves: DataFrame) -> DataFrame:
+    """Cells with a load on lines that moved (moves is quantised of both axes): plan_id, load, x0, y0, x1, y1; cells whose
+    sides met are gone. Lines without an event do not bound a region; they go with the event before them."""
+    to = moves.select("plan_id", "axis", "coord", "line")
+
+    def sides(edges: DataFrame, axis: str) -> DataFrame:
+        ends = edges.select("plan_id", "i", F.explode(F.array(F.struct(F.lit("0").alias("end"), F.col("lo").alias("at")), F.struct(F.lit("1").alias("end"), F.col("hi").alias("at")))).alias("e"))
+        marks = to.where(F.col("axis") == axis).select("plan_id", F.col("coord").alias("at"), "line")
+        order = Window.partitionBy("plan_id").orderBy("at")
+        met = ends.select("plan_id", "i", "e.end", "e.at").join(marks, ["plan_id", "at"], "left").withColumn("line", F.last("line", True).over(order))
+        got = met.groupBy("plan_id", "i").agg(F.max(F.when(F.col("end") == "0", F.col("line"))).alias(f"{axis}0"), F.max(F.when(F.col("end") == "1", F.col("line"))).alias(f"{axis}1"))
+        return got.withColumnRenamed("i", f"i{axis}")
+
+    placed = cells.where("load > 0").join(sides(x, "x"), ["plan_id", "ix"]).join(sides(y, "y"), ["plan_id", "iy"])
+    return placed.where("x1 > x0 and y1 > y0").select("plan_id", "load", "x0", "y0", "x1", "y1")
+
+
+def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Per plan and load, the area of snapped cells where the plan had a smaller load, if above the tolerance."""
+    span = lambda e, a: e.select("plan_id", F.col("i").alias(f"i{a}"), F.col("lo").alias(f"{a}lo"), F.col("hi").alias(f"{a}hi"))
+    old = cells.join(span(x, "x"), ["plan_id", "ix"]).join(span(y, "y"), ["plan_id", "iy"]).withColumnRenamed("load", "had")
+    shared = lambda a: F.least(f"{a}1", f"{a}hi") - F.greatest(f"{a}0", f"{a}lo")
+    met = snapped_cells.join(old, "plan_id").where((F.col("had") >= F.col("load")) & (shared("x") > 0) & (shared("y") > 0))
+    held = met.groupBy("plan_id", "load").agg(F.sum(shared("x") * shared("y")).alias("held"))
+    area = snapped_cells.groupBy("plan_id", "load").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    over = F.col("area") - F.coalesce("held", F.lit(0.0))
+    return area.join(held, ["plan_id", "load"], "left").where(over > tolerance).select("plan_id", "load", over.alias("outside"))
 
 
 def nearest_lines(values: DataFrame, lines: DataFrame, within: int) -> DataFrame:
-    """For each value (plan_id, v) the nearest line (plan_id, coord), the lower of two equally near, if it is near enough."""
+    """For each value (plan_id, v) the nearest line (plan_id, coord), the lower of two equally near; null if none is near enough."""
     both = values.select("plan_id", F.col("v").alias("at"), F.lit(1).alias("kind")).distinct().unionByName(lines.select("plan_id", F.col("coord").alias("at"), F.lit(0).alias("kind")))
     up, down = Window.partitionBy("plan_id").orderBy("at", "kind"), Window.partitionBy("plan_id").orderBy(F.desc("at"), "kind")
     line = F.when(F.col("kind") == 0, F.col("at"))
     got = both.withColumn("low", F.last(line, True).over(up)).withColumn("high", F.last(line, True).over(down)).where("kind = 1")
     near = F.when(F.col("high").isNull() | (F.col("at") - F.col("low") <= F.col("high") - F.col("at")), F.col("low")).otherwise(F.col("high"))
-    return got.select("plan_id", F.col("at").alias("v"), near.alias("coord")).where(F.abs(F.col("v") - F.col("coord")) <= within)
+    return got.select("plan_id", F.col("at").alias("v"), F.when(F.abs(F.col("at") - near) <= within, near).alias("coord"))
+
 
+def spaced(lines: DataFrame, width: float, slack: float = 1e-9) -> DataFrame:
+    """Lines (plan_id, axis, idx, line, lower, upper) moved as little as keeps neighbours width apart within their bounds:
+    plan_id, axis, idx, line, moved; moved is null on axes where it cannot be done.
 
-def spaced(lines: DataFrame, width: int) -> DataFrame:
-    """Lines moved right as little as keeps neighbours width apart, on each axis: plan_id, axis, idx, coord, moved."""
+    In places less idx * width the earliest of a line is the running greatest bound, the latest the running least one from
+    the other end, and the forward chain of clipped lines a running greatest."""
+    base = F.col("idx") * width
     order = Window.partitionBy("plan_id", "axis").orderBy("idx")
-    reach = F.max(F.col("coord") - F.col("idx") * width).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("idx") * width
-    return lines.select("plan_id", "axis", "idx", "coord", reach.alias("moved"))
+    past, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    rows = lines.withColumns({"early": F.max(F.col("lower") - base).over(past), "late": F.min(F.col("upper") - base).over(ahead)})
+    rows = rows.withColumn("ok", F.min(F.col("early") <= F.col("late") + slack).over(Window.partitionBy("plan_id", "axis")))
+    kept = F.max(F.least(F.greatest(F.col("line") - base, F.col("early")), F.col("late"))).over(past) + base
+    return rows.select("plan_id", "axis", "idx", "line", F.when(F.col("ok"), kept).alias("moved"))

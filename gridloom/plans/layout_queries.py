@@ -30,19 +30,55 @@ def l06_zone_fit(spark, sf_dir):
     return _zones(spark, sf_dir).select("plan_id", "zone_id", layout.fitted_width(F.col("x1") - F.col("x0"), F.lit(1000), F.col("step")).cast("long").alias("width"))
 
 
-@query(f"{_Z} select plan_id, zone_id, cast(least(greatest(floor((x0 + x1 - 1700) / 2), x1 - 1700), x0) as bigint) as start from z")
-def l05_interval(spark, sf_dir):
-    return _zones(spark, sf_dir).select("plan_id", "zone_id", layout.centred_interval(F.col("x0"), F.col("x1"), F.lit(1700)).cast("long").alias("start"))
+_FIT = "select plan_id, zone_id, x0, x1, x0 + zone_id % 4 * 200 as n0, x0 + zone_id % 4 * 200 + zone_id % 5 * 400 as n1, case zone_id % 3 when 0 then 1000 when 1 then 1700 else 6500 end as length"
 
 
 @query(
-    f"{_Z} select a.plan_id, a.zone_id as a, b.zone_id as b, case when a.x1 = b.x0 and least(a.y1, b.y1) > greatest(a.y0, b.y0) then 'x' else 'y' end as side from z a join z b on a.plan_id = b.plan_id and a.cls = b.cls and a.zone_id <> b.zone_id "
-    "where (a.x1 = b.x0 and least(a.y1, b.y1) > greatest(a.y0, b.y0)) or (a.y1 = b.y0 and least(a.x1, b.x1) > greatest(a.x0, b.x0))"
+    f"{_Z}, f as ({_FIT} from z), p as (select *, (select min(q) from (select unnest([0.0, 6000 - length, n0, n1 - length, (x0 + x1 - length) / 2.0]) as q) where q >= 0 and q + length <= 6000 and q <= n0 and q + length >= n1) as any_place from f) "
+    "select plan_id, zone_id, case when any_place is not null then cast((select arg_min(q, abs(q - (x0 + x1 - length) / 2.0)) from (select unnest([0.0, 6000 - length, n0, n1 - length, (x0 + x1 - length) / 2.0]) as q) where q >= 0 and q + length <= 6000 and q <= n0 and q + length >= n1) as double) end as start from p"
 )
+def l05_interval(spark, sf_dir):
+    z = _zones(spark, sf_dir).selectExpr(*_FIT.replace("select ", "", 1).split(", "))
+    start = layout.fitted_interval(*(F.col(c) for c in ("x0", "x1", "n0", "n1", "length")), F.lit(0), F.lit(6000))
+    return z.select("plan_id", "zone_id", start.cast("double").alias("start"))
+
+
+@query(f"{_Z} select a.plan_id, a.zone_id as a, b.zone_id as b, a.x1 as at from z a join z b on a.plan_id = b.plan_id and a.cls = b.cls and a.zone_id <> b.zone_id and a.x1 = b.x0 and a.y0 <= b.y1 and b.y0 <= a.y1".replace(" as at", ' as "at"'))
 def l08_contacts(spark, sf_dir):
     return layout.contacts(_zones(spark, sf_dir))
 
 
+@query(
+    f"{_Z}, m as (select *, step * case when cls = max(cls) over (partition by plan_id) then 2 else 1 end as reach from z) "
+    "select a.plan_id, a.zone_id, max(case when b.x1 = a.x0 then a.x0 - a.reach end) as low, min(case when b.x0 = a.x1 then a.x1 + a.reach end) as high "
+    "from m a left join m b on a.plan_id = b.plan_id and a.cls = b.cls and a.zone_id <> b.zone_id and a.y0 <= b.y1 and b.y0 <= a.y1 group by a.plan_id, a.zone_id"
+)
+def l08_limits(spark, sf_dir):
+    z = _zones(spark, sf_dir)
+    return layout.touch_limits(z, z.groupBy("plan_id").agg(F.max("cls").alias("cls")))
+
+
+#: What boxes ask for: no layer for no load, else one or two.
+_NEEDS = f"select plan_id, poly_id, case when load = 0 then array() when poly_id % 3 = 0 then array(cast(1 + load / 10 as int), 2) else array(cast(1 + load / 10 as int)) end as layers from ({fx.BOXES12})"
+_WANT = f"{_Z}, b as ({fx.BOXES12}), n as (select plan_id, poly_id, unnest(case when load = 0 then [] when poly_id % 3 = 0 then [cast(1 + load / 10 as int), 2] else [cast(1 + load / 10 as int)] end) as c from b), want as (select t.plan_id, t.poly_id, t.c as threshold, count(*) as need from (select distinct * from n) t join n on n.plan_id = t.plan_id and n.poly_id = t.poly_id and n.c >= t.c group by all)"
+
+
+@query(f"{_WANT} select plan_id, poly_id, threshold, need from want")
+def l02_profiles(spark, sf_dir):
+    return layout.profiles(fx.view(spark, sf_dir, _NEEDS))
+
+
+@query(f"{_WANT} select plan_id, row_number() over (partition by plan_id order by load desc, threshold desc) - 1 as stage, load, threshold from (select distinct w.plan_id, load, threshold from want w join b on b.plan_id = w.plan_id and b.poly_id = w.poly_id)")
+def l07_stages(spark, sf_dir):
+    return layout.stages(fx.view(spark, sf_dir, fx.BOXES12), fx.view(spark, sf_dir, _NEEDS))
+
+
+@query(f"{_WANT} select w.plan_id, w.threshold, arg_min(z.cls, z.step * 100 + z.cls) as cls from (select distinct plan_id, threshold from want) w left join z on z.plan_id = w.plan_id and z.cls >= w.threshold and z.zone_id % 2 = 0 group by w.plan_id, w.threshold")
+def l10_new_classes(spark, sf_dir):
+    z = _zones(spark, sf_dir).where("zone_id % 2 = 0")
+    return layout.new_classes(layout.profiles(fx.view(spark, sf_dir, _NEEDS)), z.selectExpr("plan_id", "cls", "step as density").distinct())
+
+
 @query("with s as (select p_partkey as id, p_size * 10 as a, (1 + p_partkey % 40) * 10 as b from part) select id, gcd(a, b) as g, coalesce((select min(d) from generate_series(20, 500) t(d) where d <= gcd(a, b) and gcd(a, b) % d = 0), gcd(a, b)) as quantum from s")
 def l13_quantum(spark, sf_dir):
     s = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "p_size * 10 as a", "(1 + p_partkey % 40) * 10 as b")
@@ -80,10 +116,12 @@ def l20_triples(spark, sf_dir):
 
 
 @query(
-    f"{_Z}, b as ({fx.BOXES12}), w as (select * from z where zone_id % 2 = 0) select b.plan_id, b.poly_id, count(w.zone_id) as holders from b left join w on w.plan_id = b.plan_id and w.x0 <= b.x0 and w.x1 >= b.x1 and w.y0 <= b.y0 and w.y1 >= b.y1 group by all having count(w.zone_id) < 1"
+    f"{_WANT}, o as (select w.plan_id, w.poly_id, w.threshold, w.need, z.zone_id, greatest(0, greatest(z.x0 - b.x0, b.x1 - z.x1) - z.step) as extra from want w join b on b.plan_id = w.plan_id and b.poly_id = w.poly_id join z on z.plan_id = w.plan_id and z.cls >= w.threshold and z.zone_id % 2 = 0 and z.y0 <= b.y0 and z.y1 >= b.y1), "
+    "r as (select *, row_number() over (partition by plan_id, poly_id, threshold order by extra, zone_id) as place from o where extra <= 300), c as (select plan_id, poly_id, threshold, count(*) as options, count(*) filter (place <= need and extra > 0) as relaxed from r group by all) "
+    "select w.*, coalesce(c.options, 0) as options, case when coalesce(c.options, 0) >= w.need then c.relaxed else 0 end as relaxations, coalesce(c.options, 0) >= w.need as ok from want w left join c on c.plan_id = w.plan_id and c.poly_id = w.poly_id and c.threshold = w.threshold"
 )
 def l30_coverage(spark, sf_dir):
-    return layout.uncovered(fx.view(spark, sf_dir, fx.BOXES12), _zones(spark, sf_dir).where("zone_id % 2 = 0"), 1)
+    return layout.coverage(fx.view(spark, sf_dir, fx.BOXES12), fx.view(spark, sf_dir, _NEEDS), _zones(spark, sf_dir).where("zone_id % 2 = 0"), 300)
 
 
 @query(

@@ -39,15 +39,20 @@ def s11_json_safe(spark, sf_dir):
     return e.select("event_id", payloads.json_safe(odd).alias("value"))
 
 
-@query("with b as (select p_partkey as name, repeat(p_name || '-' || p_type || ';', 3) as data from part) select name, i as part, substring(data, cast(i * 20 + 1 as bigint), 20) as data, octet_length(encode(data)) as bytes, sha256(data) as sha256 from (select *, unnest(generate_series(0, greatest(0, cast(ceil(length(data) / 20.0) as bigint) - 1))) as i from b)")
+_BLOB = "select p_partkey as name, repeat(p_name || '-é' || p_type || ';', 3) as data from part"
+
+
+@query(f"with b as ({_BLOB}) select name, i as part, hex(encode(data)[i * 20 + 1 : i * 20 + 20]) as data, octet_length(encode(data)) as bytes, sha256(data) as sha256 from (select *, unnest(generate_series(0, greatest(0, cast(ceil(octet_length(encode(data)) / 20.0) as bigint) - 1))) as i from b)")
 def s16_chunks(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return payloads.chunks(p.select(F.col("p_partkey").alias("name"), F.expr("repeat(p_name || '-' || p_type || ';', 3)").alias("data")), 20)
+    return payloads.chunks(fx.view(spark, sf_dir, _BLOB), 20).withColumn("data", F.hex("data"))
 
 
-@query("select p_partkey as name, repeat(p_name || '-' || p_type || ';', 3) as data, true as ok from part")
+@query(f"with b as ({_BLOB}) select name, data, name % 3 <> 0 as ok from b where name % 3 <> 0 union all select name, left(data, 0), false from b where name % 3 = 0")
 def s17_reassembled(spark, sf_dir):
-    return payloads.reassembled(s16_chunks(spark, sf_dir))
+    """Every third blob has lost its first chunk."""
+    parts = payloads.chunks(fx.view(spark, sf_dir, _BLOB), 20).where("name % 3 <> 0 or part > 0")
+    got = payloads.reassembled(parts)
+    return got.select("name", F.when(F.col("ok"), F.decode("data", "UTF-8")).otherwise("").alias("data"), "ok")
 
 
 @query("with r as (select l_orderkey as task_id, l_quantity as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as k from lineitem), f as (select task_id, cast(q as bigint) as n, min(k) as k from r group by task_id, cast(q as bigint)) select task_id, row_number() over (partition by task_id order by k) - 1 as pos, n from f")
@@ -57,13 +62,20 @@ def t24_distinct_numbers(spark, sf_dir):
     return payloads.distinct_numbers(ns.select("task_id", F.transform("a", lambda x: x["n"]).alias("ns")))
 
 
-@query("select o_orderkey as job_id, case when o_orderkey % 4 in (0, 1) then 'cbc' when o_orderkey % 4 = 2 then 'highs' end as solver from orders")
+_NAMES = "select o_orderkey as job_id, case o_orderkey % 10 when 0 then ' CBC' when 1 then 'PULP-CBC-CMD' when 2 then 'HiGHS ' when 3 then 'other' when 4 then 'coin_cmd' when 5 then 'highs-cmd' when 6 then 'highspy' when 7 then 'Coin' when 8 then '' end as name from orders"
+
+
+@query(f"select job_id, case job_id % 10 when 3 then null when 2 then 'highs' when 5 then 'highs' when 6 then 'highs' else 'cbc' end as solver from ({_NAMES})")
 def x20_solver_name(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    alias = F.get(F.array(F.lit(" CBC"), F.lit("pulp_cbc_cmd"), F.lit("HiGHS "), F.lit("other")), (F.col("o_orderkey") % 4).cast("int"))
-    return o.select(F.col("o_orderkey").alias("job_id"), payloads.solver_name(alias).alias("solver"))
+    return fx.view(spark, sf_dir, _NAMES).select("job_id", payloads.solver_name(F.col("name")).alias("solver"))
+
+
+_LABELLED = f"select plan_id, zone_id, cls, case when zone_id % 7 = 0 then null else cast(diameter as double) end as diameter, step * 1.25 as step, (x1 - x0) * 1000.0 / 7 as width, (y1 - y0) * 997.0 as length, case when zone_id % 5 = 0 then null else (x1 - x0) * 0.37 end as mass, (x1 - x0) * 0.41 as anchored_mass from ({ZONES})"
 
 
-@query(f"with z as ({ZONES}) select plan_id, zone_id, 'Z' || row_number() over (partition by plan_id order by zone_id) || ' | C' || cls || ' | d' || cast(floor(diameter) as integer) || ' | s' || step as label from z")
+@query(
+    f"with z as ({_LABELLED}) select plan_id, zone_id, 'N=' || count(*) over (partition by plan_id) || ' | ZONE=' || row_number() over (partition by plan_id order by zone_id) || ' | CLASS=' || cls || case when diameter is null then '' else ' | D=' || format('{{:g}}', diameter) || 'mm' end || ' | STEP=' || format('{{:g}}', cast(step as double)) || 'mm | W=' || format('{{:g}}', cast(width as double)) || "
+    "'mm | L=' || format('{:g}', cast(length as double)) || 'mm' || case when mass is null then '' else ' | M=' || format('{:.2f}', cast(mass as double)) || 'kg' end || ' | M+ANCH=' || format('{:.2f}', cast(anchored_mass as double)) || 'kg' as label from z"
+)
 def s09_zone_labels(spark, sf_dir):
-    return payloads.zone_labels(fx.view(spark, sf_dir, ZONES))
+    return payloads.zone_labels(fx.view(spark, sf_dir, _LABELLED))

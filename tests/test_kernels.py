@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from gridloom.kernels import cover
-from gridloom.operators.quantise import partition_costs
+from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, places
 
 
 def brute(covers, need, cost, most, n):
@@ -47,7 +47,53 @@ def test_partitions_against_every_cut():
     for n in (1, 2, 5, 8):
         costs = np.where(rnd.random((n, n)) < 0.2, np.inf, rnd.integers(0, 50, (n, n)).astype(float))
         costs[np.tril_indices(n, -1)] = np.inf
-        got = partition_costs(costs, n)
+        got, begins = frontier(costs, n)
         for k in range(1, n + 1):
             cuts = (np.array([0, *c, n]) for c in itertools.combinations(range(1, n), k - 1))
             assert got[k - 1] == min(sum(costs[a, b - 1] for a, b in itertools.pairwise(c)) for c in cuts)
+            if np.isfinite(got[k - 1]):
+                at = [*exact_begins(begins, n, k), n]
+                assert len(at) == k + 1 and sum(costs[a, b - 1] for a, b in itertools.pairwise(at)) == got[k - 1]
+
+
+def lines(rnd, n):
+    coord = np.sort(rnd.choice(200, n, replace=False)).astype(float)
+    return Axis(coord, *(rnd.integers(0, 9, n).astype(float) for _ in range(2)), *(rnd.integers(0, 60, n).astype(float) for _ in range(2)))
+
+
+def test_stretch_costs_against_every_place():
+    """Two lines at 0 and 10 that may move by 6 meet between them; others, wherever the cost is least within all bounds."""
+    cost, place = Axis(np.array([0.0, 10.0]), *(np.array([1.0, 1.0]),) * 2, *(np.array([6.0, 6.0]),) * 2).table()
+    assert cost[0, 1] == 10 and 4 <= place[0, 1] <= 6
+    rnd = np.random.default_rng(3)
+    for _ in range(60):
+        axis = lines(rnd, 7)
+        cost, place = axis.table()
+        for i, j in itertools.combinations_with_replacement(range(7), 2):
+            low, high = max(axis.coord[i], axis.floor[i : j + 1].max()), min(axis.coord[j], axis.ceiling[i : j + 1].min())
+            moves = lambda q: sum(m * max(0, c - q) + p * max(0, q - c) for c, m, p in zip(axis.coord[i : j + 1], axis.minus[i : j + 1], axis.plus[i : j + 1]))  # noqa: B023, B905, E731
+            if low > high:
+                assert np.isinf(cost[i, j])
+            else:
+                assert low <= place[i, j] <= high and abs(cost[i, j] - moves(place[i, j])) < 1e-6
+                assert abs(cost[i, j] - min(map(moves, [low, high, *(c for c in axis.coord if low <= c <= high)]))) < 1e-6
+
+
+def test_greedy_against_plain_merging_and_exact():
+    rnd = np.random.default_rng(4)
+    for _ in range(60):
+        axis = lines(rnd, 8)
+        cost, _ = axis.table()
+        cuts, want = list(range(8)) + [8], []
+        while len(cuts) > 2:
+            rises = [(max(0.0, cost[a, c - 1] - cost[a, b - 1] - cost[b, c - 1]), k + 1) for k, (a, b, c) in enumerate(zip(cuts, cuts[1:], cuts[2:]))]  # noqa: B905
+            rise, at = min(rises)
+            if not np.isfinite(rise):
+                break
+            want.append(cuts.pop(at))
+        gone, totals = greedy_merges(axis)
+        assert gone == want
+        best, _ = frontier(cost, 8)
+        for k, total in enumerate(totals):
+            begins = np.setdiff1d(np.arange(8), gone[: k + 1])
+            assert abs(places(axis, begins)[0].sum() - total) < 1e-6 and total > best[len(begins) - 1] - 1e-6

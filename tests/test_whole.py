@@ -91,25 +91,28 @@ def test_mosaic_of_all_candidates(spark, tmp_path):
     assert got == {k: y * (1 << 20) + x for k, (_, y, x) in label.items()}
 
 
-#: The boxes of a plan with x and y exchanged: what the SQL tells of their x axis holds for the y axis of the plan.
-TURNED = fx.BOXES12.replace(" as x", " as z").replace(" as y0", " as x0").replace(" as y1", " as x1").replace(" as z", " as y")
-
-
-@pytest.mark.parametrize("name", ["q03_axis_events", "q06_min_lines", "q07_segment_costs", "q09_exact_frontier", "q16_locked_scaled", "q18_spacing"])
-def test_both_axes(spark, tmp_path, name):
-    """The SQL tells the x axis, q09's up to 12 stretches."""
-    sf, sql = fixture(spark, tmp_path, 24), catalog.part_sql()[name]
-    df = catalog.queries()[name](spark, sf)
-    got, columns = df.collect(), sorted(c for c in df.columns if c != "axis")
-    for axis, text in (("x", sql), ("y", sql.replace(fx.BOXES12, TURNED))):
-        rows = sorted([plain(r[c]) for c in columns] for r in got if r["axis"] == axis and (name != "q09_exact_frontier" or r["k"] <= 12))
-        assert rows and rows == asked(f"select {', '.join(columns)} from ({text})", sf)
+def test_snapping_that_moves_nothing_breaks_no_order(spark, tmp_path):
+    """Where an axis has no more lines than asked for, cells stay; snapped to fewer, they fill what they say."""
+    c = Cover.of(spark, fixture(spark, tmp_path, 36))
+    events = quantise.axis_events(c.loads, c.x, c.y, "x", 0.2).unionByName(quantise.axis_events(c.loads, c.y, c.x, "y", 0.2))
+    x, y = ({(r["plan_id"], r["i"]): (r["lo"], r["hi"]) for r in e.collect()} for e in (c.x, c.y))
+    want = sorted((r["plan_id"], r["load"], *(float(e[r["plan_id"], r[i]][k]) for k in (0, 1) for e, i in ((x, "ix"), (y, "iy")))) for r in c.loads.where("load > 0").collect())
+    still = quantise.snapped(c.loads, c.x, c.y, quantise.quantised(events, 100))
+    assert sorted(map(tuple, still.collect())) == want
+    assert not quantise.order_violations(still, c.loads, c.x, c.y, 1e-6).collect()
+    moved = quantise.snapped(c.loads, c.x, c.y, quantise.quantised(events, 6).where("problem is null"))
+    had = {}
+    for p, load, x0, y0, x1, y1 in map(tuple, moved.collect()):
+        held = sum(max(0, min(x1, b[4]) - max(x0, b[2])) * max(0, min(y1, b[5]) - max(y0, b[3])) for b in want if b[0] == p and b[1] >= load)
+        had[p, load] = had.get((p, load), 0) + (x1 - x0) * (y1 - y0) - held
+    got = {(r["plan_id"], r["load"]): round(r["outside"], 3) for r in quantise.order_violations(moved, c.loads, c.x, c.y, 1e-6).collect()}
+    assert got == {k: round(v, 3) for k, v in had.items() if v > 1e-6}
 
 
 def test_frontier_of_thirteen_lines(spark):
     """Thirteen lines out of each other's reach have one partition, of thirteen stretches."""
     events = spark.range(13).selectExpr("1L as plan_id", "'y' as axis", "id as idx", "id * 1000 as coord", "5L as w_minus", "5L as w_plus", "400L as tol_minus", "400L as tol_plus")
-    got = quantise.exact_partitions(quantise.segment_costs(events)).collect()
+    got = quantise.exact_partitions(events).collect()
     assert [tuple(r) for r in got] == [(1, "y", 13, 0)]
 
 
