@@ -157,8 +157,10 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, names: list[str], most: int = RULES
         if best is None or loss < best[0] - 1e-4:
             best = (loss, penalty)
     b, w = lasso(scaled, y, best[1])
-    if (w != 0).sum() > most:
-        w[np.argsort(-np.abs(w))[most:]] = 0
+    if (w != 0).sum() > most:  # the strongest rules alone, fitted again
+        kept = np.argsort(-np.abs(w), kind="stable")[:most]
+        w = np.zeros(len(w))
+        b, w[kept] = lasso(scaled[:, kept], y, best[1])
     rules = tuple(Rule(tuple((names[j], above, t) for j, above, t in paths[i]), float(w[i] / spread[i])) for i in np.flatnonzero(w))
     return Model(float(b - (w / spread * mean).sum()), rules)
 

@@ -34,3 +34,12 @@ def test_collision_is_split(spark):
     plain = plain.withColumn("sha", F.when(F.col("doc_id").isin(3, 4), F.unhex(F.sha2(F.lit("b"), 256))).otherwise(F.col("sha")))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup._regrouped(plain, odd).collect()}
     assert got == {1: (1, 3), 2: (1, 3), 5: (1, 3), 3: (3, 2), 4: (3, 2)}
+
+
+def test_many_rows_without_an_id_and_with_one_id(spark):
+    """Half of the rows hold one text and no id or one id: their number stays, and no step makes pairs of them."""
+    n = 100_000
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 4 == 1, -7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 4 == 3, F.concat(F.lit("t"), F.col("id") % 100)).otherwise("same text").alias("text"))
+    got = exact_dedup.exact_groups(rows)
+    told = got.groupBy((F.col("keep_id") == -7).alias("same")).agg(F.count("*").alias("n"), F.max("group_size").alias("size"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert sorted((r["same"], r["n"], r["size"]) for r in told) == [(False, n // 4, n // 100), (True, 3 * n // 4, 3 * n // 4)]

@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -41,3 +46,57 @@ def test_odd_rows(spark):
     assert got[7]["lang_pred"] in ("de", "en") and language.identified(df).count() == 8
     assert language.identified(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in language.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def plain_places(text):
+    """The places of a text's n-grams, one after the other."""
+    a, b, c, d = 2654435761, 2246822519, 3266489917, 668265263
+    t = "".join(" " if ord(x) < 128 and not x.isalpha() else x for x in text.lower())
+    t = f" {t} "
+    out = []
+    for n, mix, plus in ((1, (a,), 1), (2, (b, c), 2), (3, (d, a, b), 3)):
+        for i in range(len(t) - n + 1):
+            gram = t[i : i + n]
+            if gram.strip(" "):
+                h = (sum(ord(x) * m for x, m in zip(gram, mix, strict=True)) + plus) % 2**32
+                h ^= h >> 15
+                out.append((h * b % 2**32) >> 19)
+    return out
+
+
+def test_whole_query_against_plain_python(spark):
+    """Frequencies, weights, clusters and predictions of a small table in plain Python."""
+    rnd = random.Random(8)
+    words = {"aa": "sola mira tenu paldo rivak".split(), "bb": "krox wizz übel gnarp zott".split()}
+    rows = [(i, " ".join(rnd.choice(words[k]) + rnd.choice(["", "s", ", 7"]) for _ in range(rnd.randint(4, 30))), k) for i, k in enumerate(rnd.choices(["aa", "bb"], k=60))]
+    got = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    train = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    df = Counter(p for t, _ in train for p in set(plain_places(t)))
+
+    def vector(t):
+        v = np.zeros(language.DIMS)
+        for p, n in Counter(plain_places(t)).items():
+            v[p] = math.log1p(n) * (math.log((1 + len(train)) / (1 + df[p])) + 0.05)
+        return v / np.linalg.norm(v)
+
+    centres = []
+    for k in ("aa", "bb"):
+        vs = [vector(t) for t, own in train if own == k]
+        seeds = [max(range(len(vs)), key=lambda i: vs[i] @ sum(vs))]
+        while len(seeds) < language.CENTROIDS:
+            seeds.append(min(range(len(vs)), key=lambda i: max(vs[i] @ vs[s] for s in seeds)))
+        own = [vs[s] for s in seeds]
+        for _ in range(language.ROUNDS):
+            of = [max(range(len(own)), key=lambda j: v @ own[j]) for v in vs]
+            sums = [sum([v for v, o in zip(vs, of, strict=True) if o == j], np.zeros(language.DIMS)) for j in range(len(own))]
+            own = [s / np.linalg.norm(s) if s.any() else c for s, c in zip(sums, own, strict=True)]
+        centres += [(k, c) for c in own]
+    for i, t, _ in rows:
+        score, lang = max((float(c @ vector(t)), k) for k, c in centres)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3 and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "one two three", "en"), (2, "½ ² 12", "en"), (3, "½ a", "en")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}

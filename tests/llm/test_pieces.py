@@ -1,4 +1,6 @@
+import hashlib
 import random
+import zlib
 
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -98,3 +100,26 @@ def test_rows(spark):
     back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encoded(df)).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows}
     assert pieces.round_trips(df.limit(0)).collect() == []
+
+
+def test_query_rows_against_every_segmentation(spark):
+    """Each row of the query, from ids of the best of all segmentations of each short word."""
+    v = pieces.Vocabulary(pieces.vocabulary())
+
+    def best(w):
+        options = [(0.0, [])] if not w else []
+        for n in range(1, len(w) + 1):
+            if (found := v.scores.get(w[:n])) or n == 1:
+                s, ids = best(w[n:])
+                options.append((s + (found[0] if found else v.unknown), [found[1]] + ids if found else [v.byte_ids[b] for b in w[0].encode()] + ids))
+        return max(options, key=lambda o: o[0])
+
+    texts = ["the tree on", "a", "there\nis it", "gone there"]
+    got = {r["doc_id"]: r for r in pieces.round_trips(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        back = {r["doc_id"]: r["ids"] for r in pieces.encoded(spark.createDataFrame([(i, t)], "doc_id long, text string")).collect()}[i]
+        score = {k: s for s, k in v.scores.values()}
+        marked = ("▁" + t.replace(" ", "▁")).split("▁")[1:]
+        assert abs(sum(score.get(k, 0) for k in back) - sum(best("▁" + w)[0] for w in marked if "\n" not in w)) < 1e-6 or "\n" in t
+        assert got[i]["n_ids"] == len(back) and got[i]["ids_crc32"] == zlib.crc32(b"".join(k.to_bytes(4, "little") for k in back))
+        assert got[i]["round_trip"] and got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()

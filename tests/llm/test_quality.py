@@ -1,3 +1,8 @@
+import math
+import random
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,3 +51,52 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in got)
     assert {r["score"] for r in quality.rated(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.rated(docs.limit(0), labels).collect() == []
+
+
+def plain_statistics(t):
+    """The statistics of a text in plain Python."""
+    n, words = max(len(t), 1), [w for w in re.split(r"[\x20\x09-\x0d]+", t) if w]
+    share = lambda chars: sum(c in chars for c in t) / n
+    return [
+        math.log1p(len(t)), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#$%&*+<=>@^_`|~\\{}[]/"), share("!?"), share(".,;:"),
+        n / max(len(words), 1), len(set(words)) / max(len(words), 1), float(max(map(len, words), default=0)), max(len(words), 1) / (t.count("\n") + 1),
+    ]
+
+
+def test_whole_query_against_plain_python(spark):
+    """Statistics, labels that are held out, rules and scores, one document after the other."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abc dE. !9#é\n\t" if i % 2 else "abcd efgh. ") for _ in range(rnd.randint(0, 400))) for i in range(400)] + ["", "\n", "x" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(texts))}
+    draws = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))).collect()}
+    order = sorted((i for i in range(400) if not held[i]), key=lambda i: (draws[i], i))
+    stats = np.array([plain_statistics(t) for t in texts])
+    names = list(quality.statistics(F.col("text")))
+    model = quality.fit_arrays(stats[order], np.array([1.0 - i % 2 for i in order]), names)
+    assert model.rules
+    got = {r["doc_id"]: r for r in quality.rated(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(stats):
+        z = model.base + sum(r.weight for r in model.rules if all((x[names.index(s)] > t) == above for s, above, t in r.tests))
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-z))) < 1e-6 and got[i]["held_out"] == held[i] and got[i]["predicted"] == (got[i]["score"] >= 0.5), texts[i]
+
+
+def test_first_split_against_every_split():
+    rnd = np.random.default_rng(6)
+    x = rnd.random((120, 4))
+    y = (x[:, 2] + 0.2 * rnd.random(120) > 0.6).astype(float)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(4)]
+    g = y - y.mean()
+    h = np.full(120, y.mean() * (1 - y.mean()))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gain, j, t = max((part(x[:, j] <= t) + part(x[:, j] > t), j, t) for j in range(4) for t in cuts[j] if 10 <= (x[:, j] <= t).sum() <= 110)
+    assert quality.tree_paths(x, y, 1, 1) == [((j, False, t),), ((j, True, t),)] and gain > part(np.ones(120, bool))
+
+
+def test_rules_beyond_the_bound_are_fitted_again():
+    rnd = np.random.default_rng(7)
+    x = rnd.random((600, 5))
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6) | (x[:, 2] > 0.9)).astype(float)
+    assert len(quality.fit_arrays(x, y, list("abcde"), 5).rules) <= 5
