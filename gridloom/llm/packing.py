@@ -35,7 +35,7 @@ from gridloom.llm.wordids import WordIds
 
 LENGTH, CLOSING = 4096, 2
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, place long"
 
 
@@ -59,6 +59,10 @@ _SPLIT, _END = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"),
 _PLAIN = re.compile(rb"[!-;=-~]+").fullmatch
 
 
+#: A character that stands between words learned together; it has an id of its own, else words are learned one by one.
+_MARK, _BETWEEN = b"\x01", b" \x01 "
+
+
 @lru_cache(maxsize=2)
 def _ascii_merger(path: str):
     """The vocabulary's merges for tiktoken, a word's end written as one byte; None unless ids are in the order of merges."""
@@ -85,6 +89,9 @@ class WordEncoder(WordIds):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__(remembered)
         self.tokenizer, self.merger = _tokenizer(path), _ascii_merger(path)
+        marked = self.tokenizer.encode((b"a" + _BETWEEN + b"a" + _BETWEEN).decode(), add_special_tokens=False).ids
+        plain = self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.mark = marked[-1] if marked == 2 * [*plain, marked[-1]] and marked[-1] not in plain else None
 
     def _learn(self, words: list[bytes]) -> None:
         plain, rest = [], []
@@ -96,11 +103,25 @@ class WordEncoder(WordIds):
             ids = np.array(merger.encode_ordinary(lines), np.uint32)
             at = np.flatnonzero(ids == gap)
             self.keep(plain, ids[ids != gap], np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+        if rest and self.mark is not None:
+            rest = self._learn_joined(rest)
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
             self.keep(some, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
 
+    def _learn_joined(self, words: list[bytes]) -> list[bytes]:
+        """Learns words many at once, a mark between them; returns those that hold the mark."""
+        apart = [w for w in words if _MARK in w]
+        some = [w for w in words if _MARK not in w] if apart else words
+        for at in range(0, len(some), 1 << 14):
+            part = some[at : at + (1 << 14)]
+            lines = [_BETWEEN.join([*part[i : i + 256], b""]).decode("utf-8", "replace") for i in range(0, len(part), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.mark)
+            self.keep(part, ids[ids != self.mark], np.diff(np.concatenate(([-1], ends))) - 1)
+        return apart
+
     def learn(self, texts: list[bytes]) -> list[list[bytes]]:
         """The words of each text, all of them known now."""
         split = [t.split() for t in texts]
