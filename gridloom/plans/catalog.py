@@ -39,7 +39,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from gridloom.plans import layout_queries, quantise_queries, request_queries, source_queries, state_queries  # noqa: F401
+    from gridloom.plans import layout_queries, quantise_queries, request_queries, ring_queries, source_queries, state_queries  # noqa: F401
 
     return dict(_QUERIES)
 
