@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import candidates, classes, model, raster
 from gridloom.plans import fixtures as fx
+from gridloom.session import settled
 
 
 @dataclass
 class Cover:
-    """Every table of the chain, made when first asked for; those that several others build on are kept."""
+    """Every table of the chain, made when first asked for; those that several others build on are kept, and cells, candidates,
+    prices and rows are checkpoints, so that no plan repeats the chain before them."""
 
     boxes: DataFrame
     stock: DataFrame
@@ -56,7 +58,7 @@ class Cover:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return classes.loads_to_classes(self.loads, self.catalogue[1]).persist()
+        return settled(classes.loads_to_classes(self.loads, self.catalogue[1]))
 
     @cached_property
     def rectangles(self) -> DataFrame:
@@ -64,15 +66,15 @@ class Cover:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return candidates.expanded(self.rectangles, self.layers).persist()
+        return settled(candidates.expanded(self.rectangles, self.layers))
 
     @cached_property
     def priced(self) -> DataFrame:
-        return model.metrics(self.candidates, self.x, self.y, self.catalogue[0], self.holds).persist()
+        return settled(model.metrics(self.candidates, self.x, self.y, self.catalogue[0], self.holds))
 
     @cached_property
     def rows(self) -> DataFrame:
-        return model.cover_rows(self.cells, classes.thresholds(self.layers)).persist()
+        return settled(model.cover_rows(self.cells, classes.thresholds(self.layers)))
 
     @cached_property
     def covers(self) -> DataFrame:

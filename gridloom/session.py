@@ -35,3 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: plans built on it start there, and lost executors do not take it with them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
