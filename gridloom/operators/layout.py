@@ -172,3 +172,19 @@ def steel(zones: DataFrame, fields: DataFrame, density: int) -> DataFrame:
         F.count(F.lit(1)).alias("bars"), F.sum(plain).alias("length"), F.sum(anchored).alias("anchored_length"),
         F.round(F.sum(plain * per_mm), 3).alias("mass"), F.round(F.sum(anchored * per_mm), 3).alias("anchored_mass"),
     )
+
+
+def overlap(low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """How much two intervals share, 0 where they only touch; null where a bound is."""
+    shared = F.when(low.isNotNull() & high.isNotNull() & low2.isNotNull() & high2.isNotNull(), F.least(high, high2) - F.greatest(low, low2))
+    return F.when(shared > 0, shared).when(shared.isNotNull(), F.lit(0))
+
+
+def inside_field(zones: DataFrame, field: DataFrame, slack: float = 1e-7) -> DataFrame:
+    """For each zone (plan_id, zone_id, x0, y0, x1, y1) whether the plan's field, disjoint rectangles (plan_id, x0, y0, x1, y1),
+    holds it whole, but for a seam of slack around it: plan_id, zone_id, inside. A plan without a field holds none."""
+    z = zones.select("plan_id", "zone_id", *(F.col(c).alias(f"z{c}") for c in ("x0", "y0", "x1", "y1"))).distinct()
+    meets = "z.plan_id = f.plan_id and z.zx0 < f.x1 and f.x0 < z.zx1 and z.zy0 < f.y1 and f.y0 < z.zy1"
+    clip = overlap(F.col("zx0"), F.col("zx1"), F.col("x0"), F.col("x1")) * overlap(F.col("zy0"), F.col("zy1"), F.col("y0"), F.col("y1"))
+    held = z.alias("z").join(field.alias("f"), F.expr(meets), "left").groupBy("z.plan_id", "z.zone_id").agg(F.coalesce(F.sum(clip), F.lit(0)).alias("held"), F.first(F.expr("(zx1 - zx0) * (zy1 - zy0)")).alias("area"), F.first(F.expr("2 * (zx1 - zx0 + zy1 - zy0)")).alias("around"))
+    return held.select("plan_id", "zone_id", (F.col("held") >= F.col("area") - slack * F.col("around")).alias("inside"))

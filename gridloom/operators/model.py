@@ -107,3 +107,26 @@ def materialised(priced: DataFrame, chosen: DataFrame) -> DataFrame:
     """Totals of each plan's solution: zones, distinct, base_area, area, total_cost."""
     got = chosen.join(priced, ["plan_id", "cand_id"])
     return got.groupBy("plan_id").agg(F.sum("copies").alias("zones"), F.count(F.lit(1)).alias("distinct_zones"), F.sum(F.col("copies") * F.col("base_area")).alias("base_area"), F.sum(F.col("copies") * F.col("area")).alias("area"), F.round(F.sum(F.col("copies") * F.col("cost")), 1).alias("total_cost"))
+
+
+def checked_counts(rows: DataFrame, covers: DataFrame, bounds: DataFrame, chosen: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each plan of asked (plan_id, n) whether its chosen copies are n in number, each of a known candidate and within its
+    bound, and give every row its need: plan_id, n, in_bounds, right_count, supplied, ok.
+
+    A null n asks for no number. A plan without chosen copies supplies nothing. Copies of a candidate in several rows add up."""
+    copies = chosen.groupBy("plan_id", "cand_id").agg(F.sum("copies").alias("copies"), F.min("copies").alias("least"))
+    held = copies.join(bounds.select("plan_id", "cand_id", "ub"), ["plan_id", "cand_id"], "left")
+    fine = F.coalesce((F.col("least") >= 0) & (F.col("copies") <= F.col("ub")), F.lit(False))
+    held = held.groupBy("plan_id").agg(F.bool_and(fine).alias("in_bounds"), F.sum("copies").alias("have"))
+    got = covers.join(copies, ["plan_id", "cand_id"]).groupBy("plan_id", "row_id").agg(F.sum("copies").alias("supply"))
+    short = rows.join(got, ["plan_id", "row_id"], "left").where("coalesce(supply, 0) < need").select("plan_id").distinct().withColumn("short", F.lit(True))
+    out = asked.join(held, "plan_id", "left").join(short, "plan_id", "left")
+    right = F.col("n").isNull() | (F.coalesce("have", F.lit(0)) == F.col("n"))
+    out = out.select("plan_id", "n", F.coalesce("in_bounds", F.lit(True)).alias("in_bounds"), right.alias("right_count"), F.col("short").isNull().alias("supplied"))
+    return out.withColumn("ok", F.expr("in_bounds and right_count and supplied"))
+
+
+def uncovered_cells(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those cells (plan_id, iy, ix) that no chosen rectangle (plan_id, x0, y0, x1, y1) holds."""
+    inside = "c.plan_id = r.plan_id and c.ix between r.x0 and r.x1 and c.iy between r.y0 and r.y1"
+    return cells.alias("c").join(chosen.alias("r"), F.expr(inside), "left_anti")

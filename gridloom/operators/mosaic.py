@@ -48,3 +48,28 @@ def mosaic(cells: DataFrame, rects: DataFrame, rounds: int = 10_000) -> DataFram
             break
         labels = new.drop("old")
     return labels.select("plan_id", F.floor(F.col("u") / (1 << 20)).alias("iy"), (F.col("u") % (1 << 20)).alias("ix"), "label")
+
+
+def label_problem(labels: DataFrame, shapes: DataFrame) -> DataFrame:
+    """What is wrong with the labels (plan_id, iy, ix, label double) of each of shapes (plan_id, ny, nx): `shape` where cells are
+    missing, repeated or outside, else `finite`, else `integer`, else null. A null label is not finite."""
+    inside = F.expr("iy >= 0 and iy < ny and ix >= 0 and ix < nx")
+    rows = labels.join(shapes, "plan_id").groupBy("plan_id", "ny", "nx", "iy", "ix").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.bool_and(F.coalesce(~F.isnan("label") & (F.abs("label") != float("inf")), F.lit(False))).alias("finite"),
+        F.bool_and(F.coalesce(F.col("label") == F.floor("label"), F.lit(False))).alias("whole"),
+    )
+    got = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("cells"), F.bool_and(F.coalesce(inside, F.lit(False)) & (F.col("copies") == 1)).alias("placed"), F.bool_and("finite").alias("finite"), F.bool_and("whole").alias("whole"))
+    shaped = (F.coalesce("cells", F.lit(0)) == F.col("ny") * F.col("nx")) & F.coalesce("placed", F.lit(True))
+    problem = F.when(~shaped, "shape").when(~F.col("finite"), "finite").when(~F.col("whole"), "integer")
+    return shapes.join(got, "plan_id", "left").select("plan_id", problem.alias("problem"))
+
+
+def units_inside(units: DataFrame, rects: DataFrame) -> DataFrame:
+    """The units (plan_id, iy, ix, unit) that each rectangle (plan_id, rect_id, x0, y0, x1, y1) meets, and whether it cuts them:
+    plan_id, rect_id, unit, cut. Cells of no unit (null or below 0) and repeated cells do not count."""
+    own = units.where("unit >= 0").select("plan_id", "iy", "ix", "unit").distinct()
+    size = own.groupBy("plan_id", "unit").agg(F.count(F.lit(1)).alias("size"))
+    met = own.alias("u").join(rects.alias("r"), F.expr("u.plan_id = r.plan_id and u.ix between r.x0 and r.x1 and u.iy between r.y0 and r.y1"))
+    met = met.groupBy("u.plan_id", "r.rect_id", "u.unit").agg(F.count(F.lit(1)).alias("n"))
+    return met.join(size, ["plan_id", "unit"]).select("plan_id", "rect_id", "unit", (F.col("n") < F.col("size")).alias("cut"))

@@ -109,3 +109,33 @@ def distortion(boxes: DataFrame, snapped: DataFrame) -> DataFrame:
     held = lambda c: F.coalesce(F.col(c) == F.col("load"), F.lit(False))
     total = lambda test, name: F.sum(F.when(test, F.col("area")).otherwise(0)).alias(name)
     return rows.groupBy("plan_id", "load").agg(total(held("a"), "area"), total(held("a") & ~held("b"), "lost"), total(held("b") & ~held("a"), "gained"))
+
+
+def _chance(*parts: Column) -> Column:
+    """A number from 0 on and below 1 that follows from the parts alone, so that lost tasks make the same grid again."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def random_sizes(grids: DataFrame) -> DataFrame:
+    """Sizes of the columns (x) and rows (y) of random grids (plan_id, m, share, low, high, seed): plan_id, axis, i, size."""
+    lines = _sound(grids).select("*", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("axis")).select("*", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("i"))
+    return lines.select("plan_id", "axis", "i", F.round(F.col("low") + (F.col("high") - F.col("low")) * _chance(F.col("seed"), F.col("axis"), F.col("i")), 3).alias("size"))
+
+
+def random_mask(grids: DataFrame) -> DataFrame:
+    """The cells of random grids (plan_id, m, share, low, high, seed), each one with the chance share: plan_id, iy, ix, one.
+
+    Where none would be one, a cell chosen by the seed is."""
+    axis = F.sequence(F.lit(0), F.col("m").cast("int") - 1)
+    cells = _sound(grids).select("*", F.explode(axis).alias("iy")).select("*", F.explode(axis).alias("ix"))
+    cells = cells.withColumn("one", (_chance(F.col("seed"), F.col("iy"), F.col("ix")) < F.col("share")).cast("int"))
+    some = cells.groupBy("plan_id").agg(F.max("one").alias("some"))
+    pick = lambda name: F.floor(_chance(F.col("seed"), F.lit(name)) * F.col("m"))
+    given = (F.col("some") == 0) & (F.col("iy") == pick("row")) & (F.col("ix") == pick("column"))
+    return cells.join(some, "plan_id").select("plan_id", "iy", "ix", F.when(given, 1).otherwise(F.col("one")).alias("one"))
+
+
+def _sound(grids: DataFrame) -> DataFrame:
+    """grids; a size, share or range that cannot be is an error."""
+    bad = ~F.coalesce(F.expr("m > 0 and share between 0 and 1 and low > 0 and low <= high"), F.lit(False))
+    return grids.withColumn("m", F.when(bad, F.raise_error(F.concat(F.lit("no such grid: "), F.coalesce(F.col("plan_id").cast("string"), F.lit("null"))))).otherwise(F.col("m")))

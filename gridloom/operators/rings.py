@@ -6,7 +6,7 @@ Repeated points are collinear with any neighbour. Null axes are an error of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,19 @@ def hold_problems(classes: DataFrame, holds: DataFrame) -> DataFrame:
     bad = F.col("hold").isNull() | F.isnan("hold") | (F.abs("hold") == float("inf")) | (F.col("hold") < 0)
     problem = F.when(F.col("held").isNull(), "missing").when(F.col("cls") <= 0, "class").when(bad, "value").when(F.col("has").isNull(), "unknown")
     return met.select("plan_id", "cls", problem.alias("problem")).where("problem is not null")
+
+
+def flat_polygons(geometries: DataFrame) -> DataFrame:
+    """The polygons of GeoJSON geometries (poly_id, geometry), in order: poly_id, pos, rings (array of rings of [x, y]).
+
+    Parts of a collection count where they are polygons or have several; a collection in a collection, other types, null, empty
+    and unreadable geometries give none."""
+    part = "type string, coordinates string"
+    g = F.from_json("geometry", f"{part}, geometries array<struct<type: string, coordinates: string>>")
+    own = F.array(F.struct(F.col("g.type").alias("type"), F.col("g.coordinates").alias("coordinates")))
+    parts = geometries.select("poly_id", g.alias("g")).select("poly_id", F.posexplode(F.when(F.col("g.type") == "GeometryCollection", F.col("g.geometries")).otherwise(own)).alias("part", "p"))
+    polygon = "array<array<array<double>>>"
+    many = F.when(F.col("p.type") == "Polygon", F.array(F.from_json("p.coordinates", polygon))).when(F.col("p.type") == "MultiPolygon", F.from_json("p.coordinates", f"array<{polygon}>"))
+    each = parts.select("poly_id", "part", F.posexplode(many).alias("at", "rings")).where(F.size("rings") > 0)
+    order = Window.partitionBy("poly_id").orderBy("part", "at")
+    return each.select("poly_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "rings")
