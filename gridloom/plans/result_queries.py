@@ -60,9 +60,10 @@ def x16_multiplicities(spark, sf_dir):
     return results.multiplicities(fx.view(spark, sf_dir, _PICKS), fx.view(spark, sf_dir, fx.BOXES12).withColumnRenamed("poly_id", "cand_id"))
 
 
-#: A stored solution of each plan, about a fifth of its candidates, some of them too often; plans with an odd id ask for one more.
-_COPIES = "1 + (cand_id + plan_id) % 3 % 2"
-_STORED = f", stored as (select plan_id, cand_id, {_COPIES} as copies from cand where (cand_id * 7 + plan_id) % 5 = 0), wish as (select plan_id, sum(copies) + plan_id % 2 as n from stored group by plan_id)"
+#: A stored solution of each plan, one in 40 to 340 of its candidates, some of them twice; plans with an odd id ask for one more.
+_COPIES = "case when cand_id % 11 = 10 then 2 else 1 end"
+_TAKEN = "cand_id % (40 + plan_id % 300) = 0"
+_STORED = f", stored as (select plan_id, cand_id, {_COPIES} as copies from cand where {_TAKEN}), wish as (select plan_id, sum(copies) + plan_id % 2 as n from stored group by plan_id)"
 _CHECKED = f"""{_STORED}, sup as (select r.plan_id, r.row_id, r.need, coalesce(sum(s.copies), 0) as supply from need_row r left join (select c.plan_id, c.row_id, s.copies from cov c join stored s on s.plan_id = c.plan_id and s.cand_id = c.cand_id) s on s.plan_id = r.plan_id and s.row_id = r.row_id group by all),
 checked as (select w.plan_id, cast(w.n as bigint) as n, i.in_bounds, w.plan_id % 2 = 0 as right_count, coalesce(u.supplied, true) as supplied from wish w join (select s.plan_id, bool_and(s.copies <= b.ub) as in_bounds from stored s join bound b on b.plan_id = s.plan_id and b.cand_id = s.cand_id group by s.plan_id) i on i.plan_id = w.plan_id
  left join (select plan_id, bool_and(supply >= need) as supplied from sup group by plan_id) u on u.plan_id = w.plan_id)"""
@@ -70,7 +71,7 @@ checked as (select w.plan_id, cast(w.n as bigint) as n, i.in_bounds, w.plan_id %
 
 def _checked(spark, sf_dir):
     c = Cover.of(spark, sf_dir)
-    stored = c.candidates.where("(cand_id * 7 + plan_id) % 5 = 0").selectExpr("plan_id", "cand_id", f"{_COPIES} as copies")
+    stored = c.candidates.where(_TAKEN).selectExpr("plan_id", "cand_id", f"{_COPIES} as copies")
     asked = stored.groupBy("plan_id").agg(F.sum("copies").alias("n")).withColumn("n", F.expr("n + plan_id % 2"))
     return model.checked_counts(c.rows, c.covers, c.bounds, stored, asked)
 
@@ -102,7 +103,7 @@ def x14_uncovered(spark, sf_dir):
     return model.uncovered_cells(fx.view(spark, sf_dir, _CELLS), fx.view(spark, sf_dir, _RECTS).where("rect_id % 4 = 0"))
 
 
-_UNITS = f"select plan_id, iy, ix, cast(floor(iy / 2) * 100 + floor(ix / 2) as bigint) as unit from ({_CELLS}) as c"
+_UNITS = f"select plan_id, iy, ix, cast(floor(iy / 5) * 100 + floor(ix / 6) as bigint) as unit from ({_CELLS}) as c"
 
 
 @query(f"with u as ({_UNITS}), r as ({_RECTS}) select r.plan_id, r.rect_id, u.unit, count(*) < (select count(*) from u as w where w.plan_id = r.plan_id and w.unit = u.unit) as cut from u join r on r.plan_id = u.plan_id and u.ix between r.x0 and r.x1 and u.iy between r.y0 and r.y1 group by r.plan_id, r.rect_id, u.unit")
