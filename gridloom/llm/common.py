@@ -24,7 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 _KEPT: list[dict[str, SparkSession]] = []
 
-__all__ = ["SPACE", "documents", "dropped", "held_out", "lean", "scratch_path", "scope", "stored", "table", "text_of"]
+__all__ = ["SPACE", "documents", "dropped", "held_out", "lean", "scoped_path", "scratch_path", "scope", "stored", "table", "text_of"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -48,14 +48,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as written to a table in the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
+def scoped_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted at the end of the scope, if there is one."""
     path = scratch_path(spark, label)
-    df.write.parquet(path)
     if _KEPT:
         _KEPT[-1][path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """df as written to a table in the shared folder and read again: its lineage ends there."""
+    path = path or scoped_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import exact_dedup, language, near_dedup, oracles, packing, pieces, quality, repeats, secrets, spotsigs, warc
+from gridloom.llm import embedding_dedup, exact_dedup, language, merkle, near_dedup, oracles, packing, pieces, prefix_trie, quality, repeats, secrets, spotsigs, warc
 from gridloom.llm.common import documents, table
 
 
@@ -50,8 +50,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_spotsigs, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_exact_dedup, op3_spotsigs, op4_suffix_dedup, op5_secret_scan, op6_language_id, op7_sentencepiece, op8_packing, op9_warc, op10_quality, op11_embedding_dedup, op12_merkle_manifest, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
