@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": oracles.NEAR, "op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC}
+    return {"op1_minhash_dedup": oracles.NEAR, "op2_exact_dedup": oracles.EXACT, "op5_secret_scan": oracles.SECRETS, "op9_warc": oracles.WARC, "op11_embedding_dedup": oracles.EMBEDDINGS, "op12_merkle_manifest": oracles.MERKLE, "op13_prefix_trie": oracles.TRIE}
