@@ -3,6 +3,9 @@
 Lines are sorted by coord. Moving a line by d costs minus * d to the low side and plus * d to the high side, and it may leave
 its place by low and high at most. A stretch of lines i..j becomes one line at the weighted median of their places, or as
 near to it as all of them and the stretch's own extent allow.
+
+The cost of a stretch, as a function of the place, is convex: left of all lines it falls by the sum of their minus, and
+every line that the place passes raises the slope by its minus and plus. It is least where the slope turns.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Places that are priced at once.
+PLACES = 1024
+
+
 @dataclass
 class Axis:
     coord: np.ndarray
@@ -21,22 +28,36 @@ class Axis:
     high: np.ndarray
 
     def __post_init__(self):
-        total = lambda v: np.concatenate(([0.0], np.cumsum(v)))
         self.n = len(self.coord)
-        self.m, self.p, self.mx, self.px, self.both = (total(v) for v in (self.minus, self.plus, self.minus * self.coord, self.plus * self.coord, self.minus + self.plus))
         self.floor, self.ceiling = self.coord - self.low, self.coord + self.high
+        self.raised = np.cumsum(self.minus + self.plus)
+        self.falls, self.rises = (np.concatenate(([0.0], np.cumsum(w))) for w in (self.minus, self.plus))
+
+    def turns(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each stretch i..j the first line behind which the slope is not negative: the plus of the stretch up to it is then
+        no less than the minus of what follows it."""
+        return np.clip(np.searchsorted(self.raised, self.rises[i] + self.falls[j + 1]), i, j)
+
+    def moved(self, i: np.ndarray, j: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """What it costs to move all lines of each stretch i..j to its place."""
+        at, of = np.unique(place, return_inverse=True)
+        out = np.empty(len(place))
+        for k in range(0, len(at), PLACES):
+            gap = self.coord - at[k : k + PLACES, None]
+            total = np.cumsum(np.maximum(self.minus * gap, -self.plus * gap), axis=1)
+            mine = np.flatnonzero((of >= k) & (of < k + PLACES))
+            row = of[mine] - k
+            out[mine] = total[row, j[mine]] - np.where(i[mine] > 0, total[row, i[mine] - 1], 0.0)
+        return np.maximum(out, 0.0)
 
     def stretches(self, i: np.ndarray, j: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost and place of each stretch i..j, given the highest floor and the lowest ceiling of its lines; infinite if none."""
-        lower, upper = np.maximum(self.coord[i], floor), np.minimum(self.coord[j], ceiling)
-        outward = self.m[j + 1] - self.m[i]
-        median = np.clip(np.searchsorted(self.both, self.both[i] + outward, "left") - 1, i, j)
-        place = np.clip(self.coord[np.where(outward > 0, median, i)], lower, np.maximum(lower, upper))
-        cut = np.clip(np.searchsorted(self.coord, place, "left"), i, j + 1)
-        rise = place * (self.p[cut] - self.p[i]) - (self.px[cut] - self.px[i])
-        fall = self.mx[j + 1] - self.mx[cut] - place * (self.m[j + 1] - self.m[cut])
-        can = lower <= upper + 1e-12
-        return np.where(can, np.maximum(rise + fall, 0.0), np.inf), np.where(can, place, np.nan)
+        first, last = np.maximum(floor, self.coord[i]), np.minimum(ceiling, self.coord[j])
+        can = first - last <= 1e-12
+        cost, place = np.full(len(i), np.inf), np.full(len(i), np.nan)
+        place[can] = np.minimum(np.maximum(self.coord[self.turns(i, j)], first), np.maximum(first, last))[can]
+        cost[can] = self.moved(i[can], j[can], place[can])
+        return cost, place
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Cost and place of every stretch as square tables; infinite below the diagonal."""

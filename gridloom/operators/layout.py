@@ -53,10 +53,16 @@ def new_classes(needs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.groupBy("plan_id", "threshold").agg(F.min(F.when(fits, F.struct("density", "cls")))["cls"].alias("cls"))
 
 
+def _standing(zones: DataFrame) -> DataFrame:
+    """Bars with the sides x0 and x1 of their zone."""
+    last = F.bround((F.col("x1") - F.col("x0")) / F.col("step")).cast("long")
+    bars = zones.withColumn("bar", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return bars.select("plan_id", "zone_id", "cls", "bar", (F.col("x0") + F.col("bar") * F.col("step")).alias("x"), "y0", "y1", "x0", "x1")
+
+
 def positions(zones: DataFrame) -> DataFrame:
-    """A bar at each step from a zone's left side on: plan_id, zone_id, cls, bar, x, y0, y1."""
-    bars = zones.withColumn("bar", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("x1") - F.col("x0")) / F.col("step")))))
-    return bars.select("plan_id", "zone_id", "cls", "bar", (F.col("x0") + F.col("bar") * F.col("step")).alias("x"), "y0", "y1")
+    """A bar at each step from a zone's left side to the step nearest to its right one: plan_id, zone_id, cls, bar, x, y0, y1."""
+    return _standing(zones).drop("x0", "x1")
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -85,19 +91,25 @@ def cyclic_distance(x: Column, y: Column, m: Column) -> Column:
     return F.least(d, m - d)
 
 
-def close_pairs(bars: DataFrame, gap: int) -> DataFrame:
-    """Pairs of bars of different zones nearer than gap, but not at one place, where both run: plan_id, a, b, distance."""
-    rows = bars.select("plan_id", F.concat_ws("-", "zone_id", "bar").alias("id"), "zone_id", "x", "y0", "y1", F.floor(F.col("x") / gap).alias("bin"))
-    right = rows.select("plan_id", *(F.col(c).alias(f"{c}2") for c in ("id", "zone_id", "x", "y0", "y1")), F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"))
-    met = rows.join(right, ["plan_id", "bin"]).where((F.col("x2") > F.col("x")) & (F.col("x2") - F.col("x") < gap) & (F.col("zone_id") != F.col("zone_id2")) & (F.least("y1", "y12") > F.greatest("y0", "y02")))
-    return met.select("plan_id", F.col("id").alias("a"), F.col("id2").alias("b"), (F.col("x2") - F.col("x")).alias("distance"))
-
-
-def coincident_triples(bars: DataFrame) -> DataFrame:
-    """Triples of zones that each have a bar at one place where all three run: plan_id, a, b, c, x, y0, y1."""
-    rows = bars.select("plan_id", "x", *(F.col(c).alias(f"{c}1") for c in ("zone_id", "y0", "y1")))
-    second, third = (bars.select("plan_id", "x", *(F.col(c).alias(f"{c}{k}") for c in ("zone_id", "y0", "y1"))) for k in (2, 3))
-    pairs = rows.join(second, ["plan_id", "x"]).where("zone_id1 < zone_id2 and least(y11, y12) > greatest(y01, y02)")
+def close_pairs(zones: DataFrame, gap: int) -> DataFrame:
+    """For every two zones that run side by side their nearest two bars, of those at different places within the width that the
+    zones share, where these are nearer than gap: plan_id, a and b (zones, the smaller first), distance, xa, xb, y0, y1.
+    Of equally near pairs the one at the least place."""
+    bars = _standing(zones).withColumn("bin", F.floor(F.col("x") / gap)).drop("cls", "bar")
+    right = bars.select("plan_id", *(F.col(c).alias(f"{c}_") for c in ("zone_id", "x", "y0", "y1", "x0", "x1")), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    apart = F.abs(F.col("x") - F.col("x_"))
+    inside = lambda x: (x >= F.greatest("x0", "x0_")) & (x <= F.least("x1", "x1_"))
+    near = (F.col("zone_id") < F.col("zone_id_")) & (F.least("y1", "y1_") > F.greatest("y0", "y0_")) & (apart > 0) & (apart < gap)
+    met = bars.join(right, ["plan_id", "bin"]).where(near & inside(F.col("x")) & inside(F.col("x_")))
+    best = F.min(F.struct(apart.alias("distance"), F.col("x").alias("xa"), F.col("x_").alias("xb"), F.greatest("y0", "y0_").alias("y0"), F.least("y1", "y1_").alias("y1"))).alias("k")
+    return met.groupBy("plan_id", F.col("zone_id").alias("a"), F.col("zone_id_").alias("b")).agg(best).select("plan_id", "a", "b", "k.*")
+
+
+def coincident_triples(zones: DataFrame) -> DataFrame:
+    """Triples of zones that each have a bar at one place within the width they share, where all three run: plan_id, a, b, c, x, y0, y1."""
+    bars = _standing(zones).where("x <= x1")  # a last bar may stand beyond its zone
+    first, second, third = (bars.select("plan_id", "x", *(F.col(c).alias(f"{c}{k}") for c in ("zone_id", "y0", "y1"))) for k in (1, 2, 3))
+    pairs = first.join(second, ["plan_id", "x"]).where("zone_id1 < zone_id2 and least(y11, y12) > greatest(y01, y02)")
     met = pairs.join(third, ["plan_id", "x"]).where("zone_id2 < zone_id3").withColumns({"y0": F.greatest("y01", "y02", "y03"), "y1": F.least("y11", "y12", "y13")})
     return met.where("y1 > y0").select("plan_id", F.col("zone_id1").alias("a"), F.col("zone_id2").alias("b"), F.col("zone_id3").alias("c"), "x", "y0", "y1")
 

@@ -65,10 +65,13 @@ def locked(events: DataFrame, minus: Column, plus: Column) -> DataFrame:
 
 
 def minimum_lines(events: DataFrame) -> DataFrame:
-    """The least number of lines that lie within every event's tolerance: greedy stabbing of intervals by their right ends."""
-    spans = F.array_sort(F.collect_list(F.struct((F.col("coord") + F.col("tol_plus")).cast("double").alias("hi"), (F.col("coord") - F.col("tol_minus")).cast("double").alias("lo"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("at"))
-    step = lambda s, e: F.when(s["at"].isNull() | (e["lo"] > s["at"]), F.struct((s["n"] + 1).alias("n"), e["hi"].alias("at"))).otherwise(s)
+    """The least number of lines that an axis can be cut into: neighbours in order share a line as long as one place is within
+    the tolerance of all of them."""
+    spans = F.array_sort(F.collect_list(F.struct(F.col("coord").cast("double").alias("at"), (F.col("coord") - F.col("tol_minus")).cast("double").alias("lo"), (F.col("coord") + F.col("tol_plus")).cast("double").alias("hi"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
+    lo, hi = (lambda s, e: F.greatest(s["lo"], e["lo"])), (lambda s, e: F.least(s["hi"], e["hi"]))
+    new = lambda s, e: F.struct((s["n"] + 1).alias("n"), e["lo"].alias("lo"), e["hi"].alias("hi"))
+    step = lambda s, e: F.when(lo(s, e) > hi(s, e) + 1e-12, new(s, e)).otherwise(F.struct(s["n"].alias("n"), lo(s, e).alias("lo"), hi(s, e).alias("hi")))
     return events.groupBy("plan_id", "axis").agg(spans.alias("spans")).select("plan_id", "axis", F.aggregate("spans", start, step)["n"].alias("lines"))
 
 

@@ -1,6 +1,6 @@
 """Stored solutions: compact entries from JSON, migration between versions, and results that replace each other.
 
-Defined results. Entries without whole-number indices are none. A cost that is missing, not a number or not finite is null and
+Defined results. Entries whose indices are missing or hold anything but numbers, digits or truth values are none. A cost that is missing, not a number or not finite is null and
 ranks last. Equal ranks keep the earlier result. An empty table gives no rows; other columns are ignored.
 """
 
@@ -10,18 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERSION = 3
-_RAW = "indices string, cost string, total_cost string, v string, optimal boolean, is_optimal boolean"
+
+
+def _kind(v: Column) -> Column:
+    """text, flag or number, null for JSON's null and for what holds other values."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", "text").when(kind == "BOOLEAN", "flag").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+
+
+def _number(v: Column) -> Column:
+    """A JSON value as a number: true is 1, text is read; null if it is none."""
+    text = F.trim(F.try_variant_get(v, "$", "string"))
+    return F.when(_kind(v) == "flag", (text == "true").cast("double")).when(_kind(v).isNotNull(), text.try_cast("double"))
+
+
+def _whole(v: Column) -> Column:
+    """A JSON value as a whole number: fractions are cut off, text must be digits; null if it is none."""
+    digits = F.trim(F.try_variant_get(v, "$", "string")).rlike(r"^[+-]?[0-9]+$")
+    return F.when((_kind(v) != "text") | digits, _number(v)).try_cast("bigint")
 
 
 def compact_entry(raw: Column) -> Column:
     """Of an entry as JSON: struct of indices in order, cost and optimal, which only entries of v 1 can be; null if it has no
-    indices."""
-    e = F.from_json(raw, _RAW)
-    indices = F.from_json(e["indices"], "array<int>")
+    indices. A cost that is given, though null, is not replaced by a total_cost."""
+    of = lambda *names: F.coalesce(*(F.try_variant_get(F.try_parse_json(raw), f"$.{n}", "variant") for n in names))
+    indices = F.transform(F.try_variant_get(F.try_parse_json(raw), "$.indices", "array<variant>"), _whole)
     whole = indices.isNotNull() & ~F.exists(indices, lambda i: i.isNull())
-    number = F.coalesce(e["cost"], e["total_cost"]).try_cast("double")
+    number = _number(of("cost", "total_cost"))
     finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    optimal = (e["v"] == "1") & F.coalesce(e["optimal"], e["is_optimal"], F.lit(False))
+    flag, v = of("optimal", "is_optimal"), of("v")
+    true = F.when(_kind(flag) == "text", F.length(F.try_variant_get(flag, "$", "string")) > 0).otherwise(_number(flag) != 0)
+    optimal = (_kind(v) != "text") & (_number(v) == 1) & true
     return F.when(whole, F.struct(F.array_sort(indices).alias("indices"), finite.alias("cost"), F.coalesce(optimal, F.lit(False)).alias("optimal")))
 
 

@@ -71,10 +71,19 @@ def warm_starts(targets: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def known_or_found(found: DataFrame, known: DataFrame) -> DataFrame:
-    """The found result of each plan and n, or the known one where that is cheaper by more than a billionth."""
-    k = known.select("plan_id", "n", F.col("cost_cents").alias("known"))
-    better = F.col("known").isNotNull() & (F.col("cost_cents").isNull() | (F.col("known") < F.col("cost_cents") * (1 - 1e-9)))
-    return found.join(k, ["plan_id", "n"], "left").select("plan_id", "n", F.when(better, F.col("known")).otherwise(F.col("cost_cents")).alias("cost_cents"), better.alias("from_known"))
+    """The found result (plan_id, n, cost, feasible, optimal, infeasible) of each plan and n, or the known one (plan_id, n, cost)
+    where nothing was found or the known one is cheaper by more than a billionth of the larger cost, or of 1: plan_id, n,
+    cost, from_known, reason (null, optimality_conflict or cheaper), problem (`contradiction` where a proof that there is
+    none meets a known one)."""
+    k = known.select("plan_id", "n", F.col("cost").alias("known"), F.lit(True).alias("has"))
+    rows, has = found.join(k, ["plan_id", "n"], "left"), F.coalesce("has", F.lit(False))
+    slack = 1e-9 * F.greatest(F.lit(1.0), F.abs("cost"), F.abs("known"))
+    cheaper = F.coalesce(F.col("known") < F.col("cost") - slack, F.lit(False))
+    better = has & ~F.col("infeasible") & (~F.col("feasible") | cheaper)
+    reason = F.when(better, F.when(F.col("optimal"), "optimality_conflict").otherwise("cheaper"))
+    own = F.when(F.col("feasible"), F.col("cost"))
+    problem = F.when(has & F.col("infeasible"), "contradiction")
+    return rows.select("plan_id", "n", F.when(better, F.col("known")).otherwise(own).alias("cost"), better.alias("from_known"), reason.alias("reason"), problem.alias("problem"))
 
 
 def soft_limit(seconds: Column) -> Column:
@@ -83,9 +92,10 @@ def soft_limit(seconds: Column) -> Column:
 
 
 def stale_jobs(jobs: DataFrame, lease: int = 90, grace: int = 10) -> DataFrame:
-    """Claimed jobs whose lease is gone or older than lease and grace, in the order in which they go to the front."""
-    rows = jobs.where(f"state = 'claimed' and (lease_age_s is null or lease_age_s >= {lease + grace})")
-    return rows.select("task_id", "job_id", F.row_number().over(Window.partitionBy("task_id").orderBy("created_at", "job_id")).alias("place"))
+    """Claimed jobs whose lease is gone (no lease_age_s, or one above the lease) and whose claim is as old as lease and grace, in
+    the order in which they go to the front."""
+    gone = f"state = 'claimed' and (lease_age_s is null or lease_age_s >= {lease}) and claim_age_s >= {lease + grace}"
+    return jobs.where(gone).select("task_id", "job_id", F.row_number().over(Window.partitionBy("task_id").orderBy("created_at", "job_id")).alias("place"))
 
 
 def slots(jobs: DataFrame, limit: int, lease: int = 90) -> DataFrame:
@@ -108,14 +118,17 @@ def cancelled(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(jobs, "job_id").where("state <> 'done'").select("job_id", "task_id", F.lit("cancelled").alias("state"))
 
 
-def task_states(jobs: DataFrame, flags: DataFrame) -> DataFrame:
-    """The state of each task from its flags (cancelled, failed, preparing, paused, exhausted, errors) and its jobs."""
-    busy = jobs.groupBy("task_id").agg(F.bool_or(F.col("state") == "claimed").alias("busy"))
+def task_states(statuses: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The state of each task (task_id, state, cancelled, paused, exhausted) from what it is and its numbers' statuses
+    (task_id, status): null flags are false, a task without numbers has none that is busy or failed."""
+    has = lambda *names: F.bool_or(F.col("status").isin(*names))
+    seen = statuses.groupBy("task_id").agg(has("queued", "running", "incumbent").alias("busy"), has("error", "postprocess_infeasible").alias("errors"))
+    ended = F.when(F.col("errors"), "completed_with_errors").otherwise("completed")
     state = (
-        F.when(F.col("cancelled"), "cancelled").when(F.col("failed"), "failed").when(F.col("preparing"), "preparing").when(F.coalesce("busy", F.lit(False)), "running")
-        .when(F.col("paused"), "paused").when(F.col("exhausted") & F.col("errors"), "completed_with_errors").when(F.col("exhausted"), "completed").otherwise("ready")
+        F.when(F.col("cancelled"), "cancelled").when(F.col("state").isin("failed", "queued_preparation", "preparing"), F.col("state")).when(F.col("busy"), "running")
+        .when(F.col("paused"), "paused").when(F.col("exhausted"), ended).otherwise("ready")
     )
-    return flags.join(busy, "task_id", "left").select("task_id", state.alias("state"))
+    return tasks.join(seen, "task_id", "left").select("task_id", state.alias("state"))
 
 
 def snapshot(jobs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ def _boxes(per_plan: int, columns: int, rows: int, unit: int, where: str = "") -
 
 BOXES60 = _boxes(60, 40, 32, 250)
 BOXES12 = _boxes(12, 12, 10, 500)
+DENSE12 = _boxes(12, 5, 4, 500)
 #: The first 100 plans of ALL6, for SQL that enumerates tuples; queries read ALL6.
 BOXES6 = _boxes(6, 6, 5, 500, " where p_partkey < 600")
 ALL6 = _boxes(6, 6, 5, 500)
@@ -31,7 +32,7 @@ SOLVER_EVENTS = (
 )
 JOBS = (
     "select o_orderkey as job_id, cast(o_custkey % 40 as bigint) as task_id, case o_orderstatus when 'O' then 'pending' when 'P' then 'claimed' else 'done' end as state, "
-    "o_orderdate as created_at, case when o_orderkey % 3 = 0 then null else cast(o_orderkey % 200 as bigint) end as lease_age_s from orders"
+    "o_orderdate as created_at, case when o_orderkey % 7 = 0 then cast((date '1998-12-31' - cast(o_orderdate as date)) as bigint) else cast(o_orderkey % 180 as bigint) end as claim_age_s, case when o_orderkey % 3 = 0 then null else cast(o_orderkey % 200 as bigint) end as lease_age_s from orders"
 )
 
 

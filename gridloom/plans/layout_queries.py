@@ -17,7 +17,7 @@ def _zones(spark, sf_dir):
 
 
 _Z = f"with z as ({ZONES})"
-_B = f"{_Z}, bars as (select plan_id, zone_id, cls, bar, x0 + bar * step as x, y0, y1 from (select *, unnest(generate_series(0, cast(floor((x1 - x0) / step) as bigint))) as bar from z))"
+_B = f"{_Z}, bars as (select plan_id, zone_id, cls, bar, x0 + bar * step as x, y0, y1 from (select *, unnest(generate_series(0, cast(round_even((x1 - x0) / step, 0) as bigint))) as bar from z))"
 
 
 @query(f"{_Z} select plan_id, zone_id, cast(floor(x0 / 300) as bigint) as x0, cast(floor(y0 / 300) as bigint) as y0, cast(ceil(x1 / 300) as bigint) as x1, cast(ceil(y1 / 300) as bigint) as y1 from z")
@@ -101,18 +101,24 @@ def l18_phase(spark, sf_dir):
 
 
 @query(
-    f"{_B} select a.plan_id, a.zone_id || '-' || a.bar as a, b.zone_id || '-' || b.bar as b, b.x - a.x as distance from bars a join bars b on a.plan_id = b.plan_id and b.x > a.x and b.x - a.x < 60 and a.zone_id <> b.zone_id and least(a.y1, b.y1) > greatest(a.y0, b.y0)"
+    f"{_B}, w as (select b.*, z.x0, z.x1 from bars b join z on z.plan_id = b.plan_id and z.zone_id = b.zone_id), p as (select a.plan_id, a.zone_id as a, b.zone_id as b, abs(b.x - a.x) as distance, a.x as xa, b.x as xb, greatest(a.y0, b.y0) as y0, least(a.y1, b.y1) as y1 "
+    "from w a join w b on a.plan_id = b.plan_id and a.zone_id < b.zone_id and a.x <> b.x and least(a.y1, b.y1) > greatest(a.y0, b.y0) and least(a.x, b.x) >= greatest(a.x0, b.x0) and greatest(a.x, b.x) <= least(a.x1, b.x1)) "
+    "select * from p where distance < 60 qualify row_number() over (partition by plan_id, a, b order by distance, xa, xb) = 1"
 )
 def l20_close_pairs(spark, sf_dir):
-    return layout.close_pairs(layout.positions(_zones(spark, sf_dir)), 60)
+    return layout.close_pairs(_zones(spark, sf_dir), 60)
+
+
+#: The same zones closer together, so that three of them share bars.
+_DENSE = ZONES.replace(fx.BOXES12, fx.DENSE12)
 
 
 @query(
-    f"{_B} select a.plan_id, a.zone_id as a, b.zone_id as b, c.zone_id as c, a.x, greatest(a.y0, b.y0, c.y0) as y0, least(a.y1, b.y1, c.y1) as y1 from bars a join bars b on a.plan_id = b.plan_id and a.x = b.x and a.zone_id < b.zone_id "
-    "join bars c on c.plan_id = b.plan_id and c.x = b.x and b.zone_id < c.zone_id where least(a.y1, b.y1, c.y1) > greatest(a.y0, b.y0, c.y0)"
+    f"{_B.replace(ZONES, _DENSE)}, w as (select b.*, z.x0, z.x1 from bars b join z on z.plan_id = b.plan_id and z.zone_id = b.zone_id) select a.plan_id, a.zone_id as a, b.zone_id as b, c.zone_id as c, a.x, greatest(a.y0, b.y0, c.y0) as y0, least(a.y1, b.y1, c.y1) as y1 from w a join w b on a.plan_id = b.plan_id and a.x = b.x and a.zone_id < b.zone_id "
+    "join w c on c.plan_id = b.plan_id and c.x = b.x and b.zone_id < c.zone_id where least(a.y1, b.y1, c.y1) > greatest(a.y0, b.y0, c.y0) and a.x between greatest(a.x0, b.x0, c.x0) and least(a.x1, b.x1, c.x1)"
 )
 def l20_triples(spark, sf_dir):
-    return layout.coincident_triples(layout.positions(_zones(spark, sf_dir)))
+    return layout.coincident_triples(fx.view(spark, sf_dir, _DENSE))
 
 
 @query(

@@ -48,9 +48,10 @@ def q16_locked_scaled(spark, sf_dir):
 
 
 @query(
-    f"{_EVENTS}, span as (select plan_id, axis, coord - tol_minus as lo, coord + tol_plus as hi from events), "
-    "stab as (select plan_id, axis, min(hi) as at, 1 as n from span group by plan_id, axis union all select s.plan_id, s.axis, t.hi, n + 1 from stab s join lateral (select min(hi) as hi from span where span.plan_id = s.plan_id and span.axis = s.axis and span.lo > s.at) t on t.hi is not null) "
-    "select plan_id, axis, max(n) as lines from stab group by plan_id, axis"
+    f"{_EVENTS}, span as (select plan_id, axis, idx, coord - tol_minus as lo, coord + tol_plus as hi from events), "
+    "fold as (select plan_id, axis, idx, lo, hi, 1 as n from span where idx = 0 union all select s.plan_id, s.axis, s.idx, case when greatest(f.lo, s.lo) > least(f.hi, s.hi) + 1e-12 then s.lo else greatest(f.lo, s.lo) end, "
+    "case when greatest(f.lo, s.lo) > least(f.hi, s.hi) + 1e-12 then s.hi else least(f.hi, s.hi) end, n + case when greatest(f.lo, s.lo) > least(f.hi, s.hi) + 1e-12 then 1 else 0 end from fold f join span s on s.plan_id = f.plan_id and s.axis = f.axis and s.idx = f.idx + 1) "
+    "select plan_id, axis, max(n) as lines from fold group by plan_id, axis"
 )
 def q06_min_lines(spark, sf_dir):
     return quantise.minimum_lines(_events(spark, sf_dir))

@@ -88,8 +88,9 @@ def c09_holds(spark, sf_dir):
 
 _ENTRIES = """select cast(l_orderkey % 50 as bigint) as plan_id, cast(l_linenumber as bigint) as n, l_orderkey * 8 + l_linenumber as pos, l_orderkey % 11 as k, l_linestatus = 'F' as optimal, cast(l_quantity as int) as q,
  case when l_orderkey % 11 = 0 then concat('{"cost":', cast(l_quantity as int), '}') when l_orderkey % 11 = 1 then concat('{"indices":[3,1],"total_cost":', cast(l_quantity as int), '}') when l_orderkey % 11 = 2 then '{"indices":[4,"x"],"cost":1}' when l_orderkey % 11 = 3 then '{"indices":[9,2],"cost":"NaN"}'
+ when l_orderkey % 11 = 4 then '{"indices":["3",1.7,2.0],"cost":null,"total_cost":5,"v":1,"optimal":true}' when l_orderkey % 11 = 5 then '{"indices":[7],"cost":"2.5","v":"1","optimal":true}' when l_orderkey % 11 = 6 then concat('{"indices":[5],"total_cost":', cast(l_quantity as int), ',"v":1.0,"is_optimal":1}')
  else concat('{"indices":[', cast(l_quantity as int), ',2],"cost":', cast(l_quantity as int), ',"v":', 1 + l_orderkey % 2, ',"optimal":', case when l_linestatus = 'F' then 'true' else 'false' end, '}') end as raw from lineitem"""
-_BEST = f"""with e as (select *, case when k = 3 then null else cast(q as double) end as cost, k > 3 and optimal and ((pos - n) // 8) % 2 = 0 as best, case k when 1 then '1,3' when 3 then '2,9' else least(q, 2) || ',' || greatest(q, 2) end as indices from ({_ENTRIES}) where k not in (0, 2)),
+_BEST = f"""with e as (select *, case when k in (3, 4) then null when k = 5 then 2.5 else cast(q as double) end as cost, k in (4, 6) or (k > 6 and optimal and ((pos - n) // 8) % 2 = 0) as best, case k when 1 then '1,3' when 3 then '2,9' when 4 then '1,2,3' when 5 then '7' when 6 then '5' else least(q, 2) || ',' || greatest(q, 2) end as indices from ({_ENTRIES}) where k not in (0, 2)),
 b as (select * from e qualify row_number() over (partition by plan_id, n order by not best, coalesce(cost, 'inf'::double), pos) = 1)"""
 
 

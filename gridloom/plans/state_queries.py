@@ -65,7 +65,7 @@ def t12_cancel(spark, sf_dir):
     return state.cancelled(jobs, jobs.where("job_id % 7 = 0").select("job_id"))
 
 
-@query(f"{_JOBS} select task_id, job_id, row_number() over (partition by task_id order by created_at, job_id) as place from j where state = 'claimed' and (lease_age_s is null or lease_age_s >= 100)")
+@query(f"{_JOBS} select task_id, job_id, row_number() over (partition by task_id order by created_at, job_id) as place from j where state = 'claimed' and (lease_age_s is null or lease_age_s >= 90) and claim_age_s >= 100")
 def t16_stale(spark, sf_dir):
     return state.stale_jobs(fx.view(spark, sf_dir, fx.JOBS))
 
@@ -83,17 +83,20 @@ def t19_refill(spark, sf_dir):
     return state.refilled(fx.view(spark, sf_dir, fx.JOBS), 140)
 
 
-_FLAGS = {"cancelled": "task_id % 11 = 0", "failed": "task_id % 13 = 0", "preparing": "task_id % 17 = 0", "paused": "task_id % 3 = 0", "exhausted": "task_id % 2 = 0", "errors": "task_id % 4 = 0"}
+#: Tasks of some orders each, and the statuses of their numbers.
+_TASKS = (
+    "select distinct cast(floor(o_orderkey / 20) as bigint) as task_id, floor(o_orderkey / 20) % 11 = 0 as cancelled, case floor(o_orderkey / 20) % 13 when 0 then 'failed' when 1 then 'preparing' when 2 then 'queued_preparation' else 'ready' end as state, "
+    "case floor(o_orderkey / 20) % 3 when 0 then true when 1 then false end as paused, floor(o_orderkey / 20) % 2 = 0 as exhausted from orders"
+)
+_STATUSES = "select cast(floor(o_orderkey / 20) as bigint) as task_id, case o_custkey % 37 when 0 then 'queued' when 1 then 'running' when 2 then 'incumbent' when 3 then 'error' when 4 then 'postprocess_infeasible' when 5 then null else 'completed' end as status from orders where o_orderkey % 40 > 1"
 
 
 @query(
-    f"{_JOBS}, g as (select distinct task_id from j), b as (select task_id, bool_or(state = 'claimed') as busy from j where job_id % 40 <> 1 and task_id % 5 < 2 group by task_id) select g.task_id, case when task_id % 11 = 0 then 'cancelled' when task_id % 13 = 0 then 'failed' "
-    "when task_id % 17 = 0 then 'preparing' when coalesce(busy, false) then 'running' when task_id % 3 = 0 then 'paused' when task_id % 4 = 0 then 'completed_with_errors' when task_id % 2 = 0 then 'completed' else 'ready' end as state from g left join b using (task_id)"
+    f"with t as ({_TASKS}), s as ({_STATUSES}), b as (select task_id, count(*) filter (status in ('queued', 'running', 'incumbent')) as busy, count(*) filter (status in ('error', 'postprocess_infeasible')) as errors from s group by task_id) select task_id, case when cancelled then 'cancelled' when state <> 'ready' then state "
+    "when busy > 0 then 'running' when paused then 'paused' when exhausted and errors > 0 then 'completed_with_errors' when exhausted then 'completed' else 'ready' end as state from t left join b using (task_id)"
 )
 def t20_state(spark, sf_dir):
-    jobs = fx.view(spark, sf_dir, fx.JOBS)
-    flags = jobs.select("task_id").distinct().selectExpr("task_id", *(f"{e} as {k}" for k, e in _FLAGS.items()))
-    return state.task_states(jobs.where("job_id % 40 <> 1 and task_id % 5 < 2"), flags)
+    return state.task_states(fx.view(spark, sf_dir, _STATUSES), fx.view(spark, sf_dir, _TASKS))
 
 
 @query(f"{_JOBS} select task_id, count(*) filter (state = 'pending') as pending, count(*) filter (state = 'claimed') as claimed, count(*) filter (state = 'done') as done from j group by task_id")
@@ -130,14 +133,17 @@ def j11_warm_start(spark, sf_dir):
     return state.warm_starts(targets, state.merged_incumbents(i.where("n in (1, 3, 6)")))
 
 
+_FOUND = f"select plan_id, n, min(cost_cents) / 1e10 as cost, plan_id % 4 > 0 as feasible, plan_id % 4 = 1 as optimal, plan_id % 8 = 0 as infeasible from ({fx.INCUMBENTS}) as i where entry_id % 2 = 0 group by plan_id, n"
+_KNOWN = f"select plan_id, n, case when plan_id % 3 > 0 then min(cost_cents) / 1e10 else max(cost_cents) / 1e10 end as cost from ({fx.INCUMBENTS}) as i where entry_id % 2 = 1 and n < 6 group by plan_id, n"
+
+
 @query(
-    f"{_INC}, f as (select plan_id, n, min(cost_cents) as cost_cents from i where entry_id % 2 = 0 group by plan_id, n), k as (select plan_id, n, min(cost_cents) as known from i where entry_id % 2 = 1 and n < 6 group by plan_id, n) "
-    "select plan_id, n, case when known is not null and known < cost_cents * (1 - 1e-9) then known else cost_cents end as cost_cents, known is not null and known < cost_cents * (1 - 1e-9) as from_known from f left join k using (plan_id, n)"
+    f"with f as ({_FOUND}), k as ({_KNOWN}), m as (select f.*, k.cost as known, k.plan_id is not null as has, k.plan_id is not null and not infeasible and (not feasible or coalesce(k.cost < f.cost - 1e-9 * greatest(1, f.cost, k.cost), false)) as better from f left join k on k.plan_id = f.plan_id and k.n = f.n) "
+    "select plan_id, n, case when better then known when feasible then cost end as cost, better as from_known, case when better then case when optimal then 'optimality_conflict' else 'cheaper' end end as reason, case when has and infeasible then 'contradiction' end as problem from m"
 )
 def j14_prefer_known(spark, sf_dir):
-    i = fx.view(spark, sf_dir, fx.INCUMBENTS)
-    least = lambda test: i.where(test).groupBy("plan_id", "n").agg(F.min("cost_cents").alias("cost_cents"))
-    return state.known_or_found(least("entry_id % 2 = 0"), least("entry_id % 2 = 1 and n < 6"))
+    double = lambda df: df.withColumn("cost", F.col("cost").cast("double"))
+    return state.known_or_found(double(fx.view(spark, sf_dir, _FOUND)), double(fx.view(spark, sf_dir, _KNOWN)))
 
 
 @query(

@@ -1,9 +1,11 @@
 """Queries whose SQL states less than the whole job, on small fixtures: SQL where it holds, brute force beyond it."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, plain
 
 from gridloom.operators import layout, mosaic, quantise
@@ -119,6 +121,27 @@ def test_frontier_of_thirteen_lines(spark):
 
 def test_triples_at_one_place(spark):
     """Three bars at one place are told where all run; two of them, or three that never run together, are not."""
-    rows = [(1, z, z, 0, x, y0, y1) for z, x, y0, y1 in [(1, 100, 0, 50), (2, 100, 20, 90), (3, 100, 40, 70), (4, 100, 60, 80), (5, 200, 0, 9), (6, 200, 0, 9)]]
-    bars = spark.createDataFrame(rows, "plan_id long, zone_id long, cls int, bar long, x long, y0 long, y1 long")
-    assert sorted(map(tuple, layout.coincident_triples(bars).collect())) == [(1, 1, 2, 3, 100, 40, 50), (1, 2, 3, 4, 100, 60, 70)]
+    rows = [(1, z, 0, x, y0, x + w, y1, 100) for z, x, y0, y1, w in [(1, 100, 0, 50, 30), (2, 100, 20, 90, 30), (3, 100, 40, 70, 30), (4, 100, 60, 80, 30), (5, 200, 0, 9, 30), (6, 200, 0, 9, 30), (7, 120, 0, 90, 80)]]
+    zones = spark.createDataFrame(rows, "plan_id long, zone_id long, cls int, x0 long, y0 long, x1 long, y1 long, step long")
+    assert sorted(map(tuple, layout.coincident_triples(zones).collect())) == [(1, 1, 2, 3, 100, 40, 50), (1, 2, 3, 4, 100, 60, 70)]
+
+
+def test_bars_are_rounded_to_the_nearest_step(spark):
+    """A zone of 1000 at step 150 has eight bars, the last of them outside; halves go to the even number."""
+    rows = [(1, 1, 0, 0, 0, 1000, 9, 150), (1, 2, 0, 0, 0, 250, 9, 100), (1, 3, 0, 0, 0, 350, 9, 100)]
+    zones = spark.createDataFrame(rows, "plan_id long, zone_id long, cls int, x0 long, y0 long, x1 long, y1 long, step long")
+    assert {r.zone_id: r["count"] for r in layout.positions(zones).groupBy("zone_id").count().collect()} == {1: 8, 2: 3, 3: 5}
+
+
+def test_least_lines_are_those_of_the_exact_partition(spark):
+    """Neighbours only share a line: lines at -5 and 5 that stay are not joined past those between them."""
+    coords = [(-5, 0, 0), (0, 0, 10), (1, 11, 0), (5, 0, 0)]
+    rows = [(1, "x", k, c, 1, 1, lo, hi) for k, (c, lo, hi) in enumerate(coords)]
+    rnd = random.Random(5)
+    for plan in range(2, 60):
+        for axis in "xy":
+            rows += [(plan, axis, k, c, rnd.randint(0, 5), rnd.randint(0, 5), rnd.randint(0, 40), rnd.randint(0, 40)) for k, c in enumerate(sorted(rnd.sample(range(150), rnd.randint(1, 9))))]
+    events = spark.createDataFrame(rows, "plan_id long, axis string, idx long, coord long, w_minus long, w_plus long, tol_minus long, tol_plus long")
+    least = {(r.plan_id, r.axis): r.k for r in quantise.exact_partitions(events).groupBy("plan_id", "axis").agg(F.min("k").alias("k")).collect()}
+    got = {(r.plan_id, r.axis): r.lines for r in quantise.minimum_lines(events).collect()}
+    assert got == least and got[1, "x"] == 3
