@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import shared_dir
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from gridloom.operators import groups
 
 
 def boundary_support(rects: DataFrame) -> DataFrame:
@@ -24,30 +17,16 @@ def boundary_support(rects: DataFrame) -> DataFrame:
     return right.unionByName(upper).groupBy("plan_id", "side", "iy", "ix").agg(F.count(F.lit(1)).alias("support"))
 
 
-def mosaic(cells: DataFrame, rects: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """The label of each cell with a class: the least iy * 2**20 + ix that it is connected with: plan_id, iy, ix, label.
-
-    Each round every cell takes the least label around it and then the label of the cell its label names, so labels travel
-    twice as far each round. Rounds are written to the shared folder, which ends their lineage."""
+def mosaic(cells: DataFrame, rects: DataFrame) -> DataFrame:
+    """The label of each cell with a class: the least iy * 2**20 + ix that it is connected with: plan_id, iy, ix, label."""
     full = cells.where("cls > 0").select("plan_id", "iy", "ix", "cls")
     sides = boundary_support(rects)
-    one = full.select("plan_id", "iy", "ix", "cls")
-    steps = one.select("plan_id", "iy", "ix", "cls", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("iy").alias("jy"), (F.col("ix") + 1).alias("jx")), F.struct(F.lit("y").alias("side"), (F.col("iy") + 1).alias("jy"), F.col("ix").alias("jx")))).alias("s"))
-    steps = steps.select("plan_id", "iy", "ix", "cls", "s.side", "s.jy", "s.jx").join(one.select("plan_id", F.col("iy").alias("jy"), F.col("ix").alias("jx"), "cls"), ["plan_id", "jy", "jx", "cls"]).join(sides, ["plan_id", "side", "iy", "ix"], "left_anti")
+    steps = full.select("plan_id", "iy", "ix", "cls", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("iy").alias("jy"), (F.col("ix") + 1).alias("jx")), F.struct(F.lit("y").alias("side"), (F.col("iy") + 1).alias("jy"), F.col("ix").alias("jx")))).alias("s"))
+    steps = steps.select("plan_id", "iy", "ix", "cls", "s.side", "s.jy", "s.jx").join(full.select("plan_id", F.col("iy").alias("jy"), F.col("ix").alias("jx"), "cls"), ["plan_id", "jy", "jx", "cls"]).join(sides, ["plan_id", "side", "iy", "ix"], "left_anti")
     place = lambda y, x: F.col(y) * (1 << 20) + F.col(x)
-    base = f"{shared_dir(cells.sparkSession)}/gridloom-mosaic-{uuid.uuid4().hex}"
-    pairs = steps.select("plan_id", place("iy", "ix").alias("u"), place("jy", "jx").alias("v"))
-    pairs = _stored(pairs.unionByName(pairs.select("plan_id", F.col("v").alias("u"), F.col("u").alias("v"))), f"{base}/pairs")
-    labels = _stored(full.select("plan_id", place("iy", "ix").alias("u")).withColumn("label", F.col("u")), f"{base}/0")
-    for k in range(1, rounds + 1):
-        near = pairs.join(labels.select("plan_id", F.col("u").alias("v"), F.col("label").alias("seen")), ["plan_id", "v"]).groupBy("plan_id", "u").agg(F.min("seen").alias("seen"))
-        low = labels.join(near, ["plan_id", "u"], "left").select("plan_id", "u", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
-        jump = low.select("plan_id", F.col("u").alias("low"), F.col("low").alias("far"))
-        new = _stored(low.join(jump, ["plan_id", "low"]).select("plan_id", "u", F.col("label").alias("old"), F.least("low", "far").alias("label")), f"{base}/{k}")
-        if new.where("label <> old").isEmpty():
-            break
-        labels = new.drop("old")
-    return labels.select("plan_id", F.floor(F.col("u") / (1 << 20)).alias("iy"), (F.col("u") % (1 << 20)).alias("ix"), "label")
+    roots = groups.connected(steps.select("plan_id", place("iy", "ix").alias("a"), place("jy", "jx").alias("b"))).withColumnRenamed("node", "place")
+    out = full.withColumn("place", place("iy", "ix")).join(roots, ["plan_id", "place"], "left")
+    return out.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.coalesce("root", "place").alias("label"))
 
 
 def label_problem(labels: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stored(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again. Unlike a checkpoint it has sizes and carries no constraints of the plan
+    that made it, which pile up in loops. Its path is added to paths."""
+    path = f"{shared_dir(df.sparkSession)}/gridloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that stored() wrote."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder: plans built on it start there, and lost executors do not take it with them."""
     context = df.sparkSession.sparkContext
