@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.kernels import choose
 from gridloom.kernels import fit as kernel
 from gridloom.operators import groups, layout
 
@@ -167,3 +168,43 @@ def candidates(fits: DataFrame, rooms: DataFrame, quantum: float) -> DataFrame:
     end = F.when((F.col("q_x1") >= F.col("f1") - EPS) & (F.col("q_x0") >= F.col("f1") - F.col("w") - allow - EPS), F.array(F.col("f1") - F.col("w"))).otherwise(F.array().cast("array<double>"))
     places = F.array_distinct(F.concat(F.array("low", "high"), grid, own, start, end))
     return z.select("plan_id", "zone_id", "w", F.explode(places).alias("x0")).select("plan_id", "zone_id", "x0", (F.col("x0") + F.col("w")).alias("x1")).distinct()
+
+
+_CHOSEN = "plan_id long, zone_id long, x0 double, x1 double, score array<double>, m0 double, m1 double, problem string"
+
+
+def chosen(fits: DataFrame, options: DataFrame, pairs: DataFrame, assignments: DataFrame, boxes: DataFrame, rooms: DataFrame, gap: float, passes: int = 4) -> DataFrame:
+    """The final places of zones: plan_id, zone_id, x0, x1, score, m0, m1, problem.
+
+    fits are zones with class, step, priority, old sides and q_y0, q_y1, what they hold along; options are as candidates gives
+    them. x0, x1 are chosen by score (choose.Plan.score), m0, m1 after contacts are mended. A zone without options has a null place
+    and the problem `candidates`, and so do all zones of its plan."""
+    met = assignments.where("problem is null").select("plan_id", "zone_id", "poly_id").distinct().join(boxes.select("plan_id", "poly_id", F.col("x0").cast("double").alias("b0"), F.col("x1").cast("double").alias("b1")), ["plan_id", "poly_id"])
+    served = met.groupBy("plan_id", "zone_id").agg(F.collect_list(F.struct("poly_id", "b0", "b1")).alias("served"))
+    left, right = (F.when(F.col("a") % 2 == odd, F.col("a")).otherwise(F.col("b")) for odd in (1, 0))  # a left zone meets with its right side
+    touch = pairs.where("kind = 'contact'").select("plan_id", F.floor(left / 2).alias("zone_id"), F.floor(right / 2).alias("other"))
+    touch = touch.groupBy("plan_id", "zone_id").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    zones = fits.join(served, ["plan_id", "zone_id"], "left").join(touch, ["plan_id", "zone_id"], "left").join(rooms.select("plan_id", F.col("x0").alias("f0"), F.col("x1").alias("f1")), "plan_id")
+    zones = zones.select("plan_id", "zone_id", "cls", "step", "priority", *SIDES, "q_y0", "q_y1", "served", "others", "f0", "f1")
+
+    def run(z: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        z = z.sort_values("zone_id").reset_index(drop=True)
+        at = {k: i for i, k in enumerate(z.zone_id)}
+        by_zone = {k: g[["x0", "x1"]].sort_values(["x0", "x1"]).to_numpy(float) for k, g in o.groupby("zone_id")}
+        out = pd.DataFrame({"plan_id": z.plan_id, "zone_id": z.zone_id, "x0": np.nan, "x1": np.nan, "score": None, "m0": np.nan, "m1": np.nan, "problem": "candidates"})
+        if z.empty or len(by_zone) < len(at):
+            return out
+        contacts = [(at[a], at[int(b)]) for a, bs in zip(z.zone_id, z.others, strict=True) if bs is not None for b in bs]
+        boxes_of = [{} if s is None else {b["poly_id"]: (b["b0"], b["b1"]) for b in s} for s in z.served]
+        num = lambda *cs: z[list(cs)].to_numpy(float)
+        plan = choose.Plan(num(*SIDES), num("q_y0", "q_y1"), z.cls.to_numpy(), z.step.to_numpy(float), z.priority.to_numpy(), boxes_of, contacts, (float(z.f0[0]), float(z.f1[0])), gap, np.zeros((len(z), 2)))
+        places = [by_zone[k] for k in z.zone_id]
+        choose.choose(plan, places, passes)
+        out["x0"], out["x1"], out["problem"] = plan.x[:, 0], plan.x[:, 1], None
+        out["score"] = [list(map(float, plan.score(i, *plan.x[i]))) for i in range(len(z))]
+        choose.mend(plan, places)
+        out["m0"], out["m1"] = plan.x[:, 0], plan.x[:, 1]
+        return out
+
+    got = zones.groupBy("plan_id").cogroup(options.withColumnRenamed("plan_id", "plan").groupBy("plan")).applyInPandas(run, _CHOSEN)
+    return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x0", "x1", "m0", "m1")})

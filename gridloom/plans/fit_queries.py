@@ -14,8 +14,8 @@ from gridloom.plans.catalog import query
 from gridloom.plans.layout_queries import _NEEDS, ZONES
 from gridloom.session import stored
 
-#: How far a box may be from its zone, and the phase of bars.
-SNAP, FAR, QUANTUM = 300, 4000, 50
+#: How far a box may be from its zone, the phase of bars, and how close bars may be.
+SNAP, FAR, QUANTUM, GAP = 300, 4000, 50, 60
 #: Every second zone, so that others have to grow or to be made; rooms around all boxes.
 _HALF = f"select * from ({ZONES}) as z where zone_id % 2 = 0"
 _ROOMS = f"select plan_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from ({fx.BOXES12}) as r group by plan_id"
@@ -75,6 +75,10 @@ class Fit:
     def candidates(self) -> DataFrame:
         return stored(fit.candidates(self.fits, self.rooms, QUANTUM), "fit")
 
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return stored(fit.chosen(self.fits, self.candidates, self.pairs, self.assigned, self.boxes, self.rooms, GAP), "fit")
+
 
 @query()
 def l09_assigned(spark, sf_dir):
@@ -106,6 +110,21 @@ def l14_candidates(spark, sf_dir):
     return Fit.of(spark, sf_dir).candidates
 
 
+@query()
+def l21_scores(spark, sf_dir):
+    return Fit.of(spark, sf_dir).chosen.select("plan_id", "zone_id", F.posexplode_outer("score").alias("pos", "score"))
+
+
+@query()
+def l22_chosen(spark, sf_dir):
+    return Fit.of(spark, sf_dir).chosen.select("plan_id", "zone_id", "x0", "x1", "problem")
+
+
+@query()
+def l25_mended(spark, sf_dir):
+    return Fit.of(spark, sf_dir).chosen.select("plan_id", "zone_id", F.col("m0").alias("x0"), F.col("m1").alias("x1"), "problem")
+
+
 #: Orders that share a part are linked; a chain over all lines of a bin of parts.
 _LINKS = "select cast(l_suppkey % 7 as bigint) as plan_id, l_partkey as a, l_partkey + 1 + l_linenumber % 2 as b from lineitem where l_quantity > 40"
 
