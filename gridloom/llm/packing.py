@@ -3,7 +3,8 @@
 Every document gets its closing id and is cut into full sequences and a remainder. Whole documents, written once as their
 pieces, are dealt to groups by a hash of id and text, so the packing does not depend on how files are split; the number of
 groups follows from the number of tokens, so a group holds `group_tokens` about, at any size of input. Only what shares a
-hash and has more than a quarter of that (a very long document, a row repeated very often) is dealt by pieces. In a group
+hash and has more than a quarter of that (a very long document, a row repeated very often) is dealt by pieces: equal ones are
+counted, told apart by their number among themselves, and dealt by start and number, so that this follows no file either. In a group
 a tournament tree over the room left in each bin finds the first bin that a piece fits in with one walk from the root; a
 full piece takes a bin of its own. Bins are padded to the sequence length.
 
@@ -26,7 +27,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +35,10 @@ from gridloom.llm.wordids import WordIds
 
 LENGTH, CLOSING = 4096, 2
 #: Words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
-_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, place long"
+REMEMBERED = 200_000
+#: Equal pieces that one row becomes at once.
+COPIES = 4096
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
 def vocabulary() -> str:
@@ -142,13 +144,12 @@ class WordEncoder(WordIds):
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing: int = CLOSING) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, deal (a hash of id and text) and place (where the piece was written),
-    for each piece of each document of docs (doc_id, text)."""
+    """doc_id, start, length, ids_crc32, doc_tokens, and deal (a hash of id and text), for each piece of each document of docs (doc_id, text)."""
     path = path or vocabulary()
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = WordEncoder(path), TaskContext.get().partitionId() << 33
+        encoder = WordEncoder(path)
         end = np.array([closing], "<u4")
         for b in batches:
             of, starts, sizes, crcs, totals = [], [], [], [], []
@@ -162,9 +163,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, closi
                     crcs.append(zlib.crc32(part.tobytes()))
                     totals.append(len(ids))
             rows = pa.array(of, pa.int64())
-            places = pa.array(np.arange(place, place + len(of)))
-            place += len(of)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *(pa.array(c, pa.int64()) for c in (starts, sizes, crcs, totals)), b.column(2).take(rows), places], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal", "place"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *(pa.array(c, pa.int64()) for c in (starts, sizes, crcs, totals)), b.column(2).take(rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
     return docs.select("doc_id", text_of().cast("binary").alias("text"), F.xxhash64("doc_id", text_of()).alias("deal")).mapInArrow(run, _PIECE)
 
@@ -198,10 +197,10 @@ def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 1 << 20, seed
     """The rows of pieces() with sequence_id and offset. cut must be a written table: its rows are read more than once."""
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / group_tokens))
-    large = stored(cut.groupBy("deal").agg(F.sum("length").alias("n")).where(F.col("n") > max(length, group_tokens // 4)).select("deal", F.lit(True).alias("large")), "pack-large")
+    large = stored(cut.groupBy("deal").agg(F.sum("length").alias("n")).where(F.col("n") > max(length, group_tokens // 4)).select("deal"), "pack-large")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("deal", "ascending"), ("place", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("deal", "ascending")])
         sizes = group.column("length").to_pylist()
         bins = first_fit_decreasing(sizes, length)
         filled, offsets = [0] * (max(bins) + 1), []
@@ -212,10 +211,12 @@ def pack(cut: DataFrame, length: int = LENGTH, group_tokens: int = 1 << 20, seed
         kept = [group.column(c).cast(pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
         return pa.table([*kept, pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = cut.join(large, "deal", "left")
-    apart = F.when(F.col("large"), F.when(F.col("doc_tokens") > length, F.xxhash64("start", "place")).otherwise(F.col("place"))).otherwise(F.lit(0))
-    grp = F.pmod(F.xxhash64("deal", apart, F.lit(seed)), F.lit(groups))
-    return dealt.select(*cut.columns, grp.alias("grp")).groupBy("grp").applyInArrow(run, _PACKED)
+    of = lambda *apart: F.pmod(F.xxhash64("deal", *apart, F.lit(seed)), F.lit(groups)).alias("grp")
+    whole = cut.join(large, "deal", "left_anti").select(*cut.columns, of())
+    counted = cut.join(large, "deal", "left_semi").groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("n"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("deal", "start", "chunk")
+    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES, F.least("n", (F.col("chunk") + 1) * COPIES) - 1)))
+    return whole.unionByName(copies.select(*cut.columns, of("start", "copy"))).groupBy("grp").applyInArrow(run, _PACKED)
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, closing: int = CLOSING, group_tokens: int = 1 << 20) -> DataFrame:

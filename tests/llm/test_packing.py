@@ -63,3 +63,11 @@ def test_packed(spark):
             want += [(i, s, len(ids[s : s + 512]), zlib.crc32(ids[s : s + 512].tobytes()), len(ids)) for s in range(0, len(ids), 512)]
         assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
     assert packing.packed(df.limit(0)).collect() == []
+
+
+def test_packing_follows_no_file(spark):
+    """Very long documents and rows repeated very often are dealt by pieces, alike from one file and from many."""
+    rows = [(1, "word " * 9000), (2, "other words " * 4000)] + [(3, "again and again")] * 5000 + [(None, "no id")] * 3000 + [(k, f"document {k} " * (k % 40)) for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(str, packing.packed(df.repartition(n), length=256, group_tokens=4000).collect())) for n in (1, 7))
+    assert one == many and len({r for r in one}) > 400
