@@ -12,7 +12,7 @@ from gridloom.kernels import cover
 _SOLUTION = "plan_id long, n int, status string, cost double, zones array<long>"
 
 
-def solved(bounds: DataFrame, rows: DataFrame, covers: DataFrame, priced: DataFrame, ns: list[int], seconds: float = 30.0) -> DataFrame:
+def solved(bounds: DataFrame, rows: DataFrame, covers: DataFrame, priced: DataFrame, ns: list[int]) -> DataFrame:
     """For each plan with rows to cover and each n the cheapest cover: plan_id, n, status, cost, zones (candidate ids).
 
     Plans that need more copies of one row than n are infeasible and do not reach the kernel's search."""
@@ -30,7 +30,7 @@ def solved(bounds: DataFrame, rows: DataFrame, covers: DataFrame, priced: DataFr
         for i, rs in enumerate(cand.rows):
             if rs is not None:
                 held[i, [at[r] for r in rs]] = True
-        status, cost, zones = cover.solve(held, need.need.to_numpy("int64"), cand.cost.to_numpy(float), cand.ub.to_numpy("int64"), key[1], seconds)
+        status, cost, zones = cover.solve(held, need.need.to_numpy("int64"), cand.cost.to_numpy(float), cand.ub.to_numpy("int64"), key[1])
         ids = cand.cand_id.astype("int64").to_numpy()
         return pd.DataFrame({"plan_id": [key[0]], "n": [key[1]], "status": [status], "cost": [cost], "zones": [[int(ids[z]) for z in zones]]})
 

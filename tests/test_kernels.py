@@ -36,10 +36,33 @@ def test_exact_cover_against_every_choice():
     assert seen == {"optimal", "infeasible"}
 
 
-def test_no_time_left_is_told():
-    covers = np.eye(12, dtype=bool)
-    status, total, _ = cover.solve(covers, np.ones(12, np.int64), np.ones(12), np.ones(12), 12, seconds=0.0)
-    assert status == "unknown" and total is None
+def test_parts_share_the_number():
+    """Candidates in blocks that share no row: every way to share n among the blocks is weighed, spare candidates included."""
+    rnd = random.Random(2)
+    for _ in range(60):
+        blocks = [np.array([[rnd.random() < 0.6 for _ in range(2)] for _ in range(2)], bool) for _ in range(3)]
+        covers = np.zeros((7, 6), bool)
+        for k, b in enumerate(blocks):
+            covers[2 * k : 2 * k + 2, 2 * k : 2 * k + 2] = b
+        need, cost = np.array([rnd.choice([0, 1, 1, 2]) for _ in range(6)]), np.array([float(rnd.randint(1, 9)) for _ in range(7)])
+        most = np.array([rnd.randint(0, 3) for _ in range(7)])
+        for n in range(1, 6):
+            status, total, zones = cover.solve(covers, need, cost, most, n)
+            want = brute(covers, need, cost, most, n)
+            assert (total, status) == (want, "infeasible" if want is None else "optimal")
+            if want is not None:
+                assert len(zones) == n and cost[zones].sum() == want and (covers[zones].sum(axis=0) >= need).all() and (np.bincount(zones, minlength=7) <= most).all()
+
+
+def test_a_large_cover_ends():
+    """A grid of 12 x 12 cells, all rectangles up to 6 x 6 as candidates, exact without a clock."""
+    sides = [(x, y, w, h) for w in range(1, 7) for h in range(1, 7) for x in range(13 - w) for y in range(13 - h)]
+    covers = np.zeros((len(sides), 12, 12), bool)
+    for k, (x, y, w, h) in enumerate(sides):
+        covers[k, x : x + w, y : y + h] = True
+    cost = np.array([w * h + 3.0 for _, _, w, h in sides])
+    status, total, zones = cover.solve(covers.reshape(len(sides), -1), np.ones(144, np.int64), cost, np.ones(len(sides), np.int64), 4)
+    assert (status, total) == ("optimal", 156.0) and len(zones) == 4
 
 
 def test_partitions_against_every_cut():
