@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.kernels import choose
 from gridloom.kernels import fit as kernel
 from gridloom.operators import groups, layout
+from gridloom.session import spread
 
 SIDES = ("x0", "y0", "x1", "y1")
 EPS = 1e-8
@@ -60,7 +61,7 @@ def assigned(boxes: DataFrame, needs: DataFrame, zones: DataFrame, classes: Data
         return pd.DataFrame(rows, columns=["plan_id", "stage", "poly_id", "threshold", "zone_id", "cls", "created", "problem"]).astype({"zone_id": "Int64", "cls": "Int32", "created": "boolean"})
 
     rest = held.unionByName(spare).unionByName(room)
-    return want.groupBy("plan_id").cogroup(rest.withColumnRenamed("plan_id", "plan").groupBy("plan")).applyInPandas(run, _ASSIGNED)
+    return spread(want, "plan_id").groupBy("plan_id").cogroup(spread(rest.withColumnRenamed("plan_id", "plan"), "plan").groupBy("plan")).applyInPandas(run, _ASSIGNED)
 
 
 def required(assignments: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def structural(zones: DataFrame, grouped: DataFrame, needs: DataFrame, classes:
         places = kernel.settle(node.target.to_numpy(float), node.weight.to_numpy(float), list(zip(number("u"), number("v"), arc.c, strict=True)))
         return pd.DataFrame({"plan_id": node.plan_id, "root": node.root, "target": node.target, "place": np.nan if places is None else places, "problem": "topology" if places is None else None})
 
-    got = nodes.groupBy("plan_id").cogroup(arcs.withColumnRenamed("plan_id", "plan").groupBy("plan")).applyInPandas(run, "plan_id long, root long, target double, place double, problem string")
+    got = spread(nodes, "plan_id").groupBy("plan_id").cogroup(spread(arcs.withColumnRenamed("plan_id", "plan"), "plan").groupBy("plan")).applyInPandas(run, "plan_id long, root long, target double, place double, problem string")
     return got.withColumn("place", F.nanvl("place", F.lit(None).cast("double")))
 
 
@@ -206,5 +207,5 @@ def chosen(fits: DataFrame, options: DataFrame, pairs: DataFrame, assignments: D
         out["m0"], out["m1"] = plan.x[:, 0], plan.x[:, 1]
         return out
 
-    got = zones.groupBy("plan_id").cogroup(options.withColumnRenamed("plan_id", "plan").groupBy("plan")).applyInPandas(run, _CHOSEN)
+    got = spread(zones, "plan_id").groupBy("plan_id").cogroup(spread(options.withColumnRenamed("plan_id", "plan"), "plan").groupBy("plan")).applyInPandas(run, _CHOSEN)
     return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x0", "x1", "m0", "m1")})

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.kernels import partition as kernel
+from gridloom.session import spread
 
 _RECTS = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 _TOLERANCE = 1e-7
@@ -54,7 +55,7 @@ def partitions(cells: DataFrame, sizes: DataFrame, least: tuple[float, float] =
         got = [(plan, n, area, [place(some[i][2]) for i in chosen], floor, len(some), None) for n, (area, chosen) in sorted(kernel.frontier(ones, some).items())]
         return pd.DataFrame(got, columns=["plan_id", "n", "area", "rects", "floor", "candidates", "problem"])
 
-    got = rows.groupBy("plan_id").applyInPandas(run, f"plan_id long, n long, area double, rects {_RECTS}, floor double, candidates long, problem string")
+    got = spread(rows, "plan_id").groupBy("plan_id").applyInPandas(run, f"plan_id long, n long, area double, rects {_RECTS}, floor double, candidates long, problem string")
     return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("area", "floor")})
 
 

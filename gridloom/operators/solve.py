@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.kernels import cover
+from gridloom.session import spread
 
 _SOLUTION = "plan_id long, n int, status string, cost double, zones array<long>"
 
@@ -34,4 +35,4 @@ def solved(bounds: DataFrame, rows: DataFrame, covers: DataFrame, priced: DataFr
         ids = cand.cand_id.astype("int64").to_numpy()
         return pd.DataFrame({"plan_id": [key[0]], "n": [key[1]], "status": [status], "cost": [cost], "zones": [[int(ids[z]) for z in zones]]})
 
-    return both.join(rows.select("plan_id").distinct(), "plan_id", "left_semi").groupBy("plan_id", "n").applyInPandas(run, _SOLUTION)
+    return spread(both.join(rows.select("plan_id").distinct(), "plan_id", "left_semi"), "plan_id", "n").groupBy("plan_id", "n").applyInPandas(run, _SOLUTION)

@@ -8,7 +8,7 @@ from gridloom.operators import partition, raster
 from gridloom.plans import fixtures as fx
 from gridloom.plans.catalog import query
 
-_GRIDS = "select p_partkey as plan_id, cast(1 + p_size % 5 as int) as m, cast(p_partkey % 5 as double) / 5 as share, cast(0.5 as double) as low, cast(2 as double) as high, p_partkey * 31 as seed from part"
+_GRIDS = "select p_partkey as plan_id, cast(1 + p_size % 4 as int) as m, cast(p_partkey % 5 as double) / 5 as share, cast(0.5 as double) as low, cast(2 as double) as high, p_partkey * 31 as seed from part"
 _ASKED = "select plan_id, cast(n as bigint) as n from (select p_partkey as plan_id, explode(array(p_size % 4, 6, 2, 2, -1, 3, 300)) as n from part) as a"
 
 

@@ -48,6 +48,12 @@ def stored(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as the session shuffles to: few rows that take long each are not gathered in one task, as
+    they would be by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def dropped(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that stored() wrote."""
     for path in paths:
