@@ -2,7 +2,7 @@
 
 Lines are sorted by coord. Moving a line by d costs minus * d to the low side and plus * d to the high side, and it may leave
 its place by low and high at most. A stretch of lines i..j becomes one line at the weighted median of their places, or as
-near to it as all of them and the stretch's own extent allow.
+near to it as all of them and the stretch's own extent allow. A stretch that begins with line i may end with line reach[i] at last.
 
 The cost of a stretch, as a function of the place, is convex: left of all lines it falls by the sum of their minus, and
 every line that the place passes raises the slope by its minus and plus. It is least where the slope turns.
@@ -26,9 +26,12 @@ class Axis:
     plus: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    reach: np.ndarray | None = None
 
     def __post_init__(self):
         self.n = len(self.coord)
+        if self.reach is None:
+            self.reach = np.full(self.n, self.n - 1)
         self.floor, self.ceiling = self.coord - self.low, self.coord + self.high
         self.raised = np.cumsum(self.minus + self.plus)
         self.falls, self.rises = (np.concatenate(([0.0], np.cumsum(w))) for w in (self.minus, self.plus))
@@ -53,7 +56,7 @@ class Axis:
     def stretches(self, i: np.ndarray, j: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost and place of each stretch i..j, given the highest floor and the lowest ceiling of its lines; infinite if none."""
         first, last = np.maximum(floor, self.coord[i]), np.minimum(ceiling, self.coord[j])
-        can = first - last <= 1e-12
+        can = (first - last <= 1e-12) & (j <= self.reach[i])
         cost, place = np.full(len(i), np.inf), np.full(len(i), np.nan)
         place[can] = np.minimum(np.maximum(self.coord[self.turns(i, j)], first), np.maximum(first, last))[can]
         cost[can] = self.moved(i[can], j[can], place[can])

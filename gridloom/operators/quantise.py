@@ -4,7 +4,8 @@ Events are (plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus). Ev
 partitions of one axis, dynamic programs over its lines, run as grouped functions.
 
 Defined results. An empty table gives no rows, a plan without loads no events. Other columns are ignored. Null loads count as
-no cell; repeated cells or edges are an error of the caller. Regions have no protected holes.
+no cell; repeated cells or edges are an error of the caller. Regions have no holes; pairs of lines that must stay apart are given
+to stretch_limits.
 """
 
 from __future__ import annotations
@@ -64,23 +65,38 @@ def locked(events: DataFrame, minus: Column, plus: Column) -> DataFrame:
     return events.withColumns({"tol_minus": F.when(minus, 0).otherwise(F.col("tol_minus")), "tol_plus": F.when(plus, 0).otherwise(F.col("tol_plus"))})
 
 
+def stretch_limits(events: DataFrame, apart: DataFrame) -> DataFrame:
+    """events with limit, the idx of the last event that may share a line with it, null without one.
+
+    apart (plan_id, axis, low, high) are places that must never become one, such as the two sides of a hole; pairs of which an
+    end is no event, or is not below the other, do not count. No stretch holds both ends of a pair, so it ends before the least
+    high end of all pairs that begin in it or later."""
+    at = events.select("plan_id", "axis", "coord", "idx")
+    ends = apart.join(at.withColumnsRenamed({"coord": "low", "idx": "a"}), ["plan_id", "axis", "low"]).join(at.withColumnsRenamed({"coord": "high", "idx": "b"}), ["plan_id", "axis", "high"])
+    first = ends.where("a < b").groupBy("plan_id", "axis", F.col("a").alias("idx")).agg((F.min("b") - 1).alias("own"))
+    later = Window.partitionBy("plan_id", "axis").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    return events.join(first, ["plan_id", "axis", "idx"], "left").withColumn("limit", F.min("own").over(later)).select(*events.columns, "limit")
+
+
 def minimum_lines(events: DataFrame) -> DataFrame:
     """The least number of lines that an axis can be cut into: neighbours in order share a line as long as one place is within
-    the tolerance of all of them."""
-    spans = F.array_sort(F.collect_list(F.struct(F.col("coord").cast("double").alias("at"), (F.col("coord") - F.col("tol_minus")).cast("double").alias("lo"), (F.col("coord") + F.col("tol_plus")).cast("double").alias("hi"))))
-    start = F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"))
+    the tolerance of all of them, and none is past the limit of the first, if events have limits."""
+    far = F.coalesce("limit", F.lit(1 << 62)) if "limit" in events.columns else F.lit(1 << 62)
+    spans = F.array_sort(F.collect_list(F.struct("idx", (F.col("coord") - F.col("tol_minus")).cast("double").alias("lo"), (F.col("coord") + F.col("tol_plus")).cast("double").alias("hi"), far.cast("long").alias("far"))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(float("inf")).alias("lo"), F.lit(float("-inf")).alias("hi"), F.lit(-1).cast("long").alias("far"))
     lo, hi = (lambda s, e: F.greatest(s["lo"], e["lo"])), (lambda s, e: F.least(s["hi"], e["hi"]))
-    new = lambda s, e: F.struct((s["n"] + 1).alias("n"), e["lo"].alias("lo"), e["hi"].alias("hi"))
-    step = lambda s, e: F.when(lo(s, e) > hi(s, e) + 1e-12, new(s, e)).otherwise(F.struct(s["n"].alias("n"), lo(s, e).alias("lo"), hi(s, e).alias("hi")))
+    new = lambda s, e: F.struct((s["n"] + 1).alias("n"), e["lo"].alias("lo"), e["hi"].alias("hi"), e["far"].alias("far"))
+    step = lambda s, e: F.when((lo(s, e) > hi(s, e) + 1e-12) | (e["idx"] > s["far"]), new(s, e)).otherwise(F.struct(s["n"].alias("n"), lo(s, e).alias("lo"), hi(s, e).alias("hi"), s["far"].alias("far")))
     return events.groupBy("plan_id", "axis").agg(spans.alias("spans")).select("plan_id", "axis", F.aggregate("spans", start, step)["n"].alias("lines"))
 
 
 def _by_axis(events: DataFrame, run: Callable[[Axis], dict], schema: str) -> DataFrame:
-    """run over the lines of each plan and axis; its columns with those two before them."""
+    """run over the lines of each plan and axis, with their limits if they have any; its columns with those two before them."""
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        axis = Axis(*(group[c].to_numpy(float) for c in ("coord", "w_minus", "w_plus", "tol_minus", "tol_plus")))
+        limit = group["limit"].fillna(len(group) - 1).to_numpy("int64") if "limit" in group else None
+        axis = Axis(*(group[c].to_numpy(float) for c in ("coord", "w_minus", "w_plus", "tol_minus", "tol_plus")), limit)
         out = pd.DataFrame(run(axis))
         out.insert(0, "plan_id", group["plan_id"].iloc[0])
         out.insert(1, "axis", group["axis"].iloc[0])

@@ -79,6 +79,35 @@ def q09_exact_frontier(spark, sf_dir):
     return _rounded(quantise.exact_partitions(_events(spark, sf_dir)), cost=2)
 
 
+#: The sides of boxes without a load, as holes that must not close.
+_HOLES = f"select plan_id, 'x' as axis, x0 as low, x1 as high from ({fx.BOXES12}) as h where load = 0 union all select plan_id, 'y', y0, y1 from ({fx.BOXES12}) as v where load = 0"
+_LIMITS = f""", hole as ({_HOLES}), pair as (select a.plan_id, a.axis, a.idx as a, b.idx as b from hole h join events a on a.plan_id = h.plan_id and a.axis = h.axis and a.coord = h.low join events b on b.plan_id = h.plan_id and b.axis = h.axis and b.coord = h.high),
+lim as (select e.plan_id, e.axis, e.idx, min(p.b) - 1 as last from events e left join pair p on p.plan_id = e.plan_id and p.axis = e.axis and p.a >= e.idx group by all)"""
+_HELD = """, held as (select c.* from cost c join lim l on l.plan_id = c.plan_id and l.axis = c.axis and l.idx = c.i where l.last is null or c.j <= l.last)"""
+
+
+def _limited(spark, sf_dir):
+    return quantise.stretch_limits(_events(spark, sf_dir), fx.view(spark, sf_dir, _HOLES))
+
+
+@query(f'{_EVENTS}{_LIMITS} select plan_id, axis, idx, last as "limit" from lim')
+def q05_limits(spark, sf_dir):
+    return _limited(spark, sf_dir).select("plan_id", "axis", "idx", "limit")
+
+
+_HELD_WALK = _WALK.replace("join cost c", "join held c").replace("from cost where", "from held where")
+
+
+@query(f"{_EVENTS}{_COSTS}{_LIMITS}{_HELD}{_HELD_WALK} select plan_id, axis, k, round(cost, 2) as cost from best")
+def q05_frontier(spark, sf_dir):
+    return _rounded(quantise.exact_partitions(_limited(spark, sf_dir)), cost=2)
+
+
+@query(f"{_EVENTS}{_COSTS}{_LIMITS}{_HELD}{_HELD_WALK} select plan_id, axis, cast(min(k) as int) as lines from best group by plan_id, axis")
+def q05_min_lines(spark, sf_dir):
+    return quantise.minimum_lines(_limited(spark, sf_dir))
+
+
 def _moved(spark, sf_dir, greedy):
     """Per plan and axis: stretches, what their moves cost, and whether it can be done."""
     events = _events(spark, sf_dir)

@@ -145,3 +145,23 @@ def test_least_lines_are_those_of_the_exact_partition(spark):
     least = {(r.plan_id, r.axis): r.k for r in quantise.exact_partitions(events).groupBy("plan_id", "axis").agg(F.min("k").alias("k")).collect()}
     got = {(r.plan_id, r.axis): r.lines for r in quantise.minimum_lines(events).collect()}
     assert got == least and got[1, "x"] == 3
+
+
+def test_lines_that_must_stay_apart(spark):
+    """Pairs of lines limit stretches, merges and the least number of lines alike: none of them holds both ends of a pair."""
+    rnd, rows, apart = random.Random(6), [], []
+    for plan in range(60):
+        coords = sorted(rnd.sample(range(150), rnd.randint(2, 9)))
+        rows += [(plan, "x", k, c, rnd.randint(0, 5), rnd.randint(0, 5), rnd.randint(0, 90), rnd.randint(0, 90)) for k, c in enumerate(coords)]
+        apart += [(plan, "x", *rnd.sample(coords, 2)) for _ in range(rnd.randint(0, 3))] + [(plan, "x", coords[0], 999)]
+    events = spark.createDataFrame(rows, "plan_id long, axis string, idx long, coord long, w_minus long, w_plus long, tol_minus long, tol_plus long")
+    limited = quantise.stretch_limits(events, spark.createDataFrame(apart, "plan_id long, axis string, low long, high long"))
+    at = {(r[0], r[3]): r[2] for r in rows}
+    pairs = [(p, at[p, a], at[p, b]) for p, _, a, b in apart if (p, b) in at and a < b]
+    assert {(r.plan_id, r.idx): r.limit for r in limited.collect()} == {(r[0], r[2]): min((b - 1 for p, a, b in pairs if p == r[0] and a >= r[2]), default=None) for r in rows}
+    least = {r.plan_id: r.k for r in quantise.exact_partitions(limited).groupBy("plan_id").agg(F.min("k").alias("k")).collect()}
+    assert {r.plan_id: r.lines for r in quantise.minimum_lines(limited).collect()} == least
+    for greedy in (False, True):
+        of = {(r.plan_id, r.idx): r.stretch for r in quantise.quantised(limited, 3, greedy).where("problem is null").collect()}
+        assert of and all(of[p, a] != of[p, b] for p, a, b in pairs if (p, a) in of)
+    assert least != {r.plan_id: r.k for r in quantise.exact_partitions(events).groupBy("plan_id").agg(F.min("k").alias("k")).collect()}
