@@ -32,6 +32,20 @@ def incidence(cands: DataFrame, rows: DataFrame) -> DataFrame:
     return cands.alias("c").join(rows.alias("r"), F.expr(inside)).select("c.plan_id", "c.cand_id", "r.row_id", "r.need")
 
 
+def row_candidates(covers: DataFrame) -> DataFrame:
+    """The candidates of each row that any covers: plan_id, row_id, cand_ids in order. A row's list is as long as its plan has
+    candidates at most."""
+    return covers.groupBy("plan_id", "row_id").agg(F.array_sort(F.collect_set("cand_id")).alias("cand_ids"))
+
+
+def subset(covers: DataFrame, selected: DataFrame) -> DataFrame:
+    """The incidence of selected (plan_id, cand_id) alone, numbered anew from 0 in order of cand_id: plan_id, local_id, cand_id,
+    row_id. A candidate that covers nothing takes a number and has no row; repeated ones take one."""
+    order = Window.partitionBy("plan_id").orderBy("cand_id")
+    numbered = selected.select("plan_id", "cand_id").distinct().withColumn("local_id", (F.row_number().over(order) - 1).cast("long"))
+    return covers.select("plan_id", "cand_id", "row_id").join(numbered, ["plan_id", "cand_id"]).select("plan_id", "local_id", "cand_id", "row_id")
+
+
 def upper_bounds(cands: DataFrame, covers: DataFrame) -> DataFrame:
     """Useful copies of each candidate: the largest need it helps with, one at least."""
     most = covers.groupBy("plan_id", "cand_id").agg(F.max("need").alias("ub"))

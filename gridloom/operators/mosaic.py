@@ -1,11 +1,21 @@
-"""Mosaic: connected cells of one class that no rectangle's side separates."""
+"""Mosaic: connected cells of one class that no rectangle's side separates, and its refinement to units that no rectangle cuts.
+
+Defined results. Repeated cells and rectangles count once where units are made. A null label or profile is a value of its own.
+Plans without cells have no units; rectangles of plans without cells, and sides outside the cells, separate nothing. Empty
+tables give empty ones. Other columns are ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import groups
+from gridloom.session import settled
+
+
+def _place(y: str, x: str) -> Column:
+    return F.col(y) * (1 << 20) + F.col(x)
 
 
 def boundary_support(rects: DataFrame) -> DataFrame:
@@ -23,12 +33,49 @@ def mosaic(cells: DataFrame, rects: DataFrame) -> DataFrame:
     sides = boundary_support(rects)
     steps = full.select("plan_id", "iy", "ix", "cls", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("iy").alias("jy"), (F.col("ix") + 1).alias("jx")), F.struct(F.lit("y").alias("side"), (F.col("iy") + 1).alias("jy"), F.col("ix").alias("jx")))).alias("s"))
     steps = steps.select("plan_id", "iy", "ix", "cls", "s.side", "s.jy", "s.jx").join(full.select("plan_id", F.col("iy").alias("jy"), F.col("ix").alias("jx"), "cls"), ["plan_id", "jy", "jx", "cls"]).join(sides, ["plan_id", "side", "iy", "ix"], "left_anti")
-    place = lambda y, x: F.col(y) * (1 << 20) + F.col(x)
-    roots = groups.connected(steps.select("plan_id", place("iy", "ix").alias("a"), place("jy", "jx").alias("b"))).withColumnRenamed("node", "place")
-    out = full.withColumn("place", place("iy", "ix")).join(roots, ["plan_id", "place"], "left")
+    roots = groups.connected(steps.select("plan_id", _place("iy", "ix").alias("a"), _place("jy", "jx").alias("b"))).withColumnRenamed("node", "place")
+    out = full.withColumn("place", _place("iy", "ix")).join(roots, ["plan_id", "place"], "left")
     return out.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.coalesce("root", "place").alias("label"))
 
 
+def _together(cells: DataFrame, rects: DataFrame, side: str) -> DataFrame:
+    """Neighbours to the right (side x) or above (side y) that agree and that no rectangle's side separates: plan_id, a, b.
+
+    Each side of a rectangle is a rise at its start and a fall after its end, so work follows the number of rectangles, not
+    their perimeters; the running sum at a cell tells how many sides lie between it and the next one."""
+    line, at = ("ix", "iy") if side == "x" else ("iy", "ix")
+    low, high, start, end = ("x0", "x1", "y0", "y1") if side == "x" else ("y0", "y1", "x0", "x1")
+    lines = rects.select("plan_id", F.explode(F.array(F.col(low) - 1, F.col(high))).alias("line"), F.col(start).alias("s"), F.col(end).alias("e"))
+    ends = lines.select("plan_id", "line", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("change")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("change")))))
+    changes = ends.groupBy("plan_id", "line", "at").agg(F.sum("change").alias("change"))
+    follows = Window.partitionBy("plan_id", "at").orderBy("line")
+    here = cells.select("plan_id", F.col(line).alias("line"), F.col(at).alias("at"), "label", "profile", _place("iy", "ix").alias("a"))
+    same = F.lead("label").over(follows).eqNullSafe(F.col("label")) & F.lead("profile").over(follows).eqNullSafe(F.col("profile"))
+    pairs = here.withColumn("b", F.when((F.lead("line").over(follows) == F.col("line") + 1) & same, F.lead("a").over(follows))).where("b is not null")
+    rows = pairs.select("plan_id", "line", "at", F.lit(0).cast("long").alias("change"), "a", "b").unionByName(changes, allowMissingColumns=True)
+    passed = Window.partitionBy("plan_id", "line").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("sides", F.sum("change").over(passed)).where("a is not null and sides = 0").select("plan_id", "a", "b")
+
+
+def refined(cells: DataFrame, rects: DataFrame) -> DataFrame:
+    """Cells (plan_id, iy, ix, label, profile) with the unit that each belongs to: plan_id, iy, ix, unit, root.
+
+    A unit is connected, has one label and one profile, and no rectangle (plan_id, x0, y0, x1, y1) holds only a part of it, so
+    one row can stand for all of its cells. Units count from 0 in the order of their first cell (least iy, then ix), the root."""
+    cells = settled(cells.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), "label", "profile").dropDuplicates(["plan_id", "iy", "ix"]))
+    rects = settled(rects.select("plan_id", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1"))).distinct())
+    roots = groups.connected(_together(cells, rects, "x").unionByName(_together(cells, rects, "y"))).withColumnRenamed("node", "place")
+    placed = cells.withColumn("place", _place("iy", "ix")).join(roots, ["plan_id", "place"], "left").withColumn("root", F.coalesce("root", "place"))
+    numbers = placed.select("plan_id", "root").distinct().withColumn("unit", (F.row_number().over(Window.partitionBy("plan_id").orderBy("root")) - 1).cast("long"))
+    return placed.join(numbers, ["plan_id", "root"]).select("plan_id", "iy", "ix", "label", "profile", "unit", "root")
+
+
+def unit_rows(units: DataFrame) -> DataFrame:
+    """One row for each unit of refined(): plan_id, unit, iy and ix of its first cell, label, profile, size."""
+    got = units.groupBy("plan_id", "unit", "root").agg(F.first("label").alias("label"), F.first("profile").alias("profile"), F.count(F.lit(1)).alias("size"))
+    return got.select("plan_id", "unit", F.shiftright("root", 20).alias("iy"), F.col("root").bitwiseAND((1 << 20) - 1).alias("ix"), "label", "profile", "size")
+
+
 def label_problem(labels: DataFrame, shapes: DataFrame) -> DataFrame:
     """What is wrong with the labels (plan_id, iy, ix, label double) of each of shapes (plan_id, ny, nx): `shape` where cells are
     missing, repeated or outside, else `finite`, else `integer`, else null. A null label is not finite."""
