@@ -39,7 +39,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from gridloom.plans import drawing_queries, fit_queries, layout_queries, mosaic_queries, partition_queries, quantise_queries, request_queries, result_queries, ring_queries, source_queries, state_queries  # noqa: F401
+    from gridloom.plans import drawing_queries, fit_queries, layout_queries, mosaic_queries, partition_queries, quantise_queries, request_queries, result_queries, ring_queries, shape_queries, source_queries, state_queries  # noqa: F401
 
     return dict(_QUERIES)
 
