@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import state
 from gridloom.plans import fixtures as fx
 from gridloom.plans.catalog import query
+from gridloom.streaming import incumbents
 
 _EV, _JOBS, _INC = f"with e as ({fx.SOLVER_EVENTS})", f"with j as ({fx.JOBS})", f"with i as ({fx.INCUMBENTS})"
 
@@ -153,3 +154,22 @@ def j14_prefer_known(spark, sf_dir):
 def x17_termination(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as job_id", "o_orderkey % 3 > 0 as feasible", "o_orderkey % 6 = 1 as optimal", "o_orderkey % 9 = 0 as infeasible", "o_totalprice / 5000 as elapsed", "60.0D as time_limit")
     return state.termination(rows).select("job_id", "status")
+
+
+#: For Spark alone: times without a zone are taken as UTC, as DuckDB does, whatever the session's zone.
+_TIMED = f"select task_id, event_id, type, cast(convert_timezone('UTC', current_timezone(), ts) as timestamp) as ts, cost_cents / 100.0d as cost from ({fx.SOLVER_EVENTS})"
+_INTERVAL_HOURS = 48
+
+
+@query(
+    f"""with recursive e as (select task_id, event_id, ts, cost_cents / 100.0::double as cost, min(cost_cents) over (partition by task_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before, cost_cents from ({fx.SOLVER_EVENTS}) where type = 'incumbent'),
+    i as (select task_id, event_id, ts, cost, row_number() over (partition by task_id order by ts, event_id) as sequence from e where before is null or cost_cents < before),
+    r as (
+      select task_id, sequence, ts as emitted_at from i where sequence = 1
+      union all select r.task_id, greatest(n.sequence, (select max(m.sequence) from i m where m.task_id = r.task_id and m.ts <= r.emitted_at + interval {_INTERVAL_HOURS} hour)), greatest(n.ts, r.emitted_at + interval {_INTERVAL_HOURS} hour)
+      from r join i n on n.task_id = r.task_id and n.sequence = r.sequence + 1)
+    select i.task_id, i.event_id, i.cost, cast(i.sequence as int) as sequence, epoch_us(r.emitted_at) as emitted_us from r join i on i.task_id = r.task_id and i.sequence = r.sequence"""
+)
+def t02_emitted(spark, sf_dir):
+    told = incumbents.emitted(fx.view(spark, sf_dir, _TIMED), _INTERVAL_HOURS * 3_600_000)
+    return told.select("task_id", "event_id", "cost", "sequence", F.unix_micros("emitted_at").alias("emitted_us"))
