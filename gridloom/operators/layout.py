@@ -151,6 +151,42 @@ def coverage(boxes: DataFrame, needs: DataFrame, zones: DataFrame, quantum: Colu
     return out.select("plan_id", "poly_id", "threshold", "need", zero(F.col("options")).alias("options"), F.when(ok, zero(F.col("relaxations"))).otherwise(0).alias("relaxations"), ok.alias("ok"))
 
 
+#: What a threshold misses for which too few zones are there; a fixed value of the score.
+NO_ZONE = 10**9
+
+
+def edge_misses(boxes: DataFrame, needs: DataFrame, zones: DataFrame, fields: DataFrame, exact: bool = False, slack: float = 1e-8) -> DataFrame:
+    """How well boxes at the field's sides are held without any relaxation: plan_id, poly_id, threshold, need, covered, best_miss,
+    miss_sum.
+
+    fields (plan_id, low, high) are the sides across; a box counts if it reaches one. A zone of the threshold's class, or a higher
+    one unless exact, holds a box as far as it spans it along y; what it leaves at the worse side is its miss, covered counts the
+    zones that miss nothing. best_miss is the last of the need zones that miss least, null if there are fewer, and miss_sum what
+    these miss together, NO_ZONE if there are fewer, 0 where need is met. A plan without a field has no rows."""
+    at = boxes.join(fields.select("plan_id", F.col("low").alias("f0"), F.col("high").alias("f1")), "plan_id").where(~((F.col("x0") > F.col("f0") + slack) & (F.col("x1") < F.col("f1") - slack)))
+    at = at.select("plan_id", "poly_id", *(F.col(c).cast("double").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    want = profiles(needs).join(at, ["plan_id", "poly_id"])
+    own = F.col("cls") == F.col("threshold") if exact else F.col("cls") >= F.col("threshold")
+    serves = own & (F.col("y0") <= F.col("by0") + slack) & (F.col("y1") >= F.col("by1") - slack)
+    miss = F.greatest(F.lit(0.0), F.col("x0") - F.col("bx0"), F.col("bx1") - F.col("x1"))
+    met = want.join(zones.select("plan_id", "zone_id", "cls", "x0", "y0", "x1", "y1"), "plan_id").where(serves).select("plan_id", "poly_id", "threshold", "need", "zone_id", miss.alias("miss"))
+    met = met.withColumn("place", F.row_number().over(Window.partitionBy("plan_id", "poly_id", "threshold").orderBy("miss", "zone_id")))
+    got = met.groupBy("plan_id", "poly_id", "threshold").agg(F.sum((F.col("miss") <= slack).cast("long")).alias("covered"), F.max(F.when(F.col("place") == F.col("need"), F.col("miss"))).alias("best_miss"), F.sum(F.when(F.col("place") <= F.col("need"), F.col("miss"))).alias("some"))
+    out = want.select("plan_id", "poly_id", "threshold", "need").join(got, ["plan_id", "poly_id", "threshold"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+    summed = F.when(F.col("covered") >= F.col("need"), 0.0).when(F.col("best_miss").isNull(), float(NO_ZONE)).otherwise(F.col("some"))
+    return out.select("plan_id", "poly_id", "threshold", "need", "covered", "best_miss", summed.alias("miss_sum"))
+
+
+def edge_relaxations(misses: DataFrame) -> DataFrame:
+    """Those of edge_misses() whose need is not met: plan_id, poly_id, threshold, need, covered, best_miss."""
+    return misses.where("covered < need").select("plan_id", "poly_id", "threshold", "need", "covered", "best_miss")
+
+
+def edge_score(misses: DataFrame) -> DataFrame:
+    """Of edge_misses() what each plan lacks: plan_id, lacking (zones), missed (length)."""
+    return misses.groupBy("plan_id").agg(F.sum(F.greatest(F.lit(0), F.col("need") - F.col("covered"))).cast("long").alias("lacking"), F.sum("miss_sum").alias("missed"))
+
+
 def contacts(zones: DataFrame) -> DataFrame:
     """Zones of one class that touch across x, where they also overlap or touch along y: plan_id, a (at the left), b, at."""
     right = zones.select("plan_id", "cls", F.col("x0").alias("at"), *(F.col(c).alias(f"{c}2") for c in ("zone_id", "y0", "y1")))

@@ -144,3 +144,29 @@ def uncovered_cells(cells: DataFrame, chosen: DataFrame) -> DataFrame:
     """Those cells (plan_id, iy, ix) that no chosen rectangle (plan_id, x0, y0, x1, y1) holds."""
     inside = "c.plan_id = r.plan_id and c.ix between r.x0 and r.x1 and c.iy between r.y0 and r.y1"
     return cells.alias("c").join(chosen.alias("r"), F.expr(inside), "left_anti")
+
+
+def problem_ids(cells: DataFrame, x: DataFrame, y: DataFrame, cands: DataFrame, classes: DataFrame, holds: DataFrame, recipes: DataFrame, axis: str | None = None, zeros: bool = False) -> DataFrame:
+    """A name for each plan's cover problem: plan_id, problem_id, the SHA-256 of its cells, edges, candidates, densities, holds,
+    recipes and options in a form of their own.
+
+    Equal problems have equal names, in whatever order their rows come. Numbers that are not whole count to six digits. A
+    table's rows are hashed in groups of one row or column first, so no list holds more than a group or its hashes."""
+
+    def digest(df: DataFrame, name: str, group: str, *columns: str) -> DataFrame:
+        text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns))
+        inner = df.groupBy("plan_id", F.col(group).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ";"), 256).alias("h"))
+        return inner.groupBy("plan_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias(name))
+
+    def exact(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumn(c, F.col(c).cast("decimal(28,6)"))
+
+    edges = lambda e, name: digest(exact(exact(e, "lo"), "hi"), name, "i", "i", "lo", "hi")
+    parts = [digest(cells, "cells", "iy", "iy", "ix", "cls"), edges(x, "x"), edges(y, "y"), digest(cands, "cands", "x0", "x0", "y0", "x1", "y1", "cls"), digest(exact(classes.where("density is not null"), "density"), "densities", "cls", "cls", "density"),
+             digest(exact(holds, "hold"), "holds", "cls", "cls", "hold"), digest(recipes.withColumn("layers", F.array_join(F.array_sort("layers"), "+")), "recipes", "cls", "cls", "layers")]
+    names = ("cells", "x", "y", "cands", "densities", "holds", "recipes")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "plan_id", "left")
+    whole = F.concat_ws("|", *(F.coalesce(F.col(n), F.lit("-")) for n in names), F.lit(axis or ""), F.lit("1" if zeros else "0"))
+    return out.select("plan_id", F.sha2(whole, 256).alias("problem_id"))

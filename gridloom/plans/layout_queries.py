@@ -164,3 +164,26 @@ def s08_anchorage(spark, sf_dir):
 def b01_mass(spark, sf_dir):
     z = _zones(spark, sf_dir)
     return layout.steel(z, z.groupBy("plan_id").agg(F.min("y0").alias("low"), F.max("y1").alias("high")), fx.STEEL)
+
+
+_MISSES = f"""{_WANT}, f as (select plan_id, min(x0) as f0, max(x1) as f1 from b group by plan_id), e as (select b.* from b join f on f.plan_id = b.plan_id where not (b.x0 > f0 and b.x1 < f1)),
+m as (select w.plan_id, w.poly_id, w.threshold, w.need, z.zone_id, cast(greatest(0, e.x1 - z.x1, z.x0 - e.x0) as double) as miss from want w join e on e.plan_id = w.plan_id and e.poly_id = w.poly_id join z on z.plan_id = w.plan_id and z.cls >= w.threshold and z.zone_id % 2 = 0 and z.y0 <= e.y0 and z.y1 >= e.y1),
+g as (select plan_id, poly_id, threshold, list_sort(list(miss)) as l from m group by all),
+r as (select w.*, coalesce(length(list_filter(l, lambda v: v = 0)), 0) as covered, l[w.need] as best_miss, coalesce(length(l), 0) as n, list_sum(l[1:w.need]) as least_sum from want w join e on e.plan_id = w.plan_id and e.poly_id = w.poly_id left join g on g.plan_id = w.plan_id and g.poly_id = w.poly_id and g.threshold = w.threshold)
+"""
+
+
+def _misses(spark, sf_dir):
+    boxes = fx.view(spark, sf_dir, fx.BOXES12)
+    fields = boxes.groupBy("plan_id").agg(F.min("x0").alias("low"), F.max("x1").alias("high"))
+    return layout.edge_misses(boxes, fx.view(spark, sf_dir, _NEEDS), _zones(spark, sf_dir).where("zone_id % 2 = 0"), fields)
+
+
+@query(_MISSES + "select plan_id, poly_id, threshold, need, covered, best_miss from r where covered < need")
+def l28_edge_relaxations(spark, sf_dir):
+    return layout.edge_relaxations(_misses(spark, sf_dir))
+
+
+@query(_MISSES + f"select plan_id, cast(sum(greatest(0, need - covered)) as bigint) as lacking, cast(sum(case when covered >= need then 0 when n < need then {layout.NO_ZONE} else least_sum end) as double) as missed from r group by plan_id")
+def l27_edge_score(spark, sf_dir):
+    return layout.edge_score(_misses(spark, sf_dir))

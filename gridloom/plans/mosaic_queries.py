@@ -63,3 +63,28 @@ def p04_unit_candidates(spark, sf_dir):
 def p05_unit_subset(spark, sf_dir):
     c = Cover.of(spark, sf_dir, fx.ALL6)
     return model.subset(model.incidence(c.candidates, _rows(c)), c.candidates.where("x1 > x0"))
+
+
+def _digest_sql(name: str, source: str, group: str, *columns: str) -> str:
+    text = " || ',' || ".join(f"cast({c} as varchar)" for c in columns)
+    return f"{name} as (select plan_id, sha256(string_agg(h, '' order by h)) as h from (select plan_id, sha256(string_agg(t, ';' order by t)) as h from (select plan_id, {group} as g, {text} as t from {source}) group by plan_id, g) group by plan_id)"
+
+
+_DIGESTS = {
+    "d_cells": ("cell", "iy", "iy", "ix", "cls"),
+    "d_x": ("ex", "i", "i", "cast(lo as decimal(28,6))", "cast(hi as decimal(28,6))"),
+    "d_y": ("ey", "i", "i", "cast(lo as decimal(28,6))", "cast(hi as decimal(28,6))"),
+    "d_cands": ("cand", "x0", "x0", "y0", "x1", "y1", "cls"),
+    "d_densities": ("(select * from classes where density is not null)", "cls", "cls", "cast(density as decimal(28,6))"),
+    "d_holds": ("holds", "cls", "cls", "cast(hold as decimal(28,6))"),
+    "d_recipes": ("layers", "cls", "cls", "array_to_string(list_sort(layers), '+')"),
+}
+
+
+@query(
+    f"with {cs.rectangles(fx.BOXES12)}, " + ", ".join(_digest_sql(n, *d) for n, d in _DIGESTS.items()) + " select c.plan_id, sha256(concat_ws('|', " + ", ".join(f"coalesce({n}.h, '-')" for n in _DIGESTS) + ", 'y', '0')) as problem_id from d_cells c join d_cells on d_cells.plan_id = c.plan_id "
+    + " ".join(f"left join {n} on {n}.plan_id = c.plan_id" for n in list(_DIGESTS)[1:])
+)
+def p07_problem_ids(spark, sf_dir):
+    c = Cover.of(spark, sf_dir, fx.BOXES12)
+    return model.problem_ids(c.cells, c.x, c.y, c.candidates, c.catalogue[0], c.holds, c.layers, "y")
