@@ -28,7 +28,7 @@ def _rings(spark, sf_dir):
     return fx.view(spark, sf_dir, _PARTS).select("poly_id", made.alias("points"))
 
 
-#: Areas by kind: the last ring crosses itself in the square from (s, 2s) to (2s, 3s)... and its inner square counts twice, so not.
+#: Areas by kind; the line has none. The last ring crosses itself: 7 s * s is what an odd number of its edges encloses.
 _AREA = "case poly_id % 5 when 0 then s * s when 1 then s * s / 2.0 when 2 then 2 * s * s when 4 then 7 * s * s end"
 
 
