@@ -20,10 +20,31 @@ from pyspark.sql import functions as F
 from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, places
 
 
+#: Moves no longer than this are none.
+STILL = 1e-9
+
+
 def canonical(v: Column, eps: float) -> Column:
     return F.bround(v / eps) * eps
 
 
+def _sides(cells: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
+    """Both regions at each place of a line where the load changes: plan_id, j, coord, of, and whether the region is beyond it."""
+    along, across = ("ix", "iy") if axis == "x" else ("iy", "ix")
+    w = Window.partitionBy("plan_id", across).orderBy(along)
+    here = cells.select("plan_id", F.col(along).alias("i"), F.col(across).alias("j"), "load", F.coalesce(F.lag("load").over(w), F.lit(0)).alias("before"), F.lead(along).over(w).isNull().alias("last"))
+    closing = here.where("last and load > 0").select("plan_id", "i", "j", F.lit(0).alias("load"), F.col("load").alias("before"), F.lit(True).alias("end"))
+    rows = here.where("load <> before").select("plan_id", "i", "j", "load", "before", F.lit(False).alias("end")).unionByName(closing)
+    sides = rows.join(edges.select("plan_id", "i", "lo", "hi"), ["plan_id", "i"]).withColumn("coord", F.when(F.col("end"), F.col("hi")).otherwise(F.col("lo")))
+    turned = F.explode(F.array(F.struct(F.col("load").alias("of"), F.lit(True).alias("beyond")), F.struct(F.col("before").alias("of"), F.lit(False).alias("beyond"))))
+    return sides.select("plan_id", "j", "coord", turned.alias("t")).select("plan_id", "j", "coord", "t.of", "t.beyond").where("of > 0")
+
+
+def region_sides(cells: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
+    """The lines that bound each region: plan_id, axis, coord, load, beyond."""
+    return _sides(cells, edges, axis).select("plan_id", F.lit(axis).alias("axis"), "coord", F.col("of").alias("load"), "beyond").distinct()
+
+
 def axis_events(
     cells: DataFrame, edges: DataFrame, other: DataFrame, axis: str, shift: float = 0.02, shrink: float = 20.0, expand: float = 1.0, gamma: float = 2.0, base: float = 0.03, least_shrink: float = 0.10, least_expand: float = 0.50
 ) -> DataFrame:
@@ -33,16 +54,9 @@ def axis_events(
     shrink for moves into the region and expand for moves out of it, where r is the load over the 95th percentile of the
     plan's loads, 1 at most. It may move by the fraction shift of the axis's extent, less as r grows, down to least_shrink
     and least_expand of that. The first and the last line stay where they are. Costs add up, tolerances are the least ones."""
-    along, across = ("ix", "iy") if axis == "x" else ("iy", "ix")
-    w = Window.partitionBy("plan_id", across).orderBy(along)
-    here = cells.select("plan_id", F.col(along).alias("i"), F.col(across).alias("j"), "load", F.coalesce(F.lag("load").over(w), F.lit(0)).alias("before"), F.lead(along).over(w).isNull().alias("last"))
-    closing = here.where("last and load > 0").select("plan_id", "i", "j", F.lit(0).alias("load"), F.col("load").alias("before"), F.lit(True).alias("end"))
-    rows = here.where("load <> before").select("plan_id", "i", "j", "load", "before", F.lit(False).alias("end")).unionByName(closing)
     length = other.select("plan_id", F.col("i").alias("j"), (F.col("hi") - F.col("lo")).alias("length"))
-    sides = rows.join(length, ["plan_id", "j"]).join(edges.select("plan_id", "i", "lo", "hi"), ["plan_id", "i"]).withColumn("coord", F.when(F.col("end"), F.col("hi")).otherwise(F.col("lo")))
     scale = cells.where("load > 0").select("plan_id", "load").distinct().groupBy("plan_id").agg(F.percentile("load", F.lit(0.95)).alias("scale"))
-    turned = F.explode(F.array(F.struct(F.col("load").alias("of"), F.lit(True).alias("beyond")), F.struct(F.col("before").alias("of"), F.lit(False).alias("beyond"))))
-    each = sides.join(scale, "plan_id").select("plan_id", "coord", "length", "scale", turned.alias("t")).select("plan_id", "coord", "length", "scale", "t.of", "t.beyond").where("of > 0")
+    each = _sides(cells, edges, axis).join(length, ["plan_id", "j"]).join(scale, "plan_id")
     term = F.pow(F.least(F.col("of") / F.col("scale"), F.lit(1.0)), F.lit(gamma))
     weight = F.col("length") * (F.lit(base) + term)
     inward, outward = 1.0 - (1.0 - least_shrink) * term, 1.0 - (1.0 - least_expand) * term
@@ -185,11 +199,16 @@ def snapped(cells: DataFrame, x: DataFrame, y: DataFrame, moves: DataFrame) -> D
 
 def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per plan and load, the area of snapped cells where the plan had a smaller load, if above the tolerance."""
-    span = lambda e, a: e.select("plan_id", F.col("i").alias(f"i{a}"), F.col("lo").alias(f"{a}lo"), F.col("hi").alias(f"{a}hi"))
-    old = cells.join(span(x, "x"), ["plan_id", "ix"]).join(span(y, "y"), ["plan_id", "iy"]).withColumnRenamed("load", "had")
-    shared = lambda a: F.least(f"{a}1", f"{a}hi") - F.greatest(f"{a}0", f"{a}lo")
-    met = snapped_cells.join(old, "plan_id").where((F.col("had") >= F.col("load")) & (shared("x") > 0) & (shared("y") > 0))
-    held = met.groupBy("plan_id", "load").agg(F.sum(shared("x") * shared("y")).alias("held"))
+
+    def shared(edges: DataFrame, a: str) -> DataFrame:
+        """How long each snapped span is on each line pair of the plan: spans of one axis meet, cells are never paired."""
+        lines = edges.select("plan_id", F.col("i").alias(f"i{a}"), "lo", "hi")
+        both = snapped_cells.select("plan_id", f"{a}0", f"{a}1").distinct().join(lines, "plan_id").where((F.col("lo") < F.col(f"{a}1")) & (F.col("hi") > F.col(f"{a}0")))
+        return both.select("plan_id", f"{a}0", f"{a}1", f"i{a}", (F.least(f"{a}1", "hi") - F.greatest(f"{a}0", "lo")).alias(f"d{a}"))
+
+    met = snapped_cells.join(shared(x, "x"), ["plan_id", "x0", "x1"]).join(shared(y, "y"), ["plan_id", "y0", "y1"])
+    met = met.join(cells.select("plan_id", "ix", "iy", F.col("load").alias("had")), ["plan_id", "ix", "iy"]).where("had >= load")
+    held = met.groupBy("plan_id", "load").agg(F.sum(F.col("dx") * F.col("dy")).alias("held"))
     area = snapped_cells.groupBy("plan_id", "load").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
     over = F.col("area") - F.coalesce("held", F.lit(0.0))
     return area.join(held, ["plan_id", "load"], "left").where(over > tolerance).select("plan_id", "load", over.alias("outside"))

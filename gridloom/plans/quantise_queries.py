@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import quantise
+from gridloom.kernels.grid import Budget
+from gridloom.operators import grids, quantise
 from gridloom.plans import cover_sql as cs
 from gridloom.plans import fixtures as fx
 from gridloom.plans.catalog import query
@@ -170,3 +171,30 @@ def q14_nearest(spark, sf_dir):
 def q18_spacing(spark, sf_dir):
     e = _events(spark, sf_dir).select("plan_id", "axis", "idx", F.col("coord").alias("line"), (F.col("coord") - F.col("tol_minus")).alias("lower"), (F.col("coord") + F.col("tol_plus")).alias("upper"))
     return _rounded(quantise.spaced(e, WIDTH), moved=3)
+
+
+@query(
+    f"with recursive {cs.compact(fx.BOXES12)}, own as (select g.plan_id, g.load, sum((x.hi - x.lo) * (y.hi - y.lo)) as own from grid g join ex x on x.plan_id = g.plan_id and x.i = g.ix join ey y on y.plan_id = g.plan_id and y.i = g.iy group by g.plan_id, g.load) "
+    "select a.plan_id, a.load, cast(sum(b.own) as bigint) as area from own a join own b on b.plan_id = a.plan_id and b.load >= a.load group by a.plan_id, a.load"
+)
+def q20_allowed(spark, sf_dir):
+    c = Cover.of(spark, sf_dir)
+    return grids.allowed(c.loads, c.x, c.y)
+
+
+BUDGET = Budget(most=(10, None), most_cells=90, width=(250, None), scale=4.0)
+
+
+def _grid_lines(spark, sf_dir):
+    c = Cover.of(spark, sf_dir)
+    return grids.quantised_plans(_events(spark, sf_dir), c.loads, c.x, c.y, BUDGET)
+
+
+@query()
+def q22_locked_lines(spark, sf_dir):
+    return _rounded(_grid_lines(spark, sf_dir), line=3, cost=2, scale=6, worst=2).select("plan_id", "axis", "idx", "coord", "line", "locked_minus", "locked_plus", "problem")
+
+
+@query()
+def q23_quantised(spark, sf_dir):
+    return _rounded(grids.plans(_grid_lines(spark, sf_dir)), cost_x=2, cost_y=2, scale=6, worst=2)
