@@ -89,7 +89,7 @@ def quantised_plans(events: DataFrame, cells: DataFrame, x: DataFrame, y: DataFr
         made = stored(chosen(state, budget), "chosen")
         mine = cells.join(made.where("problem is null").select("plan_id").distinct(), "plan_id", "left_semi")
         moved = stored(quantise.snapped(mine, x, y, made), "snapped")
-        over = stored(quantise.order_violations(moved, mine, x, y, tolerance), "over")
+        over = stored(quantise.ground_gained(moved, mine, x, y, tolerance), "over")
         locks = stored(outward(sides, over, made), "locks")
         open_ = locks.select("plan_id", F.lit(True).alias("open")).distinct()
         now = made.join(over.groupBy("plan_id").agg(F.max("outside").alias("outside")), "plan_id", "left").join(open_, "plan_id", "left")

@@ -199,6 +199,18 @@ def snapped(cells: DataFrame, x: DataFrame, y: DataFrame, moves: DataFrame) -> D
 
 def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per plan and load, the area of snapped cells where the plan had a smaller load, if above the tolerance."""
+    span = lambda e, a: e.select("plan_id", F.col("i").alias(f"i{a}"), F.col("lo").alias(f"{a}lo"), F.col("hi").alias(f"{a}hi"))
+    old = cells.join(span(x, "x"), ["plan_id", "ix"]).join(span(y, "y"), ["plan_id", "iy"]).withColumnRenamed("load", "had")
+    shared = lambda a: F.least(f"{a}1", f"{a}hi") - F.greatest(f"{a}0", f"{a}lo")
+    met = snapped_cells.join(old, "plan_id").where((F.col("had") >= F.col("load")) & (shared("x") > 0) & (shared("y") > 0))
+    held = met.groupBy("plan_id", "load").agg(F.sum(shared("x") * shared("y")).alias("held"))
+    area = snapped_cells.groupBy("plan_id", "load").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    over = F.col("area") - F.coalesce("held", F.lit(0.0))
+    return area.join(held, ["plan_id", "load"], "left").where(over > tolerance).select("plan_id", "load", over.alias("outside"))
+
+
+def ground_gained(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """order_violations of snapped cells that are a stored table, which it reads four times."""
 
     def shared(edges: DataFrame, a: str) -> DataFrame:
         """How long each snapped span is on each line pair of the plan: spans of one axis meet, cells are never paired."""
