@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import spread
+
 
 def bounding_boxes(polygons: DataFrame) -> DataFrame:
     """x0, y0, x1, y1 of polygons (points: array of struct x, y)."""
@@ -125,14 +127,16 @@ def random_sizes(grids: DataFrame) -> DataFrame:
 def random_mask(grids: DataFrame) -> DataFrame:
     """The cells of random grids (plan_id, m, share, low, high, seed), each one with the chance share: plan_id, iy, ix, one.
 
-    Where none would be one, a cell chosen by the seed is."""
+    Where none would be one, a cell chosen by the seed is. A grid's row alone tells its cells, so only grids are dealt."""
     axis = F.sequence(F.lit(0), F.col("m").cast("int") - 1)
-    cells = _sound(grids).select("*", F.explode(axis).alias("iy")).select("*", F.explode(axis).alias("ix"))
-    cells = cells.withColumn("one", (_chance(F.col("seed"), F.col("iy"), F.col("ix")) < F.col("share")).cast("int"))
-    some = cells.groupBy("plan_id").agg(F.max("one").alias("some"))
+    one = lambda iy, ix: _chance(F.col("seed"), iy, ix) < F.col("share")
     pick = lambda name: F.floor(_chance(F.col("seed"), F.lit(name)) * F.col("m"))
-    given = (F.col("some") == 0) & (F.col("iy") == pick("row")) & (F.col("ix") == pick("column"))
-    return cells.join(some, "plan_id").select("plan_id", "iy", "ix", F.when(given, 1).otherwise(F.col("one")).alias("one"))
+    some = F.exists(axis, lambda iy: F.exists(axis, lambda ix: one(iy, ix)))
+    given = F.when(~some, F.struct(pick("row").alias("iy"), pick("column").alias("ix")))
+    dealt = spread(_sound(grids), "plan_id").withColumn("given", given)
+    cells = dealt.withColumn("iy", F.explode(axis)).withColumn("ix", F.explode(axis))
+    chosen = F.coalesce((F.col("iy") == F.col("given.iy")) & (F.col("ix") == F.col("given.ix")), F.lit(False))
+    return cells.select("plan_id", "iy", "ix", (one(F.col("iy"), F.col("ix")) | chosen).cast("int").alias("one"))
 
 
 def _sound(grids: DataFrame) -> DataFrame:

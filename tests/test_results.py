@@ -1,5 +1,7 @@
 """Edges of the operators on result rows, checks, mosaics, fields and made grids."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def test_flat_polygons(spark):
     deep = '{"type":"GeometryCollection","geometries":[{"type":"GeometryCollection"},{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]],[[2,2],[3,2],[3,3]]]}]}'
     got = rings.flat_polygons(spark.createDataFrame([(1, None), (2, ""), (3, deep), (4, "null")], "poly_id long, geometry string"))
     assert [(r.poly_id, r.pos, len(r.rings)) for r in got.collect()] == [(3, 0, 2)]
+
+
+def test_random_mask_of_one_row_alone(spark):
+    grids = spark.range(40).selectExpr("id as plan_id", "cast(1 + id % 5 as int) as m", "cast(id % 3 as double) / 10 as share", "0.5D as low", "2.0D as high", "id * 31 as seed")
+    mask = raster.random_mask(grids)
+    plan = mask._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    chance = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16) / 2**32
+    want = []
+    for g in grids.collect():
+        ones = {(y, x): int(chance(g.seed, y, x) < g.share) for y in range(g.m) for x in range(g.m)}
+        if not any(ones.values()):
+            ones[int(chance(g.seed, "row") * g.m), int(chance(g.seed, "column") * g.m)] = 1
+        want += [(g.plan_id, y, x, one) for (y, x), one in ones.items()]
+    assert rows(mask) == sorted(want)
