@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.kernels import partition as kernel
 from gridloom.operators import partition
+from gridloom.plans import partition_queries
 
 
 def every(ones, x, y, least, physical, zeros):
@@ -82,3 +83,16 @@ def test_problems_and_edges(spark):
     assert partition.partitions(cells.where("false"), sizes.where("false")).collect() == []
     empty = cells.where("plan_id = 3").withColumn("one", F.lit(None).cast("int"))
     assert [(r.n, r.area) for r in partition.partitions(empty, sizes.where("plan_id = 3")).collect()] == [(0, 0)]
+
+
+def test_masks_are_solved_once_and_without_loose_rectangles(spark, tmp_path):
+    spark.range(60).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    got = partition_queries.x23_swept(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and "Broadcast" not in plan
+    assert got.count() > 60
+    ones = np.zeros((4, 4), bool)
+    ones[1, 1] = ones[2, 3] = True
+    some = kernel.rectangles(ones, np.ones(4), np.ones(4), (0.0, 0.0), False, True)
+    assert [some[i][2] for i in kernel._tight(ones, some)] == [(1, 1, 2, 2), (1, 1, 4, 3), (3, 2, 4, 3)]
+    assert kernel.frontier(ones, some) == {1: (6.0, [k for k, r in enumerate(some) if r[2] == (1, 1, 4, 3)]), 2: (2.0, [k for k, r in enumerate(some) if r[2] in ((1, 1, 2, 2), (3, 2, 4, 3))])}
