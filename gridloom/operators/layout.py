@@ -1,7 +1,8 @@
 """Bars and zones: positions, phases, spacing, merging, depth, coverage and steel.
 
 Zones are (plan_id, zone_id, cls, x0, y0, x1, y1, step, hold, diameter); bars run along y at their x. Joins between bars
-have plan_id and a bin of x as keys, each bar standing in its own bin and the next, so close pairs always meet.
+have plan_id and a bin of x as keys, each bar standing in its own bin and the next, so close pairs always meet. They are merge joins by hint, for
+Spark takes bars for as few as the zones that they are made from.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def close_pairs(zones: DataFrame, gap: int) -> DataFrame:
     apart = F.abs(F.col("x") - F.col("x_"))
     inside = lambda x: (x >= F.greatest("x0", "x0_")) & (x <= F.least("x1", "x1_"))
     near = (F.col("zone_id") < F.col("zone_id_")) & (F.least("y1", "y1_") > F.greatest("y0", "y0_")) & (apart > 0) & (apart < gap)
-    met = bars.join(right, ["plan_id", "bin"]).where(near & inside(F.col("x")) & inside(F.col("x_")))
+    met = bars.join(right.hint("merge"), ["plan_id", "bin"]).where(near & inside(F.col("x")) & inside(F.col("x_")))
     best = F.min(F.struct(apart.alias("distance"), F.col("x").alias("xa"), F.col("x_").alias("xb"), F.greatest("y0", "y0_").alias("y0"), F.least("y1", "y1_").alias("y1"))).alias("k")
     return met.groupBy("plan_id", F.col("zone_id").alias("a"), F.col("zone_id_").alias("b")).agg(best).select("plan_id", "a", "b", "k.*")
 
@@ -109,8 +110,8 @@ def coincident_triples(zones: DataFrame) -> DataFrame:
     """Triples of zones that each have a bar at one place within the width they share, where all three run: plan_id, a, b, c, x, y0, y1."""
     bars = _standing(zones).where("x <= x1")  # a last bar may stand beyond its zone
     first, second, third = (bars.select("plan_id", "x", *(F.col(c).alias(f"{c}{k}") for c in ("zone_id", "y0", "y1"))) for k in (1, 2, 3))
-    pairs = first.join(second, ["plan_id", "x"]).where("zone_id1 < zone_id2 and least(y11, y12) > greatest(y01, y02)")
-    met = pairs.join(third, ["plan_id", "x"]).where("zone_id2 < zone_id3").withColumns({"y0": F.greatest("y01", "y02", "y03"), "y1": F.least("y11", "y12", "y13")})
+    pairs = first.join(second.hint("merge"), ["plan_id", "x"]).where("zone_id1 < zone_id2 and least(y11, y12) > greatest(y01, y02)")
+    met = pairs.join(third.hint("merge"), ["plan_id", "x"]).where("zone_id2 < zone_id3").withColumns({"y0": F.greatest("y01", "y02", "y03"), "y1": F.least("y11", "y12", "y13")})
     return met.where("y1 > y0").select("plan_id", F.col("zone_id1").alias("a"), F.col("zone_id2").alias("b"), F.col("zone_id3").alias("c"), "x", "y0", "y1")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.session import table
+from gridloom.session import spread, table
 
 
 def _boxes(per_plan: int, columns: int, rows: int, unit: int, where: str = "") -> str:
@@ -44,6 +44,11 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def dealt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A view dealt by plan: what is made of it by plan is made where its plan is, in all tasks, and does not move again."""
+    return spread(view(spark, sf_dir, sql), "plan_id")
+
+
 #: Parameters that the reference deals with by default.
 BACK = (18, 300)
 MAX_LAYERS, MIN_WIDTH, ANCHOR_FACTOR, STEEL = 2, 1000, 32, 7850

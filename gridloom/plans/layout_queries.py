@@ -106,7 +106,7 @@ def l18_phase(spark, sf_dir):
     "select * from p where distance < 60 qualify row_number() over (partition by plan_id, a, b order by distance, xa, xb) = 1"
 )
 def l20_close_pairs(spark, sf_dir):
-    return layout.close_pairs(_zones(spark, sf_dir), 60)
+    return layout.close_pairs(fx.dealt(spark, sf_dir, ZONES), 60)
 
 
 #: The same zones closer together, so that three of them share bars.
@@ -118,7 +118,7 @@ _DENSE = ZONES.replace(fx.BOXES12, fx.DENSE12)
     "join w c on c.plan_id = b.plan_id and c.x = b.x and b.zone_id < c.zone_id where least(a.y1, b.y1, c.y1) > greatest(a.y0, b.y0, c.y0) and a.x between greatest(a.x0, b.x0, c.x0) and least(a.x1, b.x1, c.x1)"
 )
 def l20_triples(spark, sf_dir):
-    return layout.coincident_triples(fx.view(spark, sf_dir, _DENSE))
+    return layout.coincident_triples(fx.dealt(spark, sf_dir, _DENSE))
 
 
 @query(
