@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, places
+from gridloom.session import spread
 
 
 #: Moves no longer than this are none.
@@ -116,7 +117,7 @@ def _by_axis(events: DataFrame, run: Callable[[Axis], dict], schema: str) -> Dat
         out.insert(1, "axis", group["axis"].iloc[0])
         return out
 
-    return events.groupBy("plan_id", "axis").applyInPandas(each, "plan_id long, axis string, " + schema)
+    return spread(events, "plan_id", "axis").groupBy("plan_id", "axis").applyInPandas(each, "plan_id long, axis string, " + schema)
 
 
 def segment_costs(events: DataFrame) -> DataFrame:
