@@ -28,7 +28,7 @@ def _drawings(spark, sf_dir):
     """One drawing a plan, with a face for each part: drawing_id, content."""
     corner = lambda x, y, i: F.concat(F.lit(f"{10 + i}\n"), (F.col(x) / 1000).cast("string"), F.lit(f"\n{20 + i}\n"), (F.col(y) / 1000).cast("string"), F.lit("\n"))
     face = F.concat(F.lit("0\n3DFACE\n8\nKLEENKA\n62\n"), F.expr("cast(cast(1 + load / 10 as int) as string)"), F.lit("\n"), *(corner(x, y, i) for i, (x, y) in enumerate((("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")))))
-    made = fx.view(spark, sf_dir, fx.BOXES12).groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("poly_id", face.alias("f")))), lambda s: s["f"]), "").alias("faces"))
+    made = fx.dealt(spark, sf_dir, fx.BOXES12).groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("poly_id", face.alias("f")))), lambda s: s["f"]), "").alias("faces"))
     scale = F.when(F.col("plan_id") % 4 == 0, F.lit(_scale().replace("62\n5\n", "62\n7\n"))).otherwise(F.lit(_scale()))
     text = F.concat(scale, F.col("faces"), F.lit("0\nENDSEC\n0\nEOF\n"))
     return made.select(F.col("plan_id").alias("drawing_id"), F.when(F.col("plan_id") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text).alias("content"))
@@ -52,14 +52,14 @@ _SOLUTION = f"with z as (select *, x0 + ceil((x1 - x0) / step) * step as right f
     "select plan_id as drawing_id, kind, layer, count(*) as n, cast(min(low) as double) as low, cast(max(high) as double) as high from e group by all"
 )
 def s07_overlaid(spark, sf_dir):
-    z = fx.view(spark, sf_dir, ZONES).withColumn("right", F.col("x0") + F.ceil((F.col("x1") - F.col("x0")) / F.col("step")) * F.col("step"))
+    z = fx.dealt(spark, sf_dir, ZONES).withColumn("right", F.col("x0") + F.ceil((F.col("x1") - F.col("x0")) / F.col("step")) * F.col("step"))
     told = z.select("plan_id", "zone_id", "cls", "diameter", "step", (F.col("right") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("length"), F.lit(None).cast("double").alias("mass"), F.lit(None).cast("double").alias("anchored_mass"))
-    z = z.join(payloads.zone_labels(told), ["plan_id", "zone_id"])
+    z = z.join(payloads.zone_labels(told).hint("merge"), ["plan_id", "zone_id"])
     rect = lambda y0, y1, x1="right": F.struct(*(F.col(c).cast("double").alias(n) if isinstance(c, str) else c.cast("double").alias(n) for c, n in (("x0", "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))))
     shaped = z.select(F.col("plan_id").alias("drawing_id"), F.count(F.lit(1)).over(Window.partitionBy("plan_id")).alias("n"), F.col("zone_id").alias("zone"), "cls", F.col("diameter").cast("double").alias("diameter"), F.col("step").cast("double").alias("step"), "label",
                       rect("y0", "y1", "x1").alias("primary"), rect("y0", "y1").alias("final"), rect(F.col("y0") - F.col("hold"), F.col("y1") + F.col("hold")).alias("anchored"))
-    bars = layout.positions(z).join(z.select("plan_id", "zone_id", "hold"), ["plan_id", "zone_id"])
-    pieces = layout.anchorage_pieces(bars.withColumns({"a0": F.col("y0") - F.col("hold"), "a1": F.col("y1") + F.col("hold")})).join(bars.select("plan_id", "zone_id", "bar", "x"), ["plan_id", "zone_id", "bar"])
+    bars = layout.positions(z).join(z.select("plan_id", "zone_id", "hold").hint("merge"), ["plan_id", "zone_id"])
+    pieces = layout.anchorage_pieces(bars.withColumns({"a0": F.col("y0") - F.col("hold"), "a1": F.col("y1") + F.col("hold")})).join(bars.select("plan_id", "zone_id", "bar", "x").hint("merge"), ["plan_id", "zone_id", "bar"])
     named = {"plan_id": "drawing_id", "zone_id": "zone"}
     header = "0\nSECTION\n2\nHEADER\n9\n$ACADVER\n1\nAC1027\n9\n$HANDSEED\n5\n2F\n0\nENDSEC\n"
     sources = _drawings(spark, sf_dir).withColumn("content", F.when(F.col("drawing_id") % 3 == 0, F.concat(F.lit(header), "content")).otherwise(F.col("content")))

@@ -74,8 +74,8 @@ def solution_entities(zones: DataFrame, bars: DataFrame, pieces: DataFrame) -> D
     whole = zones.select("drawing_id", "zone", F.explode(F.filter(F.array(*shapes, F.when(F.col("final").isNotNull(), label)), lambda e: e.isNotNull())).alias("e"))
     own = zones.select("drawing_id", "zone", "n", "cls")
     line = lambda kind, part, low, high: drawn(kind, part, F.array(point(F.col("x"), F.col(low)), point(F.col("x"), F.col(high))), None, F.col("bar"), ("BAR", F.col("bar")))
-    stands = bars.select("drawing_id", "zone", "bar", "x", "y0", "y1").join(own, ["drawing_id", "zone"]).select("drawing_id", "zone", line("BAR", 3, "y0", "y1").alias("e"))
-    beyond = pieces.select("drawing_id", "zone", "bar", "x", "low", "high").join(own, ["drawing_id", "zone"]).select("drawing_id", "zone", line("ANCH", 4, "low", "high").alias("e"))
+    stands = bars.select("drawing_id", "zone", "bar", "x", "y0", "y1").join(own.hint("merge"), ["drawing_id", "zone"]).select("drawing_id", "zone", line("BAR", 3, "y0", "y1").alias("e"))
+    beyond = pieces.select("drawing_id", "zone", "bar", "x", "low", "high").join(own.hint("merge"), ["drawing_id", "zone"]).select("drawing_id", "zone", line("ANCH", 4, "low", "high").alias("e"))
     return whole.unionByName(stands).unionByName(beyond).select("drawing_id", "zone", "e.*")
 
 
@@ -145,25 +145,27 @@ def overlaid(sources: DataFrame, entities: DataFrame) -> DataFrame:
     first = F.conv(F.nullif(F.regexp_extract("content", seed, 1), F.lit("")), 16, 10).cast("long")
     known = sources.select("drawing_id", "content", (version >= "AC1012").alias("modern"), F.coalesce(first, F.lit(1 << 32)).alias("seed"))
     order = Window.partitionBy("drawing_id").orderBy("zone", "part", F.col("bar").asc_nulls_first(), F.col("points")[0]["y"], F.col("points")[0]["x"])
-    placed = _heights(entities).withColumn("k", F.row_number().over(order)).join(known.select("drawing_id", "modern", "seed"), "drawing_id").withColumn("handle", F.col("seed") + F.col("k") - 1)
+    placed = _heights(entities).withColumn("k", F.row_number().over(order)).join(known.select("drawing_id", "modern", "seed").hint("merge"), "drawing_id").withColumn("handle", F.col("seed") + F.col("k") - 1)
     shown = placed.select("drawing_id", "k", "layer", "color", F.when(F.col("modern"), _drawn_text(True)).otherwise(_drawn_text(False)).alias("t"))
     sorted_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda e: e["t"]), "")
     drawn = shown.groupBy("drawing_id").agg(sorted_text.alias("drawn"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.struct("layer", "color"))).alias("layers"))
-    met = known.join(drawn, "drawing_id", "left")
+    met = known.join(drawn.hint("merge"), "drawing_id", "left")
     named = lambda kind, name, *more: F.concat(F.lit(f"0\n{kind}\n"), F.when(F.col("modern"), F.concat(F.lit("5\n"), F.hex("next"), F.lit(f"\n100\nAcDbSymbolTableRecord\n100\nAcDb{'LayerTableRecord' if kind == 'LAYER' else 'RegAppTableRecord'}\n"))).otherwise(F.lit("")), F.lit("2\n"), name, F.lit("\n70\n0\n"), *more)
     met = met.withColumn("layers", F.filter("layers", lambda e: ~F.contains(F.regexp_replace("content", r"[ \t]*\r?\n", "\n"), F.concat(F.lit("\n2\n"), e["layer"], F.lit("\n")))))
     handle = lambda i: F.hex(F.col("seed") + F.col("n") + i)
     layer = lambda e, i: F.concat(F.lit("0\nLAYER\n"), F.when(F.col("modern"), F.concat(F.lit("5\n"), handle(i), F.lit("\n100\nAcDbSymbolTableRecord\n100\nAcDbLayerTableRecord\n"))).otherwise(F.lit("")), F.lit("2\n"), e["layer"], F.lit("\n70\n0\n62\n"), e["color"].cast("string"), F.lit("\n6\nCONTINUOUS\n"))
     met = met.withColumn("next", F.col("seed") + F.col("n") + F.size("layers"))
     application = F.when(F.contains(F.regexp_replace("content", r"[ \t]*\r?\n", "\n"), F.lit(f"\n2\n{APPLICATION}\n")), "").otherwise(named("APPID", F.lit(APPLICATION)))
-    body, end = _split(F.col("content"), _section("ENTITIES"), _ends("ENDSEC"))
-    text = F.concat(body, F.col("drawn"), end)
-    met = met.withColumn("problem", F.when(F.coalesce(body, F.lit("")) == "", "entities"))
-    met = met.withColumn("full", text).withColumn("layer_text", F.array_join(F.transform("layers", layer), "")).withColumn("application", application)
-    met = met.withColumn("full", _with_table(F.col("full"), "LAYER", F.col("layer_text")))
+    body, end = _split(F.col("full"), _section("ENTITIES"), _ends("ENDSEC"))
+    known_body, _ = _split(F.col("content"), _section("ENTITIES"), _ends("ENDSEC"))
+    met = met.withColumn("problem", F.when(F.coalesce(known_body, F.lit("")) == "", "entities"))
+    met = met.withColumn("layer_text", F.array_join(F.transform("layers", layer), "")).withColumn("application", application)
+    met = met.withColumn("full", _with_table(F.col("content"), "LAYER", F.col("layer_text")))
     met = met.withColumn("full", _with_table(F.col("full"), "APPID", F.col("application")))
     moved, rest = _split(F.col("full"), rf"(?<=\n)[ \t]*\$HANDSEED{_EOL}[ \t]*5{_EOL}", r"[ \t]*[0-9A-Fa-f]+")
     met = met.withColumn("full", F.when(moved != "", F.concat(moved, F.hex(F.col("next") + 1), F.regexp_replace(rest, r"\A[ \t]*[0-9A-Fa-f]+", ""))).otherwise(F.col("full")))
+    met = met.withColumns({"body": body, "end": end})  # entities come last, so that nothing above is sought in their text
+    met = met.withColumn("full", F.concat("body", "drawn", "end"))
     out = F.when(F.col("problem").isNull(), F.when(F.col("drawn").isNull(), F.col("content")).otherwise(F.col("full")))
     return met.select("drawing_id", out.alias("content"), "problem")
 

@@ -25,13 +25,15 @@ def read_drawings(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
 def entities(drawings: DataFrame) -> DataFrame:
     """drawing_id, at, kind and pairs (array of code, value) of all that begins with code 0, in the order of the file."""
     lines = F.split(F.coalesce("content", F.lit("")), r"\r?\n")
-    paired = drawings.select("drawing_id", lines.alias("l")).where("size(l) >= 2")
+    paired = drawings.select("drawing_id", lines.alias("l"))
     each = F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1), lambda i: F.struct(F.trim(F.get("l", 2 * i)).try_cast("int").alias("code"), F.trim(F.get("l", 2 * i + 1)).alias("value")))
-    paired = paired.select("drawing_id", each.alias("p"))
+    paired = paired.select("drawing_id", F.when(F.size("l") >= 2, each).alias("p"))
     starts = F.filter(F.transform("p", lambda e, i: F.when(e["code"] == 0, i + 1)), lambda i: i.isNotNull())
     cut = paired.withColumn("s", starts)
     whole = F.transform("s", lambda s, i: F.slice("p", s, F.coalesce(F.get("s", i + 1), F.size("p") + 1) - s))
-    return cut.select("drawing_id", F.posexplode(whole).alias("at", "pairs")).select("drawing_id", "at", F.col("pairs")[0]["value"].alias("kind"), "pairs")
+    # no filter before the rows are made: it would go down to what made the text, and make each text again as often as it is named
+    each_one = cut.select("drawing_id", F.posexplode_outer(whole).alias("at", "pairs")).where("pairs is not null")
+    return each_one.select("drawing_id", "at", F.col("pairs")[0]["value"].alias("kind"), "pairs")
 
 
 def _value(code: int) -> Column:

@@ -1,5 +1,7 @@
 """Drawings at their edges, and one read from a file."""
 
+from pyspark.sql import functions as F
+
 from gridloom.sources import drawings
 
 
@@ -11,3 +13,13 @@ def test_edges(spark, tmp_path):
     assert drawings.load_polygons(made.limit(0)).count() == 0
     (tmp_path / "a.dxf").write_bytes(face.encode())
     assert drawings.load_polygons(drawings.read_drawings(spark, f"file://{tmp_path}/a.dxf")).count() == 1
+
+
+def test_texts_are_made_once(spark):
+    """Entities put no filter under what made the text, where it would make each text again."""
+    made = spark.createDataFrame([(1, "0\nLINE\n8\na\n"), (2, "x"), (3, None)], "drawing_id long, content string")
+    slow = made.select("drawing_id", F.regexp_replace("content", "(?s)(.*)", "$1").alias("content"))
+    got = drawings.entities(slow)
+    assert [(r.drawing_id, r.at, r.kind) for r in got.collect()] == [(1, 0, "LINE")]
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+    assert "Filter" not in below
