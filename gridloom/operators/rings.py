@@ -6,22 +6,34 @@ Repeated points are collinear with any neighbour. Null axes are an error of the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it: an expression named in a lambda is worked out again
+    for every element there, and nested ones multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _with_neighbours(ring: Column, keep) -> Column:
     """The points of a ring for which keep(previous, point, next) holds."""
-    n = F.size(ring)
-    at = lambda i: F.element_at(ring, (F.pmod(i, n) + 1).cast("int"))
-    marked = F.transform(ring, lambda p, i: F.struct(p.alias("p"), keep(at(i - 1), p, at(i + 1)).alias("kept")))
-    return F.transform(F.filter(marked, lambda m: m["kept"]), lambda m: m["p"])
+
+    def kept(ring: Column) -> Column:
+        n = F.size(ring)
+        at = lambda i: F.element_at(ring, (F.pmod(i, n) + 1).cast("int"))
+        marked = F.transform(ring, lambda p, i: F.struct(p.alias("p"), keep(at(i - 1), p, at(i + 1)).alias("kept")))
+        return F.transform(F.filter(marked, lambda m: m["kept"]), lambda m: m["p"])
+
+    return bound(ring, kept)
 
 
 def without_straight_points(ring: Column, tolerance: float = 1e-9) -> Column:
     """A ring without points at which it does not turn, by the cross product; rings of three points or fewer stay."""
     cross = lambda a, p, b: (p["x"] - a["x"]) * (b["y"] - p["y"]) - (p["y"] - a["y"]) * (b["x"] - p["x"])
-    return F.when(F.size(ring) <= 3, ring).otherwise(_with_neighbours(ring, lambda a, p, b: F.abs(cross(a, p, b)) > tolerance))
+    return bound(ring, lambda r: F.when(F.size(r) <= 3, r).otherwise(_with_neighbours(r, lambda a, p, b: F.abs(cross(a, p, b)) > tolerance)))
 
 
 def without_axis_points(ring: Column) -> Column:

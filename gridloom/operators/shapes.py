@@ -26,19 +26,26 @@ LEAST = 1e-9
 def clean_ring(ring: Column) -> Column:
     """A ring (array of struct x, y) without repeated points and without its closing point; null where it is no ring."""
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    broken = F.exists(ring, lambda p: F.coalesce(~(fine(p["x"]) & fine(p["y"])), F.lit(True)))
-    before = lambda i: F.get(ring, i - 1)
-    once = F.filter(ring, lambda p, i: (i == 0) | (p["x"] != before(i)["x"]) | (p["y"] != before(i)["y"]))
-    last = F.get(once, F.size(once) - 1)
-    open_ = F.when((F.size(once) > 1) & (last["x"] == F.get(once, F.lit(0))["x"]) & (last["y"] == F.get(once, F.lit(0))["y"]), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
-    return F.when(~broken & (F.size(F.array_distinct(open_)) >= 3), open_)
+    same = lambda p, q: (p["x"] == q["x"]) & (p["y"] == q["y"])
+
+    def opened(once: Column) -> Column:
+        last = F.get(once, F.size(once) - 1)
+        return F.when((F.size(once) > 1) & same(last, F.get(once, F.lit(0))), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
+
+    def clean(r: Column) -> Column:
+        broken = F.exists(r, lambda p: F.coalesce(~(fine(p["x"]) & fine(p["y"])), F.lit(True)))
+        once = F.filter(r, lambda p, i: (i == 0) | (p["x"] != F.get(r, i - 1)["x"]) | (p["y"] != F.get(r, i - 1)["y"]))
+        return F.when(~broken, flat.bound(flat.bound(once, opened), lambda o: F.when(F.size(F.array_distinct(o)) >= 3, o)))
+
+    return flat.bound(ring, clean)
 
 
 def clean_polygons(polygons: DataFrame) -> DataFrame:
     """Polygons (poly_id, rings: the outer one, then holes) as poly_id, rings with clean rings that turn at every point. Holes that
     are no rings go; a polygon whose outer ring is none goes."""
-    made = polygons.select("poly_id", F.transform("rings", lambda r: flat.without_axis_points(clean_ring(r))).alias("rings"))
-    return made.where(F.get("rings", F.lit(0)).isNotNull()).select("poly_id", F.filter("rings", lambda r: r.isNotNull() & (F.size(r) >= 3)).alias("rings"))
+    made = F.transform("rings", lambda r: flat.without_axis_points(clean_ring(r)))
+    whole = F.filter(F.array(made), lambda p: F.size(F.get(p, F.lit(0))) >= 3)  # exploded: a filter would make all rings again
+    return polygons.select("poly_id", F.explode(whole).alias("rings")).select("poly_id", F.filter("rings", lambda r: r.isNotNull() & (F.size(r) >= 3)).alias("rings"))
 
 
 def _edges(rings: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 from fractions import Fraction
 
-from gridloom.operators import shapes
+from gridloom.operators import rings, shapes
 from pyspark.sql import functions as F
 
 POINTS = "array<struct<x: double, y: double>>"
@@ -66,3 +66,17 @@ def test_edges(spark):
     assert shapes.boxes(plans.limit(0)).count() == 0
     whole = rings.select("poly_id", F.array("points", "points").alias("rings"))
     assert [(r.poly_id, len(r.rings)) for r in shapes.clean_polygons(whole).collect()] == [(7, 2)]
+
+
+def test_rings_are_worked_out_once():
+    """An expression named again in a lambda is worked out again there; clean polygons took so long that a table did not end."""
+    for f in (shapes.clean_ring, rings.without_axis_points, rings.without_straight_points, lambda c: rings.without_straight_points(rings.without_axis_points(shapes.clean_ring(c)))):
+        assert str(f(F.col("points"))).count("points") == 1
+
+
+def test_odd_rings_and_polygons(spark):
+    nan = float("nan")
+    box, line = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]
+    given = [(1, [box + box[:1], [(0.0, 0.0), (0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 1.0)]]), (2, [line, box]), (3, [box, line, None]), (4, [None, box]), (5, []), (6, None), (7, [[(0.0, nan), *box], box]), (8, [[(0.0, None), *box]]), (9, [[]]), (10, [[(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], box])]
+    got = shapes.clean_polygons(spark.createDataFrame(given, "poly_id long, rings array<array<struct<x: double, y: double>>>"))
+    assert {r.poly_id: [[tuple(p) for p in ring] for ring in r.rings] for r in got.collect()} == {1: [box, [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0)]], 3: [box]}
