@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Moves no longer than this are none.
+STILL = 1e-9
 #: Places that are priced at once.
 PLACES = 1024
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import candidates, classes, model, raster
 from gridloom.plans import fixtures as fx
-from gridloom.session import settled
+from gridloom.session import settled, stored
 
 
 @dataclass
@@ -43,6 +43,11 @@ class Cover:
     def y(self) -> DataFrame:
         return raster.compact_edges(self.boxes, self.raw, "y")
 
+    def kept(self) -> Cover:
+        """self with loads and edges as stored tables, for queries that read them many times."""
+        self.loads, self.x, self.y = stored(self.loads, "loads"), stored(self.x, "edges"), stored(self.y, "edges")
+        return self
+
     @cached_property
     def catalogue(self) -> tuple[DataFrame, DataFrame]:
         made = classes.build_classes(self.boxes.select("plan_id", "load").distinct(), self.stock, fx.BACK, self.layers_most)

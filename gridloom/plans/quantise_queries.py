@@ -28,8 +28,8 @@ events as (select s.plan_id, s.axis, row_number() over (partition by s.plan_id,
   case when coord in (a, z) then 0.0 else (z - a) * {SHIFT}::double * t_minus end as tol_minus, case when coord in (a, z) then 0.0 else (z - a) * {SHIFT}::double * t_plus end as tol_plus from summed s join ends e on e.plan_id = s.plan_id and e.axis = s.axis)"""
 
 
-def _events(spark, sf_dir):
-    c = Cover.of(spark, sf_dir)
+def _events(spark, sf_dir, c=None):
+    c = c or Cover.of(spark, sf_dir)
     return quantise.axis_events(c.loads, c.x, c.y, "x", SHIFT).unionByName(quantise.axis_events(c.loads, c.y, c.x, "y", SHIFT))
 
 
@@ -186,8 +186,8 @@ BUDGET = Budget(most=(10, None), most_cells=90, width=(250, None), scale=4.0)
 
 
 def _grid_lines(spark, sf_dir):
-    c = Cover.of(spark, sf_dir)
-    return grids.quantised_plans(_events(spark, sf_dir), c.loads, c.x, c.y, BUDGET)
+    c = Cover.of(spark, sf_dir).kept()
+    return grids.quantised_plans(_events(spark, sf_dir, c), c.loads, c.x, c.y, BUDGET)
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from test_queries import SF
 
 from gridloom.kernels.axes import Axis
-from gridloom.kernels.grid import Budget, decided, least_lines, numbers, stretched
+from gridloom.kernels.grid import Budget, decided, least_lines, numbers, stretched, widened
 from gridloom.operators import grids, quantise
 from gridloom.plans import quantise_queries as q
 from gridloom.plans.cover import Cover
@@ -173,3 +173,27 @@ def test_small_and_empty(spark):
     assert got[1]["problem"] is None and (got[1]["cells_x"], got[1]["cells_y"]) == (2, 1) and got[1]["passes"] <= 2
     none = grids.plans(grids.quantised_plans(events.where("false"), cells.where("false"), edge([0, 1]).where("false"), edge([0, 1]).where("false"), Budget()))
     assert none.count() == 0
+
+
+def test_plans_do_not_wait_for_each_other(spark):
+    """All passes of a plan are made in its own group: building the query runs no job, however many passes plans take."""
+    c = Cover.of(spark, SF)
+    events, cells, x, y = q._events(spark, SF), c.loads, c.x, c.y
+    spark.sparkContext.setJobGroup("grids", "building a query")
+    try:
+        grids.quantised_plans(events, cells, x, y, q.BUDGET)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("grids") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_looked_up_and_scaled():
+    rnd = random.Random(6)
+    for _ in range(60):
+        axis, scale = some_axis(rnd, rnd.randint(2, 8)), rnd.choice([1.0, 1.7, 4.0])
+        assert least_lines(axis, scale) == least_lines(stretched(axis, scale))
+        begins = np.array(sorted({0, *rnd.sample(range(axis.n), rnd.randint(1, axis.n))}))
+        width = rnd.choice([None, 1.0])
+        one, two = widened(axis, begins, width), widened(axis, begins, width, axis.table())
+        assert (one is None) == (two is None)
+        assert one is None or np.isinf(one.cost) or (one.cost == two.cost and (one.place == two.place).all())
