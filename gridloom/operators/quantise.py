@@ -10,7 +10,7 @@ to stretch_limits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,8 @@ from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, p
 from gridloom.session import spread
 
 
-#: Moves no longer than this are none.
-STILL = 1e-9
+#: Rows that a task gives at once.
+ROWS = 100_000
 
 
 def canonical(v: Column, eps: float) -> Column:
@@ -106,18 +106,37 @@ def minimum_lines(events: DataFrame) -> DataFrame:
 
 
 def _by_axis(events: DataFrame, run: Callable[[Axis], dict], schema: str) -> DataFrame:
-    """run over the lines of each plan and axis, with their limits if they have any; its columns with those two before them."""
+    """run over the lines of each plan and axis, with their limits if they have any; its columns with those two before them.
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        limit = group["limit"].fillna(len(group) - 1).to_numpy("int64") if "limit" in group else None
-        axis = Axis(*(group[c].to_numpy(float) for c in ("coord", "w_minus", "w_plus", "tol_minus", "tol_plus")), limit)
-        out = pd.DataFrame(run(axis))
-        out.insert(0, "plan_id", group["plan_id"].iloc[0])
-        out.insert(1, "axis", group["axis"].iloc[0])
-        return out
+    Axes come as arrays, many in a batch: a frame for each of them would take longer than most searches."""
+    columns = ["idx", "coord", "w_minus", "w_plus", "tol_minus", "tol_plus", *(["limit"] if "limit" in events.columns else [])]
+    rows = spread(events.select("plan_id", "axis", F.struct(*columns).alias("e")), "plan_id", "axis")
+    packed = rows.groupBy("plan_id", "axis").agg(F.array_sort(F.collect_list("e")).alias("e"))
 
-    return spread(events, "plan_id", "axis").groupBy("plan_id", "axis").applyInPandas(each, "plan_id long, axis string, " + schema)
+    def one(row: dict) -> dict[str, np.ndarray]:
+        limit = np.nan_to_num(np.asarray(row["limit"], float), nan=len(row["idx"]) - 1).astype("int64") if "limit" in row else None
+        got = run(Axis(*(np.asarray(row[c], float) for c in columns[1:6]), limit))
+        n = len(next(iter(got.values())))
+        return {c: np.full(n, v, object) if v is None or isinstance(v, str) else np.asarray(v) for c, v in ({"plan_id": [row["plan_id"]] * n, "axis": row["axis"]} | got).items()}
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held, size = [], 0
+            for row in batch.to_dict("records"):
+                held.append(one(row))
+                size += len(held[-1]["plan_id"])
+                if size >= ROWS:
+                    yield _joined(held)
+                    held, size = [], 0
+            if size:
+                yield _joined(held)
+
+    return packed.select("plan_id", "axis", *(F.col(f"e.{c}").alias(c) for c in columns)).mapInPandas(each, "plan_id long, axis string, " + schema)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    parts = [p for p in parts if len(p["plan_id"])]
+    return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
 
 def segment_costs(events: DataFrame) -> DataFrame:
@@ -211,7 +230,7 @@ def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y
 
 
 def ground_gained(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """order_violations of snapped cells that are a stored table, which it reads four times."""
+    """order_violations of snapped cells that are a stored table, which it reads four times: no two cells are paired."""
 
     def shared(edges: DataFrame, a: str) -> DataFrame:
         """How long each snapped span is on each line pair of the plan: spans of one axis meet, cells are never paired."""

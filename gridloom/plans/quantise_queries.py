@@ -10,6 +10,7 @@ from gridloom.plans import cover_sql as cs
 from gridloom.plans import fixtures as fx
 from gridloom.plans.catalog import query
 from gridloom.plans.cover import Cover
+from gridloom.session import stored
 
 #: Part of an axis's extent that a line may move by, and stretches asked for.
 SHIFT, LINES, WIDTH = 0.2, 6, 700
@@ -136,8 +137,9 @@ def q13_greedy_frontier(spark, sf_dir):
 
 
 def _snapped(spark, sf_dir):
-    c = Cover.of(spark, sf_dir)
-    return c, quantise.snapped(c.loads, c.x, c.y, quantise.quantised(_events(spark, sf_dir), LINES).where("problem is null"))
+    c = Cover.of(spark, sf_dir).kept()
+    moves = stored(quantise.quantised(_events(spark, sf_dir, c), LINES).where("problem is null"), "moves")  # read for each axis
+    return c, quantise.snapped(c.loads, c.x, c.y, moves)
 
 
 @query()
@@ -148,7 +150,7 @@ def q15_snapped(spark, sf_dir):
 @query()
 def q21_order_violations(spark, sf_dir):
     c, cells = _snapped(spark, sf_dir)
-    return _rounded(quantise.order_violations(cells, c.loads, c.x, c.y, 1e-6), outside=2)
+    return _rounded(quantise.ground_gained(stored(cells, "snapped"), c.loads, c.x, c.y, 1e-6), outside=2)
 
 
 @query(

@@ -197,3 +197,12 @@ def test_looked_up_and_scaled():
         one, two = widened(axis, begins, width), widened(axis, begins, width, axis.table())
         assert (one is None) == (two is None)
         assert one is None or np.isinf(one.cost) or (one.cost == two.cost and (one.place == two.place).all())
+
+
+def test_violations_by_spans_and_by_cells(spark):
+    """What a query tells by spans of each axis is what pairs of cells tell."""
+    c, cells = q._snapped(spark, SF)
+    want = {(r.plan_id, r.load): r.outside for r in quantise.order_violations(cells, c.loads, c.x, c.y, 1e-6).collect()}
+    got = q.q21_order_violations(spark, SF)
+    assert {(r.plan_id, r.load): r.outside for r in got.collect()} == {k: pytest.approx(v, abs=0.01) for k, v in want.items()} and want
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "python" not in plan.lower()  # lines are a table
