@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.raster import by_plan
+
 
 def bar_density(diameter: Column, step: Column) -> Column:
     """Steel of bars of a diameter at a step, to one decimal."""
@@ -29,11 +31,11 @@ def build_classes(loads: DataFrame, stock: DataFrame, back: tuple[int, int], mos
     A load takes the first variant, by value, length and combination, whose value is above it. The stock and its
     multisets are a fixed small table, the same for all plans."""
     base = bar_density(F.lit(back[0]), F.lit(back[1]))
-    variants = multisets(stock, most).select((F.col("value") + base).cast("decimal(10,1)").alias("value"), "len", "combo")
+    variants = F.broadcast(multisets(stock, most).select((F.col("value") + base).cast("decimal(10,1)").alias("value"), "len", "combo"))
     chosen = loads.join(variants, F.col("value") > F.col("load")).groupBy("plan_id", "load").agg(F.min(F.struct("value", "len", "combo")).alias("v"))
     kept = chosen.select("plan_id", F.explode(F.concat(F.array(F.col("v.combo"), F.expr("cast(array() as array<int>)")), F.transform("v.combo", lambda s: F.array(s)))).alias("combo")).distinct()
     rows = kept.join(variants, "combo").withColumn("cls", F.row_number().over(Window.partitionBy("plan_id").orderBy("value", "len", "combo")) - 1)
-    s = stock.select(F.array("stock_id").alias("combo"), "diameter", "step", bar_density(F.col("diameter"), F.col("step")).cast("double").alias("density"))
+    s = F.broadcast(stock.select(F.array("stock_id").alias("combo"), "diameter", "step", bar_density(F.col("diameter"), F.col("step")).cast("double").alias("density")))
     classes = rows.join(s, "combo", "left").select("plan_id", "cls", "combo", "len", F.col("value").cast("double").alias("value"), "density", "diameter", "step")
     load_classes = chosen.select("plan_id", "load", F.col("v.combo").alias("combo")).join(rows.select("plan_id", "combo", "cls"), ["plan_id", "combo"]).select("plan_id", "load", "cls")
     return classes, load_classes
@@ -60,7 +62,7 @@ def thresholds(layers: DataFrame) -> DataFrame:
 
 def loads_to_classes(cells: DataFrame, load_classes: DataFrame) -> DataFrame:
     """Cells with their class; load 0 and none are the background; a load that has no class is an error of that row."""
-    known = load_classes.select(F.col("plan_id").alias("p"), F.col("load").alias("l"), F.col("cls").alias("c"))
-    got = cells.join(known, (F.col("plan_id") == F.col("p")) & (F.col("load") == F.col("l")), "left")
+    known = by_plan(load_classes.where("load is not null"), "load", known="cls")
+    got = cells.join(known, "plan_id", "left").withColumn("c", F.try_element_at("known", F.col("load")))
     cls = F.when(F.coalesce("load", F.lit(0)) == 0, F.lit(0)).when(F.col("c").isNull(), F.raise_error(F.lit("a load has no class")).cast("int")).otherwise(F.col("c"))
     return got.select("plan_id", "iy", "ix", cls.alias("cls"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.raster import by_plan, looked_up
+
 
 def metrics(cands: DataFrame, x: DataFrame, y: DataFrame, classes: DataFrame, holds: DataFrame) -> DataFrame:
     """cands with base_area, area (longer by the hold at both ends along y, inside the grid), density and cost."""
-    origin = lambda e, s: e.groupBy("plan_id").agg(F.min("lo").alias(f"{s}_low"), F.max("hi").alias(f"{s}_high"))
-    at = lambda e, place, bound, name: e.select("plan_id", F.col("i").alias(place), F.col(bound).alias(name))
-    got = cands.join(at(x, "x0", "lo", "xl"), ["plan_id", "x0"]).join(at(x, "x1", "hi", "xh"), ["plan_id", "x1"])
-    got = got.join(at(y, "y0", "lo", "yl"), ["plan_id", "y0"]).join(at(y, "y1", "hi", "yh"), ["plan_id", "y1"]).join(origin(y, "y"), "plan_id")
-    got = got.join(classes.where("len = 1").select("plan_id", "cls", "density"), ["plan_id", "cls"]).join(holds, ["plan_id", "cls"])
+    got = cands.join(by_plan(x, "i", x_lo="lo", x_hi="hi"), "plan_id").join(by_plan(y, "i", y_lo="lo", y_hi="hi"), "plan_id")
+    got = got.join(by_plan(classes.where("len = 1"), "cls", densities="density"), "plan_id").join(by_plan(holds, "cls", held="hold"), "plan_id")
+    got = got.withColumns({"y_low": F.array_min(F.map_values("y_lo")), "y_high": F.array_max(F.map_values("y_hi"))})
+    at = lambda m, place: F.try_element_at(m, F.col(place))
+    got = looked_up(got, xl=at("x_lo", "x0"), xh=at("x_hi", "x1"), yl=at("y_lo", "y0"), yh=at("y_hi", "y1"), density=at("densities", "cls"), hold=at("held", "cls"))
     width = F.col("xh") - F.col("xl")
     long = F.least(F.col("y_high"), F.col("yh") + F.col("hold")) - F.greatest(F.col("y_low"), F.col("yl") - F.col("hold"))
     out = got.select(*cands.columns, (width * (F.col("yh") - F.col("yl"))).alias("base_area"), (width * long).alias("area"), "hold", "density")
@@ -21,7 +23,9 @@ def metrics(cands: DataFrame, x: DataFrame, y: DataFrame, classes: DataFrame, ho
 
 def cover_rows(cells: DataFrame, needs: DataFrame) -> DataFrame:
     """What every cell with a class needs: plan_id, row_id, iy, ix, threshold, need."""
-    rows = cells.where("cls > 0").join(needs, ["plan_id", "cls"]).select("plan_id", "iy", "ix", "threshold", "need")
+    wants = needs.groupBy("plan_id", "cls").agg(F.collect_list(F.struct("threshold", "need")).alias("wants"))
+    rows = cells.where("cls > 0").join(by_plan(wants, "cls", by_class="wants"), "plan_id")
+    rows = rows.select("plan_id", "iy", "ix", F.inline(F.try_element_at("by_class", F.col("cls"))))
     order = Window.partitionBy("plan_id").orderBy("iy", "ix", "threshold")
     return rows.withColumn("row_id", (F.row_number().over(order) - 1).cast("long"))
 
@@ -72,11 +76,13 @@ def objective_scale(priced: DataFrame) -> DataFrame:
     return priced.where("cost > 0").groupBy("plan_id").agg(F.round(F.percentile("cost", 0.5), 4).alias("scale"))
 
 
-def best_single(priced: DataFrame, rows: DataFrame, covers: DataFrame) -> DataFrame:
-    """For each plan the cheapest candidate that covers all its rows alone, null where none does."""
-    wanted = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    full = covers.where("need = 1").groupBy("plan_id", "cand_id").agg(F.count(F.lit(1)).alias("n")).join(wanted, "plan_id").where("n = n_rows")
-    best = priced.join(full.select("plan_id", "cand_id"), ["plan_id", "cand_id"], "left_semi").groupBy("plan_id").agg(F.min(F.struct("cost", "cand_id")).alias("best"))
+def best_single(priced: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each plan the cheapest candidate that covers all its rows alone, null where none does: one that holds the hull of their
+    cells and whose class is the highest threshold or more, where no row needs two."""
+    hull = [F.min("ix").alias("left"), F.max("ix").alias("right"), F.min("iy").alias("first"), F.max("iy").alias("last"), F.max("threshold").alias("highest"), F.max("need").alias("most")]
+    wanted = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_rows"), *hull)
+    full = priced.join(wanted, "plan_id").where("most = 1 and x0 <= left and x1 >= right and y0 <= first and y1 >= last and cls >= highest")
+    best = full.groupBy("plan_id").agg(F.min(F.struct("cost", "cand_id")).alias("best"))
     return wanted.join(best, "plan_id", "left").select("plan_id", "n_rows", F.col("best").isNotNull().alias("feasible"), F.col("best.cand_id").alias("cand_id"), F.col("best.cost").alias("cost"))
 
 

@@ -27,7 +27,7 @@ def ring_area(points: Column) -> Column:
 
 def axis_lines(boxes: DataFrame, axis: str) -> DataFrame:
     """Distinct coordinates of one axis: plan_id, i, lo, hi (null after the last)."""
-    lines = boxes.select("plan_id", F.col(f"{axis}0").alias("lo")).unionByName(boxes.select("plan_id", F.col(f"{axis}1").alias("lo"))).distinct()
+    lines = boxes.select("plan_id", F.explode(F.array(f"{axis}0", f"{axis}1")).alias("lo")).distinct()
     w = Window.partitionBy("plan_id").orderBy("lo")
     return lines.select("plan_id", (F.row_number().over(w) - 1).cast("long").alias("i"), "lo", F.lead("lo").over(w).alias("hi"))
 
@@ -50,9 +50,9 @@ def kept_lines(cells: DataFrame, axis: str) -> DataFrame:
     along, across = ("ix", "iy") if axis == "x" else ("iy", "ix")
     w = Window.partitionBy("plan_id", across).orderBy(along)
     rows = cells.select("plan_id", along, "load", F.lag("load").over(w).alias("before"), F.lead(along).over(w).isNull().alias("last"))
-    inner = rows.where(~F.col("load").eqNullSafe(F.col("before"))).select("plan_id", F.col(along).alias("line"))
-    outer = rows.where("last and load is not null").select("plan_id", (F.col(along) + 1).alias("line"))
-    lines = inner.unionByName(outer).distinct()
+    inner = F.when(~F.col("load").eqNullSafe(F.col("before")), F.col(along))
+    outer = F.when(F.col("last") & F.col("load").isNotNull(), F.col(along) + 1)
+    lines = rows.select("plan_id", F.explode(F.array(inner, outer)).alias("line")).where("line is not null").distinct()
     return lines.withColumn("k", (F.row_number().over(Window.partitionBy("plan_id").orderBy("line")) - 1).cast("long"))
 
 
@@ -60,15 +60,16 @@ def compacted(cells: DataFrame) -> DataFrame:
     """Cells between kept lines only, uncovered ones with load 0."""
     last = Window.partitionBy("plan_id")
     take = lambda axis: kept_lines(cells, axis).withColumn("top", F.max("k").over(last)).where("k < top").select("plan_id", F.col("line").alias(f"i{axis}"), F.col("k").alias(f"k{axis}"))
-    got = cells.join(take("x"), ["plan_id", "ix"]).join(take("y"), ["plan_id", "iy"])
+    got = cells.join(by_plan(take("x"), "ix", xs="kx"), "plan_id").join(by_plan(take("y"), "iy", ys="ky"), "plan_id")
+    got = looked_up(got, kx=F.try_element_at("xs", F.col("ix")), ky=F.try_element_at("ys", F.col("iy")))
     return got.select("plan_id", F.col("ky").alias("iy"), F.col("kx").alias("ix"), F.coalesce("load", F.lit(0)).alias("load"))
 
 
 def compact_edges(boxes: DataFrame, cells: DataFrame, axis: str) -> DataFrame:
     """Kept lines of one axis as edges: plan_id, i, lo, hi."""
-    at = axis_lines(boxes, axis).select("plan_id", F.col("i").alias("line"), "lo")
     w = Window.partitionBy("plan_id").orderBy("k")
-    return kept_lines(cells, axis).join(at, ["plan_id", "line"]).select("plan_id", F.col("k").alias("i"), "lo", F.lead("lo").over(w).alias("hi")).where("hi is not null")
+    lines = kept_lines(cells, axis).join(by_plan(axis_lines(boxes, axis), "i", places="lo"), "plan_id")
+    return looked_up(lines, lo=F.try_element_at("places", F.col("line"))).select("plan_id", F.col("k").alias("i"), "lo", F.lead("lo").over(w).alias("hi")).where("hi is not null")
 
 
 def load_matrix(boxes: DataFrame) -> DataFrame:
@@ -91,11 +92,25 @@ def oriented(cells: DataFrame, axis: Column) -> DataFrame:
     return cells.select("plan_id", F.when(swap, F.col("ix")).otherwise(F.col("iy")).alias("iy"), F.when(swap, F.col("iy")).otherwise(F.col("ix")).alias("ix"), "load")
 
 
+def by_plan(rows: DataFrame, key: str, **maps: str) -> DataFrame:
+    """A plan's rows as maps from key to a column each, so that rows of the plan find them where they stand, without moving by key."""
+    entries = {name: F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(c)))).alias(name) for name, c in maps.items()}
+    return rows.groupBy("plan_id").agg(*entries.values())
+
+
+def looked_up(rows: DataFrame, **found: Column) -> DataFrame:
+    """rows with what was found for them; those for which something was not are left out."""
+    out = rows.withColumns(found)
+    for name in found:
+        out = out.where(F.col(name).isNotNull())
+    return out
+
+
 def to_world(rects: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     """rects (plan_id, x0, y0, x1, y1 as inclusive cell places, and more) with wx0, wy0, wx1, wy1."""
-    out = rects
-    for side, edges, place, bound in (("wx0", x, "x0", "lo"), ("wy0", y, "y0", "lo"), ("wx1", x, "x1", "hi"), ("wy1", y, "y1", "hi")):
-        out = out.join(edges.select("plan_id", F.col("i").alias(place), F.col(bound).alias(side)), ["plan_id", place])
+    out = rects.join(by_plan(x, "i", x_lo="lo", x_hi="hi"), "plan_id").join(by_plan(y, "i", y_lo="lo", y_hi="hi"), "plan_id")
+    at = lambda lines, place: F.try_element_at(lines, F.col(place).cast("long"))
+    out = looked_up(out, wx0=at("x_lo", "x0"), wy0=at("y_lo", "y0"), wx1=at("x_hi", "x1"), wy1=at("y_hi", "y1"))
     return out.select(*rects.columns, "wx0", "wy0", "wx1", "wy1")
 
 

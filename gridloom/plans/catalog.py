@@ -121,7 +121,7 @@ def g12_orient(spark, sf_dir):
 )
 def g14_world_rectangles(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return raster.to_world(c.candidates, c.x, c.y).select("plan_id", "cand_id", "wx0", "wy0", "wx1", "wy1")
+    return raster.to_world(c.listed, c.x, c.y).select("plan_id", "cand_id", "wx0", "wy0", "wx1", "wy1")
 
 
 @query(f"with stock as ({fx.STOCK}) select stock_id, diameter, step, round(10 * power(diameter / 2.0, 2) * pi() / step, 1) as density from stock")
@@ -164,7 +164,7 @@ def r02_rectangles(spark, sf_dir):
 
 @query(f"with {cs.rectangles(fx.BOXES12)} select plan_id, cand_id, x0, y0, x1, y1, cls from cand")
 def r02_candidates(spark, sf_dir):
-    return _c(spark, sf_dir).candidates.select("plan_id", "cand_id", "x0", "y0", "x1", "y1", "cls")
+    return _c(spark, sf_dir).listed.select("plan_id", "cand_id", "x0", "y0", "x1", "y1", "cls")
 
 
 @query(
@@ -178,7 +178,7 @@ def r04_consecutive_subsets(spark, sf_dir):
 
 @query(f"with {cs.model(fx.BOXES12)} select plan_id, cand_id, base_area, area, hold, density, cost from priced")
 def p01_metrics(spark, sf_dir):
-    return _c(spark, sf_dir).priced.select("plan_id", "cand_id", "base_area", "area", "hold", "density", "cost")
+    return _c(spark, sf_dir).valued.select("plan_id", "cand_id", "base_area", "area", "hold", "density", "cost")
 
 
 @query(f"with {cs.model(fx.BOXES12)} select plan_id, row_id, iy, ix, threshold, need from need_row")
@@ -193,7 +193,7 @@ def p03_incidence(spark, sf_dir):
 
 @query(f"with {cs.model(fx.BOXES12)} select plan_id, round(quantile_cont(cost, 0.5), 4) as scale from priced where cost > 0 group by plan_id")
 def p06_objective_scale(spark, sf_dir):
-    return model.objective_scale(_c(spark, sf_dir).priced)
+    return model.objective_scale(_c(spark, sf_dir).valued)
 
 
 _DOMINANCE = """, sig as (select p.plan_id, p.cand_id, p.cost, b.ub, (select coalesce(string_agg(row_id, ',' order by row_id), '') from cov v where v.plan_id = p.plan_id and v.cand_id = p.cand_id) as s
@@ -221,7 +221,7 @@ def p08_row_capacity(spark, sf_dir):
 @query(f"with {cs.model(fx.BOXES12)} select * from single")
 def x02_best_n1(spark, sf_dir):
     c = _c(spark, sf_dir)
-    return model.best_single(c.priced, c.rows, c.covers)
+    return model.best_single(c.valued, c.rows)
 
 
 _PAIR = """, pair as (

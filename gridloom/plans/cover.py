@@ -9,13 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import candidates, classes, model, raster
 from gridloom.plans import fixtures as fx
-from gridloom.session import settled, stored
+from gridloom.session import held, settled, stored
+
+
+#: How many boxes a task gets at most, about: some hundred times as many candidates are sorted at once.
+EACH = 6000
 
 
 @dataclass
 class Cover:
-    """Every table of the chain, made when first asked for; those that several others build on are kept, and cells, candidates,
-    prices and rows are checkpoints, so that no plan repeats the chain before them."""
+    """Every table of the chain, made when first asked for. Boxes are dealt by plan, and all that is made of them stays where its
+    plan is. Those tables that several others build on are kept; candidates and prices are checkpoints, so that no plan repeats
+    the chain before them. Queries that read them once take listed and valued, the same rows as they are made."""
 
     boxes: DataFrame
     stock: DataFrame
@@ -25,11 +30,11 @@ class Cover:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, boxes: str = fx.BOXES12, **how) -> Cover:
-        return cls(fx.view(spark, sf_dir, boxes), fx.view(spark, sf_dir, fx.STOCK), **how)
+        return cls(fx.dealt(spark, sf_dir, boxes, EACH), fx.view(spark, sf_dir, fx.STOCK), **how)
 
     @cached_property
     def raw(self) -> DataFrame:
-        return raster.rasterised(self.boxes).persist()
+        return held(raster.rasterised(self.boxes))
 
     @cached_property
     def loads(self) -> DataFrame:
@@ -37,11 +42,11 @@ class Cover:
 
     @cached_property
     def x(self) -> DataFrame:
-        return raster.compact_edges(self.boxes, self.raw, "x")
+        return held(raster.compact_edges(self.boxes, self.raw, "x"))
 
     @cached_property
     def y(self) -> DataFrame:
-        return raster.compact_edges(self.boxes, self.raw, "y")
+        return held(raster.compact_edges(self.boxes, self.raw, "y"))
 
     def kept(self) -> Cover:
         """self with loads and edges as stored tables, for queries that read them many times."""
@@ -63,15 +68,23 @@ class Cover:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return settled(classes.loads_to_classes(self.loads, self.catalogue[1]))
+        return held(classes.loads_to_classes(self.loads, self.catalogue[1]))
 
     @cached_property
     def rectangles(self) -> DataFrame:
         return candidates.all_rectangles(self.cells, self.x, self.y, self.holds, self.min_width)
 
+    @cached_property
+    def listed(self) -> DataFrame:
+        return candidates.expanded(self.rectangles, self.layers)
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return settled(candidates.expanded(self.rectangles, self.layers))
+        return settled(self.listed)
+
+    @cached_property
+    def valued(self) -> DataFrame:
+        return model.metrics(self.listed, self.x, self.y, self.catalogue[0], self.holds)
 
     @cached_property
     def priced(self) -> DataFrame:
@@ -79,7 +92,7 @@ class Cover:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return settled(model.cover_rows(self.cells, classes.thresholds(self.layers)))
+        return held(model.cover_rows(self.cells, classes.thresholds(self.layers)))
 
     @cached_property
     def covers(self) -> DataFrame:

@@ -44,9 +44,10 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def dealt(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view dealt by plan: what is made of it by plan is made where its plan is, in all tasks, and does not move again."""
-    return spread(view(spark, sf_dir, sql), "plan_id")
+def dealt(spark: SparkSession, sf_dir: str, sql: str, each: int | None = None) -> DataFrame:
+    """A view dealt by plan: what is made of it by plan is made where its plan is, in all tasks, and does not move again. each:
+    how many rows a task gets at most, about."""
+    return spread(view(spark, sf_dir, sql), "plan_id", each=each)
 
 
 #: Parameters that the reference deals with by default.

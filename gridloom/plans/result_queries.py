@@ -10,6 +10,7 @@ from gridloom.plans import fixtures as fx
 from gridloom.plans.catalog import query
 from gridloom.plans.cover import Cover
 from gridloom.plans.layout_queries import ZONES
+from gridloom.session import held
 
 #: What solvers left of each order: flags and sources, many of them left out.
 RESULTS = """select o_orderkey as job_id, case o_orderkey % 4 when 0 then true when 1 then false when 2 then true end as is_feasible, o_orderkey % 8 = 0 as is_optimal, o_orderkey % 12 = 1 as infeasibility_proved, o_orderkey % 10 = 4 as cache_hit,
@@ -71,9 +72,11 @@ checked as (select w.plan_id, cast(w.n as bigint) as n, i.in_bounds, w.plan_id %
 
 def _checked(spark, sf_dir):
     c = Cover.of(spark, sf_dir)
-    stored = c.candidates.where(_TAKEN).selectExpr("plan_id", "cand_id", f"{_COPIES} as copies")
+    taken = held(c.listed.where(_TAKEN))
+    covers = model.incidence(taken, c.rows)
+    stored = taken.selectExpr("plan_id", "cand_id", f"{_COPIES} as copies")
     asked = stored.groupBy("plan_id").agg(F.sum("copies").alias("n")).withColumn("n", F.expr("n + plan_id % 2"))
-    return model.checked_counts(c.rows, c.covers, c.bounds, stored, asked)
+    return model.checked_counts(c.rows, covers, model.upper_bounds(taken, covers), stored, asked)
 
 
 @query(f"with {cs.model(fx.BOXES12)} select plan_id, cand_id, ub from bound")

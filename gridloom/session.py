@@ -48,10 +48,17 @@ def stored(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, each: int | None = None) -> DataFrame:
     """df dealt by keys to as many tasks as the session shuffles to: few rows that take long each are not gathered in one task, as
-    they would be by their size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    they would be by their size. each: to more of them where a task would get more rows than that."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-df.count() // each)) if each else tasks, *keys)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df kept by Spark and made at once, so that plans built on it know by what its rows are dealt and do not move them again."""
+    df.persist().count()
+    return df
 
 
 def dropped(spark: SparkSession, paths: list[str]) -> None:
