@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import groups
-from gridloom.session import settled
+from gridloom.session import held
 
 
 def _place(y: str, x: str) -> Column:
@@ -38,16 +38,26 @@ def mosaic(cells: DataFrame, rects: DataFrame) -> DataFrame:
     return out.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), F.coalesce("root", "place").alias("label"))
 
 
-def _together(cells: DataFrame, rects: DataFrame, side: str) -> DataFrame:
-    """Neighbours to the right (side x) or above (side y) that agree and that no rectangle's side separates: plan_id, a, b.
+def _changes(rects: DataFrame) -> DataFrame:
+    """Where sides of rectangles start and end on each line: plan_id, side, line, at, change, in one pass over the rectangles.
 
     Each side of a rectangle is a rise at its start and a fall after its end, so work follows the number of rectangles, not
-    their perimeters; the running sum at a cell tells how many sides lie between it and the next one."""
+    their perimeters. Repeated rectangles raise the sums, but none to or from 0."""
+    end = lambda side, line, at, change: F.struct(F.lit(side).alias("side"), line.alias("line"), at.alias("at"), F.lit(change).alias("change"))
+    ends = [
+        end(side, line, at, change)
+        for side, low, high, start, stop in (("x", "x0", "x1", "y0", "y1"), ("y", "y0", "y1", "x0", "x1"))
+        for line in (F.col(low) - 1, F.col(high))
+        for at, change in ((F.col(start), 1), (F.col(stop) + 1, -1))
+    ]
+    return rects.select("plan_id", F.inline(F.array(*ends))).groupBy("plan_id", "side", "line", "at").agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def _together(cells: DataFrame, changes: DataFrame, side: str) -> DataFrame:
+    """Neighbours to the right (side x) or above (side y) that agree and that no rectangle's side separates: plan_id, a, b. The
+    running sum of changes at a cell tells how many sides lie between it and the next one."""
     line, at = ("ix", "iy") if side == "x" else ("iy", "ix")
-    low, high, start, end = ("x0", "x1", "y0", "y1") if side == "x" else ("y0", "y1", "x0", "x1")
-    lines = rects.select("plan_id", F.explode(F.array(F.col(low) - 1, F.col(high))).alias("line"), F.col(start).alias("s"), F.col(end).alias("e"))
-    ends = lines.select("plan_id", "line", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("change")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("change")))))
-    changes = ends.groupBy("plan_id", "line", "at").agg(F.sum("change").alias("change"))
+    changes = changes.where(F.col("side") == side).drop("side")
     follows = Window.partitionBy("plan_id", "at").orderBy("line")
     here = cells.select("plan_id", F.col(line).alias("line"), F.col(at).alias("at"), "label", "profile", _place("iy", "ix").alias("a"))
     same = F.lead("label").over(follows).eqNullSafe(F.col("label")) & F.lead("profile").over(follows).eqNullSafe(F.col("profile"))
@@ -62,9 +72,9 @@ def refined(cells: DataFrame, rects: DataFrame) -> DataFrame:
 
     A unit is connected, has one label and one profile, and no rectangle (plan_id, x0, y0, x1, y1) holds only a part of it, so
     one row can stand for all of its cells. Units count from 0 in the order of their first cell (least iy, then ix), the root."""
-    cells = settled(cells.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), "label", "profile").dropDuplicates(["plan_id", "iy", "ix"]))
-    rects = settled(rects.select("plan_id", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1"))).distinct())
-    roots = groups.connected(_together(cells, rects, "x").unionByName(_together(cells, rects, "y"))).withColumnRenamed("node", "place")
+    cells = held(cells.select("plan_id", F.col("iy").cast("long").alias("iy"), F.col("ix").cast("long").alias("ix"), "label", "profile").dropDuplicates(["plan_id", "iy", "ix"]))
+    changes = held(_changes(rects.select("plan_id", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")))))
+    roots = groups.connected(_together(cells, changes, "x").unionByName(_together(cells, changes, "y"))).withColumnRenamed("node", "place")
     placed = cells.withColumn("place", _place("iy", "ix")).join(roots, ["plan_id", "place"], "left").withColumn("root", F.coalesce("root", "place"))
     numbers = placed.select("plan_id", "root").distinct().withColumn("unit", (F.row_number().over(Window.partitionBy("plan_id").orderBy("root")) - 1).cast("long"))
     return placed.join(numbers, ["plan_id", "root"]).select("plan_id", "iy", "ix", "label", "profile", "unit", "root")

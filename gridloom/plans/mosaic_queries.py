@@ -15,14 +15,14 @@ from gridloom.plans.cover import Cover
 _LABEL = "cast(floor(ix / 4) as bigint)"
 
 
-def _units(c: Cover) -> DataFrame:
+def _units(c: Cover, cands: DataFrame) -> DataFrame:
     cells = c.cells.where("cls > 0").select("plan_id", "iy", "ix", F.expr(_LABEL).alias("label"), F.col("cls").alias("profile"))
-    return mosaic.refined(cells, c.candidates)
+    return mosaic.refined(cells, cands)
 
 
 def _rows(c: Cover) -> DataFrame:
     """What every unit needs, in place of what every cell does."""
-    cells = mosaic.unit_rows(_units(c)).select("plan_id", "iy", "ix", F.col("profile").alias("cls"))
+    cells = mosaic.unit_rows(_units(c, c.candidates)).select("plan_id", "iy", "ix", F.col("profile").alias("cls"))
     return model.cover_rows(cells, classes.thresholds(c.layers))
 
 
@@ -45,12 +45,14 @@ ucov as (select c.plan_id, c.cand_id, r.row_id from cand c join unit_row r on r.
 
 @query(_units_sql(fx.BOXES12) + "select plan_id, iy, ix, unit from unit")
 def m03_units(spark, sf_dir):
-    return _units(Cover.of(spark, sf_dir, fx.BOXES12)).select("plan_id", "iy", "ix", "unit")
+    c = Cover.of(spark, sf_dir, fx.BOXES12)
+    return _units(c, c.listed).select("plan_id", "iy", "ix", "unit")
 
 
 @query(_units_sql(fx.BOXES12) + "select plan_id, unit, cast(floor(root / 1048576) as bigint) as iy, root % 1048576 as ix, label, cls as profile, count(*) as size from unit group by all")
 def m03_unit_rows(spark, sf_dir):
-    return mosaic.unit_rows(_units(Cover.of(spark, sf_dir, fx.BOXES12)))
+    c = Cover.of(spark, sf_dir, fx.BOXES12)
+    return mosaic.unit_rows(_units(c, c.listed))
 
 
 @query(_units_sql(fx.ALL6) + "select plan_id, row_id, string_agg(cand_id, ',' order by cand_id) as cand_ids, count(*) as n from ucov group by plan_id, row_id")
