@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import spread
+
 
 def running_best(events: DataFrame) -> DataFrame:
     """Incumbent events that are cheaper than every one before them in their task, numbered."""
@@ -148,8 +150,10 @@ def planned_order(requests: DataFrame) -> DataFrame:
     """The order in which each request (task_id, start, stop, step) tries its numbers: multiples of step and the stop,
     then the middles of the gaps, breadth first: task_id, pos, n.
 
-    Each number's depth is how often its gap is halved until it is the middle, so no table of gaps grows by rounds."""
-    rows = requests.select("task_id", "start", "stop", "step", F.explode(F.sequence("start", "stop")).alias("n"))
+    Each number's depth is how often its gap is halved until it is the middle, so no table of gaps grows by rounds. Requests are
+    dealt before they become numbers: a file of few requests is read by one task, and numbers would all be made there."""
+    dealt = spread(requests.select("task_id", "start", "stop", "step"), "task_id", each=20_000)
+    rows = dealt.select("task_id", "start", "stop", "step", F.explode(F.sequence("start", "stop")).alias("n"))
     low, high = F.expr("greatest(div(n - 1, step) * step, start - 1)"), F.expr("least(div(n + step - 1, step) * step, stop)")
     low = F.when(F.expr("div(n - 1, step) * step >= start"), low).otherwise(F.col("start") - 1)
     gap = F.struct(low.cast("long").alias("l"), high.cast("long").alias("r"), F.lit(0).alias("depth"))

@@ -57,3 +57,9 @@ def test_repeated_rectangles_separate_as_one(spark):
     rects = [(1, 0, 0, 0, 2), (1, 1, 0, 2, 2)]
     once, twice = (sorted(map(tuple, mosaic.refined(cells, spark.createDataFrame(r, "plan_id long, x0 long, y0 long, x1 long, y1 long")).collect())) for r in (rects, rects * 3))
     assert once == twice and len({r[5] for r in once}) == 2
+
+
+def test_requests_are_dealt_before_their_numbers(spark):
+    """One exchange, of requests, below the place where numbers are made."""
+    plan = catalog.queries()["t22_order"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
