@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.kernels import cover
-from gridloom.session import spread
+from gridloom.operators.searches import by_plan
 
 _SOLUTION = "plan_id long, n int, status string, cost double, zones array<long>"
 
@@ -19,20 +18,20 @@ def solved(bounds: DataFrame, rows: DataFrame, covers: DataFrame, priced: DataFr
     Plans that need more copies of one row than n are infeasible and do not reach the kernel's search."""
     sets = covers.groupBy("plan_id", "cand_id").agg(F.collect_list("row_id").alias("rows"))
     cands = priced.select("plan_id", "cand_id", "cost").join(bounds.select("plan_id", "cand_id", "ub"), ["plan_id", "cand_id"]).join(sets, ["plan_id", "cand_id"], "left")
-    cands = cands.select("plan_id", "cand_id", "cost", "ub", "rows", F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("int").alias("need"))
-    needs = rows.select("plan_id", F.lit(None).cast("long").alias("cand_id"), F.lit(None).cast("double").alias("cost"), F.lit(None).cast("int").alias("ub"), F.lit(None).cast("array<long>").alias("rows"), "row_id", "need")
-    both = cands.unionByName(needs).withColumn("n", F.explode(F.array(*map(F.lit, ns))))
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        need = group[group.row_id.notna()].sort_values("row_id")
-        cand = group[group.cand_id.notna()].sort_values("cand_id")
-        at = {r: i for i, r in enumerate(need.row_id.astype("int64"))}
+
+    def one(plan: int, need: list[tuple], cand: list[tuple]) -> list[tuple]:
+        if not need:
+            return []
+        need, cand = sorted(need), sorted(cand, key=lambda c: c[0])
+        at = {r: i for i, (r, _) in enumerate(need)}
         held = np.zeros((len(cand), len(need)), bool)
-        for i, rs in enumerate(cand.rows):
-            if rs is not None:
-                held[i, [at[r] for r in rs]] = True
-        status, cost, zones = cover.solve(held, need.need.to_numpy("int64"), cand.cost.to_numpy(float), cand.ub.to_numpy("int64"), key[1])
-        ids = cand.cand_id.astype("int64").to_numpy()
-        return pd.DataFrame({"plan_id": [key[0]], "n": [key[1]], "status": [status], "cost": [cost], "zones": [[int(ids[z]) for z in zones]]})
-
-    return spread(both.join(rows.select("plan_id").distinct(), "plan_id", "left_semi"), "plan_id", "n").groupBy("plan_id", "n").applyInPandas(run, _SOLUTION)
+        for i, (*_, rs) in enumerate(cand):
+            held[i, [at[r] for r in rs or ()]] = True
+        cost, most = np.array([c[1] for c in cand], float), np.array([c[2] for c in cand], np.int64)
+        out = []
+        for n in ns:
+            status, least, zones = cover.solve(held, np.array([w for _, w in need], np.int64), cost, most, n)
+            out.append((plan, n, status, least, [cand[z][0] for z in zones]))
+        return out
+
+    return by_plan([rows.select("plan_id", "row_id", "need"), cands.select("plan_id", "cand_id", "cost", "ub", "rows")], one, _SOLUTION)

@@ -7,9 +7,10 @@ import random
 import numpy as np
 import pytest
 
+from gridloom.kernels import cover
 from gridloom.kernels.choose import Plan, choose
 from gridloom.operators import searches
-from gridloom.plans import fit_queries
+from gridloom.plans import catalog, fit_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +25,22 @@ def test_no_frame_for_each_plan(spark, monkeypatch, name):
     assert "InPandas" not in plan and plan.count("MapInArrow") == 1
 
 
+@pytest.mark.parametrize("name", ["x01_solve_n2", "x01_solve_n3"])
+def test_covers_without_frames(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_the_last_candidate_is_looked_up(monkeypatch):
+    """Places for the last candidate are not tried one by one: twelve candidates of which any two cover six rows take few steps."""
+    held = np.array([[(r + c) % 2 == 0 for r in range(6)] for c in range(12)])
+    steps = []
+    real = cover._Part.apart
+    monkeypatch.setattr(cover._Part, "apart", lambda self, *a: steps.append(1) or real(self, *a))
+    status, cost, zones = cover.solve(held, np.ones(6, int), np.arange(12, 0, -1.0), np.ones(12, int), 2)
+    assert (status, cost, zones) == ("optimal", 3.0, [10, 11]) and len(steps) <= 3
+
+
 def test_rows_of_a_plan_meet_whatever_table_they_are_in(spark, monkeypatch):
     monkeypatch.setattr(searches, "_AT_ONCE", 2)
     rnd = random.Random(4)
