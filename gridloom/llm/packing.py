@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import lean, stored, text_of
-from gridloom.llm.wordids import WordIds
+from gridloom.llm.wordids import Numbered
 
 LENGTH, CLOSING = 4096, 2
-#: Words whose ids a task remembers; beyond it the memory starts anew.
+#: Words whose ids a task remembers; beyond it the memory starts anew with the next texts.
 REMEMBERED = 200_000
 #: Equal pieces that one row becomes at once.
 COPIES = 4096
@@ -85,7 +86,7 @@ def _ascii_merger(path: str):
     return tiktoken.Encoding("ascii", pat_str=r"\n|[^\n\x00]+\x00", mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
 
 
-class WordEncoder(WordIds):
+class WordEncoder(Numbered):
     """Ids of whole texts by looking up words. Words of plain ASCII are merged many at once, others by the library itself."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -124,20 +125,22 @@ class WordEncoder(WordIds):
             self.keep(part, ids[ids != self.mark], np.diff(np.concatenate(([-1], ends))) - 1)
         return apart
 
-    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The words of each text, all of them known now."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.place)
-        if len(self.place) + len(new) > self.remembered and self.place:
+    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The number of each word of each text, all of them known now. A word is looked up once; new ones are numbered as they come."""
+        if len(self.place) > self.remembered:
             self.forget()
-            new = words
-        self._learn(list(new))
-        return split
+        known, number = len(self.place), self.place.__getitem__
+        got = [np.fromiter(map(number, words), np.int64, len(words)) for words in map(bytes.split, texts)]
+        self._learn(list(islice(self.place, known, None)))
+        return got
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Learns the words of texts."""
+        self.numbers(texts)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        return [self.gather(ws) for ws in self.learn(texts)]
+        return [self.gathered(at) for at in self.numbers(texts)]
 
     def ids(self, text: bytes) -> np.ndarray:
         return self.encode([text])[0]

@@ -71,3 +71,10 @@ def test_packing_follows_no_file(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one, many = (sorted(map(str, packing.packed(df.repartition(n), length=256, group_tokens=4000).collect())) for n in (1, 7))
     assert one == many and len({r for r in one}) > 400
+
+
+def test_a_word_is_numbered_when_it_is_first_met():
+    encoder = packing.WordEncoder(packing.vocabulary(), 3)
+    assert [n.tolist() for n in encoder.numbers([b"one two  one", b"", b"three two"])] == [[0, 1, 0], [], [2, 1]]
+    assert [n.tolist() for n in encoder.numbers([b"three four"])] == [[2, 3]]
+    assert [n.tolist() for n in encoder.numbers([b"four"])] == [[0]] and len(encoder.place) == 1  # more than it remembers: it starts anew
