@@ -1,7 +1,9 @@
 """Axis quantisation: events of grid lines with costs and tolerances, and their clustering.
 
 Events are (plan_id, axis, idx, coord, w_minus, w_plus, tol_minus, tol_plus). Everything is keyed by plan and axis; only the
-partitions of one axis, dynamic programs over its lines, run as grouped functions.
+partitions of one axis, dynamic programs over its lines, run as grouped functions. Edges and lines are looked up in maps of their
+plan, joined by merging: tables that are dealt by plan stay where they are, and none is sent to the driver as a small one,
+which the file or the cache of a large table may look like.
 
 Defined results. An empty table gives no rows, a plan without loads no events. Other columns are ignored. Null loads count as
 no cell; repeated cells or edges are an error of the caller. Regions have no holes; pairs of lines that must stay apart are given
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.kernels.axes import Axis, exact_begins, frontier, greedy_merges, places
+from gridloom.operators.raster import by_plan, looked_up
 from gridloom.session import spread
 
 
@@ -34,11 +37,13 @@ def _sides(cells: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
     along, across = ("ix", "iy") if axis == "x" else ("iy", "ix")
     w = Window.partitionBy("plan_id", across).orderBy(along)
     here = cells.select("plan_id", F.col(along).alias("i"), F.col(across).alias("j"), "load", F.coalesce(F.lag("load").over(w), F.lit(0)).alias("before"), F.lead(along).over(w).isNull().alias("last"))
-    closing = here.where("last and load > 0").select("plan_id", "i", "j", F.lit(0).alias("load"), F.col("load").alias("before"), F.lit(True).alias("end"))
-    rows = here.where("load <> before").select("plan_id", "i", "j", "load", "before", F.lit(False).alias("end")).unionByName(closing)
-    sides = rows.join(edges.select("plan_id", "i", "lo", "hi"), ["plan_id", "i"]).withColumn("coord", F.when(F.col("end"), F.col("hi")).otherwise(F.col("lo")))
-    turned = F.explode(F.array(F.struct(F.col("load").alias("of"), F.lit(True).alias("beyond")), F.struct(F.col("before").alias("of"), F.lit(False).alias("beyond"))))
-    return sides.select("plan_id", "j", "coord", turned.alias("t")).select("plan_id", "j", "coord", "t.of", "t.beyond").where("of > 0")
+    side = lambda of, beyond, end: F.struct(F.col(of).alias("of"), F.lit(beyond).alias("beyond"), F.lit(end).alias("end"))
+    differs = F.col("load") != F.col("before")
+    turned = F.explode(F.array(F.when(differs, side("load", True, False)), F.when(differs, side("before", False, False)), F.when(F.col("last"), side("load", False, True))))
+    sides = here.where(differs | F.col("last")).select("plan_id", "i", "j", turned.alias("t")).where("t.of > 0")
+    met = sides.join(by_plan(edges, "i", lows="lo", highs="hi").hint("merge"), "plan_id")
+    at = lambda places: F.try_element_at(places, F.col("i"))
+    return looked_up(met, coord=F.when(F.col("t.end"), at("highs")).otherwise(at("lows"))).select("plan_id", "j", "coord", "t.of", "t.beyond")
 
 
 def region_sides(cells: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
@@ -55,9 +60,9 @@ def axis_events(
     shrink for moves into the region and expand for moves out of it, where r is the load over the 95th percentile of the
     plan's loads, 1 at most. It may move by the fraction shift of the axis's extent, less as r grows, down to least_shrink
     and least_expand of that. The first and the last line stay where they are. Costs add up, tolerances are the least ones."""
-    length = other.select("plan_id", F.col("i").alias("j"), (F.col("hi") - F.col("lo")).alias("length"))
+    lengths = by_plan(other.select("plan_id", "i", (F.col("hi") - F.col("lo")).alias("length")), "i", lengths="length")
     scale = cells.where("load > 0").select("plan_id", "load").distinct().groupBy("plan_id").agg(F.percentile("load", F.lit(0.95)).alias("scale"))
-    each = _sides(cells, edges, axis).join(length, ["plan_id", "j"]).join(scale, "plan_id")
+    each = looked_up(_sides(cells, edges, axis).join(lengths.hint("merge"), "plan_id"), length=F.try_element_at("lengths", F.col("j"))).join(scale.hint("merge"), "plan_id")
     term = F.pow(F.least(F.col("of") / F.col("scale"), F.lit(1.0)), F.lit(gamma))
     weight = F.col("length") * (F.lit(base) + term)
     inward, outward = 1.0 - (1.0 - least_shrink) * term, 1.0 - (1.0 - least_expand) * term
@@ -203,18 +208,18 @@ def quantised(events: DataFrame, lines: int, greedy: bool = False) -> DataFrame:
 def snapped(cells: DataFrame, x: DataFrame, y: DataFrame, moves: DataFrame) -> DataFrame:
     """Cells with a load on lines that moved (moves is quantised of both axes): plan_id, load, x0, y0, x1, y1; cells whose
     sides met are gone. Lines without an event do not bound a region; they go with the event before them."""
-    to = moves.select("plan_id", "axis", "coord", "line")
 
     def sides(edges: DataFrame, axis: str) -> DataFrame:
-        ends = edges.select("plan_id", "i", F.explode(F.array(F.struct(F.lit("0").alias("end"), F.col("lo").alias("at")), F.struct(F.lit("1").alias("end"), F.col("hi").alias("at")))).alias("e"))
-        marks = to.where(F.col("axis") == axis).select("plan_id", F.col("coord").alias("at"), "line")
-        order = Window.partitionBy("plan_id").orderBy("at")
-        met = ends.select("plan_id", "i", "e.end", "e.at").join(marks, ["plan_id", "at"], "left").withColumn("line", F.last("line", True).over(order))
-        got = met.groupBy("plan_id", "i").agg(F.max(F.when(F.col("end") == "0", F.col("line"))).alias(f"{axis}0"), F.max(F.when(F.col("end") == "1", F.col("line"))).alias(f"{axis}1"))
-        return got.withColumnRenamed("i", f"i{axis}")
+        """Where each line pair of a plan moved to, as a map of the plan."""
+        marks = moves.where((F.col("axis") == axis) & F.col("line").isNotNull()).groupBy("plan_id").agg(F.collect_list(F.struct("coord", "line")).alias("marks"))
+        line = lambda end: F.array_max(F.filter("marks", lambda m: m["coord"] <= F.col(end)))["line"]
+        ends = edges.join(marks.hint("merge"), "plan_id").select("plan_id", "i", F.struct(line("lo").alias("low"), line("hi").alias("high")).alias("ends"))
+        return by_plan(ends, "i", **{f"{axis}s": "ends"}).hint("merge")
 
-    placed = cells.where("load > 0").join(sides(x, "x"), ["plan_id", "ix"]).join(sides(y, "y"), ["plan_id", "iy"])
-    return placed.where("x1 > x0 and y1 > y0").select("plan_id", "load", "x0", "y0", "x1", "y1")
+    met = cells.where("load > 0").join(sides(x, "x"), "plan_id").join(sides(y, "y"), "plan_id")
+    found = looked_up(met, xe=F.try_element_at("xs", F.col("ix")), ye=F.try_element_at("ys", F.col("iy")))
+    placed = found.select("plan_id", "load", *(F.col(f"{a}e.{end}").alias(f"{a}{k}") for k, end in enumerate(("low", "high")) for a in "xy"))
+    return placed.where("x1 > x0 and y1 > y0")
 
 
 def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -230,20 +235,17 @@ def order_violations(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y
 
 
 def ground_gained(snapped_cells: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """order_violations of snapped cells that are a stored table, which it reads four times: no two cells are paired."""
-
-    def shared(edges: DataFrame, a: str) -> DataFrame:
-        """How long each snapped span is on each line pair of the plan: spans of one axis meet, cells are never paired."""
-        lines = edges.select("plan_id", F.col("i").alias(f"i{a}"), "lo", "hi")
-        both = snapped_cells.select("plan_id", f"{a}0", f"{a}1").distinct().join(lines, "plan_id").where((F.col("lo") < F.col(f"{a}1")) & (F.col("hi") > F.col(f"{a}0")))
-        return both.select("plan_id", f"{a}0", f"{a}1", f"i{a}", (F.least(f"{a}1", "hi") - F.greatest(f"{a}0", "lo")).alias(f"d{a}"))
-
-    met = snapped_cells.join(shared(x, "x"), ["plan_id", "x0", "x1"]).join(shared(y, "y"), ["plan_id", "y0", "y1"])
-    met = met.join(cells.select("plan_id", "ix", "iy", F.col("load").alias("had")), ["plan_id", "ix", "iy"]).where("had >= load")
-    held = met.groupBy("plan_id", "load").agg(F.sum(F.col("dx") * F.col("dy")).alias("held"))
-    area = snapped_cells.groupBy("plan_id", "load").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
-    over = F.col("area") - F.coalesce("held", F.lit(0.0))
-    return area.join(held, ["plan_id", "load"], "left").where(over > tolerance).select("plan_id", "load", over.alias("outside"))
+    """order_violations where no two cells are paired: each snapped cell looks up the plan's lines and loads, which come to it as
+    arrays and maps, and goes along the lines that it overlaps."""
+    lines = lambda edges, a: edges.groupBy("plan_id").agg(F.collect_list(F.struct("i", "lo", "hi")).alias(f"{a}s")).hint("merge")
+    rows = cells.where("load > 0").groupBy("plan_id", "iy").agg(F.map_from_entries(F.collect_list(F.struct("ix", "load"))).alias("row"))
+    met = snapped_cells.join(lines(x, "x"), "plan_id", "left").join(lines(y, "y"), "plan_id", "left").join(by_plan(rows, "iy", loads="row").hint("merge"), "plan_id", "left")
+    shared = lambda a, e: F.greatest(F.least(F.col(f"{a}1"), e["hi"]) - F.greatest(F.col(f"{a}0"), e["lo"]), F.lit(0.0)).cast("double")
+    summed = lambda a, length: F.coalesce(F.aggregate(f"{a}s", F.lit(0.0), lambda s, e: s + F.when(shared(a, e) > 0, shared(a, e) * length(e)).otherwise(F.lit(0.0))), F.lit(0.0))
+    had = lambda ex, ey: F.try_element_at(F.try_element_at("loads", ey["i"]), ex["i"])
+    held = summed("x", lambda ex: summed("y", lambda ey: F.when(had(ex, ey) >= F.col("load"), F.lit(1.0)).otherwise(F.lit(0.0))))
+    over = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) - held
+    return met.select("plan_id", "load", over.alias("over")).groupBy("plan_id", "load").agg(F.sum("over").alias("outside")).where(F.col("outside") > tolerance)
 
 
 def nearest_lines(values: DataFrame, lines: DataFrame, within: int) -> DataFrame:

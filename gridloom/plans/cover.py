@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import candidates, classes, model, raster
 from gridloom.plans import fixtures as fx
-from gridloom.session import held, settled, stored
+from gridloom.session import held, settled
 
 
 #: How many boxes a task gets at most, about: some hundred times as many candidates are sorted at once.
@@ -49,8 +49,8 @@ class Cover:
         return held(raster.compact_edges(self.boxes, self.raw, "y"))
 
     def kept(self) -> Cover:
-        """self with loads and edges as stored tables, for queries that read them many times."""
-        self.loads, self.x, self.y = stored(self.loads, "loads"), stored(self.x, "edges"), stored(self.y, "edges")
+        """self with loads that Spark keeps, as it does edges, for queries that read them many times."""
+        self.loads = held(self.loads)
         return self
 
     @cached_property

@@ -150,7 +150,7 @@ def q15_snapped(spark, sf_dir):
 @query()
 def q21_order_violations(spark, sf_dir):
     c, cells = _snapped(spark, sf_dir)
-    return _rounded(quantise.ground_gained(stored(cells, "snapped"), c.loads, c.x, c.y, 1e-6), outside=2)
+    return _rounded(quantise.ground_gained(cells, c.loads, c.x, c.y, 1e-6), outside=2)
 
 
 @query(

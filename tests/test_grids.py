@@ -206,3 +206,16 @@ def test_violations_by_spans_and_by_cells(spark):
     got = q.q21_order_violations(spark, SF)
     assert {(r.plan_id, r.load): r.outside for r in got.collect()} == {k: pytest.approx(v, abs=0.01) for k, v in want.items()} and want
     assert "NestedLoop" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "python" not in plan.lower()  # lines are a table
+
+
+def kinds(plan):
+    """The names of a physical plan's nodes; what Spark keeps is a leaf."""
+    children = plan.children()
+    return [plan.nodeName(), *(k for n in range(children.size()) for k in kinds(children.apply(n)))]
+
+
+@pytest.mark.parametrize("name", ["q21_order_violations", "q22_locked_lines", "q15_snapped"])
+def test_no_table_goes_to_the_driver(spark, name):
+    """Tables that look small, as the files or the cache of large ones do, are not broadcast."""
+    met = kinds(getattr(q, name)(spark, SF)._jdf.queryExecution().sparkPlan())
+    assert any("Join" in k for k in met) and not [k for k in met if "Broadcast" in k]
