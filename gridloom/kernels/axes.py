@@ -10,7 +10,10 @@ every line that the place passes raises the slope by its minus and plus. It is l
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import Any
 
 import numpy as np
 
@@ -21,6 +24,13 @@ STILL = 1e-9
 PLACES = 1024
 
 
+@lru_cache(16)
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where i <= j in a square table, as a mask and as places."""
+    upper = np.triu(np.ones((n, n), bool))
+    return upper, *np.nonzero(upper)
+
+
 @dataclass
 class Axis:
     coord: np.ndarray
@@ -31,13 +41,19 @@ class Axis:
     reach: np.ndarray | None = None
 
     def __post_init__(self):
-        self.n = len(self.coord)
+        self.n, self.made = len(self.coord), {}
         if self.reach is None:
             self.reach = np.full(self.n, self.n - 1)
         self.floor, self.ceiling = self.coord - self.low, self.coord + self.high
         self.raised = np.cumsum(self.minus + self.plus)
         self.falls, self.rises = (np.concatenate(([0.0], np.cumsum(w))) for w in (self.minus, self.plus))
 
+    def once(self, key: Hashable, make: Callable[[], Any]) -> Any:
+        """What make gives, made when it is first asked for."""
+        if key not in self.made:
+            self.made[key] = make()
+        return self.made[key]
+
     def turns(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For each stretch i..j the first line behind which the slope is not negative: the plus of the stretch up to it is then
         no less than the minus of what follows it."""
@@ -66,10 +82,9 @@ class Axis:
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Cost and place of every stretch as square tables; infinite below the diagonal."""
-        upper = np.triu(np.ones((self.n, self.n), bool))
+        upper, i, j = _upper(self.n)
         floor = np.maximum.accumulate(np.where(upper, self.floor, -np.inf), axis=1)
         ceiling = np.minimum.accumulate(np.where(upper, self.ceiling, np.inf), axis=1)
-        i, j = np.nonzero(upper)
         cost, place = np.full((self.n, self.n), np.inf), np.full((self.n, self.n), np.nan)
         cost[i, j], place[i, j] = self.stretches(i, j, floor[i, j], ceiling[i, j])
         return cost, place
@@ -79,11 +94,11 @@ def frontier(costs: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]
     """The least total cost of 1..most stretches, and for each number where the last stretch of each prefix begins; of equal
     costs the first beginning."""
     n = len(costs)
-    best, out, begins = np.concatenate(([0.0], np.full(n, np.inf))), [], []
+    best, out, begins, every = np.concatenate(([0.0], np.full(n, np.inf))), [], [], np.arange(n)
     for _ in range(min(most, n)):
         tried = best[:n, None] + costs
-        begins.append(tried.argmin(axis=0))
-        best = np.concatenate(([np.inf], tried.min(axis=0)))
+        begins.append(at := tried.argmin(axis=0))
+        best = np.concatenate(([np.inf], tried[at, every]))
         out.append(best[n])
     return np.array(out), begins
 

@@ -34,12 +34,13 @@ def allowed(cells: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     return each.select("plan_id", "load", F.sum("own").over(Window.partitionBy("plan_id").orderBy(F.desc("load"))).alias("area"))
 
 
-def quantised_plans(events: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, budget: Budget, guard: bool = True, tolerance: float = 1e-6) -> DataFrame:
+def quantised_plans(events: DataFrame, cells: DataFrame, x: DataFrame, y: DataFrame, budget: Budget, guard: bool = True, tolerance: float = 1e-6, dealt: bool = False) -> DataFrame:
     """events with their lines within the budget: locked_minus, locked_plus, scale, stretch, line, cost, cells, problem, and passes
     and worst, how often lines were chosen again and the largest area a load had gained before.
 
     With guard no load has more than tolerance of ground that had a smaller one, or problem says so. cells are read three times,
-    edges twice, so tables that take long to make should be stored."""
+    edges twice, so tables that take long to make should be kept. dealt: all tables are dealt by plan, to enough tasks, and stay
+    where they are; others move once, together."""
     cols = [c for c in (*_EVENT, "limit") if c in events.columns]
     parts = {"e": (events, cols[1:])}
     if guard:
@@ -49,7 +50,7 @@ def quantised_plans(events: DataFrame, cells: DataFrame, x: DataFrame, y: DataFr
     whole = rows[0]
     for more in rows[1:]:
         whole = whole.unionByName(more, allowMissingColumns=True)  # one exchange for all of a plan
-    plans_ = spread(whole, "plan_id").groupBy("plan_id").agg(*(F.collect_list(k).alias(k) for k in parts)).where(F.size("e") > 0)
+    plans_ = (whole if dealt else spread(whole, "plan_id")).groupBy("plan_id").agg(*(F.collect_list(k).alias(k) for k in parts)).where(F.size("e") > 0)
     flat = plans_.select("plan_id", *(F.col(f"{k}.{n}").alias(f"{k}_{n}") for k, (_, names) in parts.items() for n in names))
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     extra = "locked_minus boolean, locked_plus boolean, scale double, passes int, worst double, stretch long, line double, cost double, cells long, problem string"

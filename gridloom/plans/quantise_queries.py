@@ -189,7 +189,7 @@ BUDGET = Budget(most=(10, None), most_cells=90, width=(250, None), scale=4.0)
 
 def _grid_lines(spark, sf_dir):
     c = Cover.of(spark, sf_dir).kept()
-    return grids.quantised_plans(_events(spark, sf_dir, c), c.loads, c.x, c.y, BUDGET)
+    return grids.quantised_plans(_events(spark, sf_dir, c), c.loads, c.x, c.y, BUDGET, dealt=True)
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from test_queries import SF
 
 from gridloom.kernels.axes import Axis
-from gridloom.kernels.grid import Budget, decided, least_lines, numbers, stretched, widened
+from gridloom.kernels.grid import Budget, Map, decided, guarded, least_lines, numbers, stretched, widened
 from gridloom.operators import grids, quantise
 from gridloom.plans import quantise_queries as q
 from gridloom.plans.cover import Cover
@@ -219,3 +219,23 @@ def test_no_table_goes_to_the_driver(spark, name):
     """Tables that look small, as the files or the cache of large ones do, are not broadcast."""
     met = kinds(getattr(q, name)(spark, SF)._jdf.queryExecution().sparkPlan())
     assert any("Join" in k for k in met) and not [k for k in met if "Broadcast" in k]
+
+
+def test_an_axis_is_cut_again_only_where_more_is_forbidden(monkeypatch):
+    """A load that gained ground in x forbids moves there; y, where nothing is forbidden, is cut once."""
+    line = lambda coord, plus, low, high: Axis(np.array(coord, float), np.ones(len(coord)), np.array(plus, float), np.array(low, float), np.array(high, float))
+    axes = [line([0, 9, 10, 20], [1, 1, 9, 1], [0, 3, 3, 0], [0, 3, 3, 0]), line([0, 10], [1, 1], [0, 0], [0, 0])]
+    spans = ((np.array([0.0, 9, 10]), np.array([9.0, 10, 20])), (np.array([0.0]), np.array([10.0])))
+    none = (np.array([], int), np.array([]), np.array([], bool))
+    sides = (np.array([0, 1, 1, 2, 2, 3]), np.array([30.0, 30, 10, 10, 20, 20]), np.array([True, False, True, False, True, False]))
+    cut = []
+    real = Axis.table
+    monkeypatch.setattr(Axis, "table", lambda self: cut.append(self.n) or real(self))
+    got = guarded(axes, Budget(most_cells=2), Map(np.array([[30.0], [10.0], [20.0]]), spans, (sides, none)), 1e-6)
+    assert (got.passes, got.problem) == (2, "budget") and cut.count(4) == 2 and cut.count(2) == 1
+
+
+def test_plans_stay_where_they_are_dealt(spark):
+    """Boxes are dealt by plan once: what is made of them meets in a plan's group without moving."""
+    met = kinds(q.q22_locked_lines(spark, SF)._jdf.queryExecution().executedPlan().initialPlan())
+    assert "MapInPandas" in met and not [k for k in met if "Exchange" in k]
