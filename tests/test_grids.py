@@ -214,7 +214,7 @@ def kinds(plan):
     return [plan.nodeName(), *(k for n in range(children.size()) for k in kinds(children.apply(n)))]
 
 
-@pytest.mark.parametrize("name", ["q21_order_violations", "q22_locked_lines", "q15_snapped"])
+@pytest.mark.parametrize("name", ["q21_order_violations", "q22_locked_lines", "q23_quantised", "q15_snapped"])
 def test_no_table_goes_to_the_driver(spark, name):
     """Tables that look small, as the files or the cache of large ones do, are not broadcast."""
     met = kinds(getattr(q, name)(spark, SF)._jdf.queryExecution().sparkPlan())
